@@ -236,20 +236,22 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     """Fit the field and the document score on at most ``most_docs`` labelled documents, a third of them toxic.
 
     Rows of the held-out fold are never read. The sample takes the documents with the smallest hash of their id; the
-    documents' own share of toxic labels then weighs the classes. A null label or id is left out, the larger of two labels
-    of an id counts. Without documents of both classes the model scores every document by the share of toxic labels.
+    documents' own share of toxic labels then weighs the classes. Ids are sampled first, so no text is shuffled but theirs.
+    A null label or id is left out, the larger of two labels and the smaller of two texts of an id counts. Without documents of both classes the model scores every document by the share of toxic labels.
     """
     marks = (labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
              .groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.max(F.col(label).cast("int")).alias("y")))
     share = marks.agg(F.avg("y"), F.count("y")).first()
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null").join(marks, "id")
     order = F.xxhash64(F.lit(seed), "id")
-    picked = [rows.filter(F.col("y") == y).orderBy(order, "id", "text").limit(n).collect() for y, n in ((1, most_docs // 3), (0, most_docs - most_docs // 3))]
+    chosen = {r["id"]: r["y"] for y, n in ((1, most_docs // 3), (0, most_docs - most_docs // 3)) for r in marks.filter(F.col("y") == y).orderBy(order, "id").limit(n).collect()}
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null").filter(F.col("id").isin(list(chosen)))
+    texts_of = {r["id"]: r["text"] for r in rows.groupBy("id").agg(F.min("text").alias("text")).collect()} if chosen else {}
+    picked = [{"id": i, "y": y, "text": texts_of[i]} for i, y in chosen.items() if i in texts_of]
     rate = float(share[0] or 0.0)
     bias = math.log((rate * share[1] + 0.5) / ((1 - rate) * share[1] + 0.5))
-    if not picked[0] or not picked[1]:
+    if len({r["y"] for r in picked}) < 2:
         return Crf(np.zeros(SLOTS), np.zeros((2, 2)), np.zeros(2), np.array([bias, 0, 0, 0]))
-    rows = _different(sorted(picked[0] + picked[1], key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"])))
+    rows = _different(sorted(picked, key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"])))
     texts, toxic = [r["text"].lower().split() for r in rows], [r["y"] == 1 for r in rows]
     marked = label_tokens(texts, toxic)
     x, y, m = _sequences(texts, marked, 40, most_stretches, np.random.default_rng(seed))
