@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-_CACHE = 300_000
+_CACHE = 400_000
+
+#: Rows that are coded at a time, so that a batch of long texts needs bounded memory.
+_ROWS = 1000
 
 
 class Transducer:
@@ -48,6 +51,7 @@ class Transducer:
         score = {i: proto.pieces[i].score for i in self.ids.values()}
         order = {s: n for n, s in enumerate(sorted({score[i] for p, i in self.ids.items() if len(p) > 1}, reverse=True))}
         self.text = {i: p for p, i in self.ids.items()}
+        self.width = {i: len(p) for p, i in self.ids.items()}
         #: when a piece is made; single characters are there from the start
         self.made = {i: order[score[i]] if len(p) > 1 else -1 for p, i in self.ids.items()}
         self.halves: dict[int, tuple[int, int]] = {}
@@ -57,11 +61,17 @@ class Transducer:
                 if len(ids) == 1:
                     self.halves[i] = last
         self.arcs = {p: i for p, i in self.ids.items() if len(p) == 1 or i in self.halves}
-        self.longest = max(map(len, self.arcs), default=1)
+        self.letters = frozenset(p for p in self.arcs if len(p) == 1)
+        #: the pieces' trie: every beginning of a piece, with the piece's id where one ends
+        self.trie = {p[:k]: -1 for p in self.arcs for k in range(1, len(p))} | self.arcs
         if any(SPACE in p.lstrip(SPACE) for p in self.arcs):
             raise ValueError("a piece holds a space after other characters: texts cannot be cut into words")
-        self.unit = re.compile(rf"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-        self._pairs: dict[tuple[int, int], bool] = {}
+        # no piece holds a letter or digit before one of these: a word ends there
+        joined = {p[k + 1] for p in self.arcs for k in range(len(p) - 1) if p[k].isalnum()}
+        ends = "".join(re.escape(c) for c in ",.!?;:)|" if c not in joined)
+        word = rf"{SPACE}*[^\W_]+(?=[{ends}])|" if ends else ""
+        self.unit = re.compile(rf"{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        self._pairs: dict[int, bool] = {}
         self._units: dict[str, tuple[int, ...]] = {}
 
     def _merge(self, s: str) -> tuple[list[int], tuple[int, int]]:
@@ -90,11 +100,11 @@ class Transducer:
     def side_by_side(self, a: int, b: int) -> bool:
         """Whether no merge crosses from a to b: undo the later of the two sides' merges until only characters are left, and
         see whether the pieces then at the border would have merged before that."""
-        known = self._pairs.get((a, b))
+        known = self._pairs.get(a << 20 | b)
         if known is None:
             if len(self._pairs) >= _CACHE:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self._free(a, b)
+            known = self._pairs[a << 20 | b] = self._free(a, b)
         return known
 
     def _free(self, a: int, b: int) -> bool:
@@ -115,30 +125,40 @@ class Transducer:
         """Shortest path over a string of known characters: for each end the one piece that a finite path can end with."""
         n = len(s)
         back = [-1] * (n + 1)
-        arcs, ok = self.arcs, self.side_by_side
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                i = arcs.get(s[start:end])
-                if i is not None and (start == 0 or ok(back[start], i)):
-                    back[end] = i
+        trie, known, free = self.trie, self._pairs, self.side_by_side
+        for start in range(n):
+            last = back[start]
+            if last < 0 and start:
+                continue
+            base = last << 20
+            end = start
+            while end < n:
+                i = trie.get(s[start:(end := end + 1)])
+                if i is None:
                     break
+                if i >= 0 and back[end] < 0 and (not start or (free(last, i) if (ok := known.get(base | i)) is None else ok)):
+                    back[end] = i
         out = []
         while n:
             out.append(back[n])
-            n -= len(self.text[back[n]])
+            n -= self.width[back[n]]
         return out[::-1]
 
     def _encode_unit(self, unit: str) -> tuple[int, ...]:
         got = self._units.get(unit)
         if got is None:
-            ids: list[int] = []
-            for known, run in _runs(unit, self.arcs):
-                if not known:
-                    ids += [self.byte_ids[x] for x in run.encode()]
-                elif run[:2] == SPACE * 2 or len(run) > 512:  # runs of spaces: merges of one score, by place
-                    ids += self._merge(run)[0]
-                else:
-                    ids += self._path(run)
+            plain = unit[:2] != SPACE * 2 and len(unit) <= 512
+            if plain and self.letters.issuperset(unit):
+                ids = self._path(unit)
+            else:
+                ids = []
+                for known, run in _runs(unit, self.letters):
+                    if not known:
+                        ids += [self.byte_ids[x] for x in run.encode()]
+                    elif run[:2] == SPACE * 2 or len(run) > 512:  # runs of spaces: merges of one score, by place
+                        ids += self._merge(run)[0]
+                    else:
+                        ids += self._path(run)
             got = tuple(ids)
             if len(self._units) >= _CACHE:
                 self._units.clear()
@@ -159,7 +179,7 @@ class Transducer:
         return raw[1:] if self.prefix and raw.startswith(" ") else raw
 
 
-def _runs(unit: str, known: dict[str, int]) -> Iterator[tuple[bool, str]]:
+def _runs(unit: str, known: frozenset[str]) -> Iterator[tuple[bool, str]]:
     """Cut a unit where characters that the model knows change with others."""
     at = 0
     for i in range(1, len(unit) + 1):
@@ -187,7 +207,7 @@ def encode_documents(docs: DataFrame, model: bytes, *, text: str = "text", into:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = transducer(model)
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             parts = [np.array(code.encode(t), np.int32) for t in b.column(place).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
@@ -204,7 +224,7 @@ def decode_documents(encoded: DataFrame, model: bytes, *, ids: str = "ids", into
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = transducer(model)
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             lists = b.column(place)
             texts = [code.decode(x.values.to_pylist() if x.is_valid else ()) for x in lists]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(texts, pa.string())], [*rest, into])
