@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-_CACHE = 400_000
+_CACHE = 800_000
 
 #: Rows that are coded at a time, so that a batch of long texts needs bounded memory.
 _ROWS = 1000
@@ -69,10 +69,10 @@ class Transducer:
         # no piece holds a letter or digit before one of these: a word ends there
         joined = {p[k + 1] for p in self.arcs for k in range(len(p) - 1) if p[k].isalnum()}
         ends = "".join(re.escape(c) for c in ",.!?;:)|" if c not in joined)
-        word = rf"{SPACE}*[^\W_]+(?=[{ends}])|" if ends else ""
-        self.unit = re.compile(rf"{word}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+        word = rf" *[^\W_]+(?=[{ends}])|" if ends else ""
+        self.unit = re.compile(rf"{word} *[^ \n]+| +|\n")
         self._pairs: dict[int, bool] = {}
-        self._units: dict[str, tuple[int, ...]] = {}
+        self._units: dict[str, bytes] = {}
 
     def _merge(self, s: str) -> tuple[list[int], tuple[int, int]]:
         """The merge order itself: pieces of a string of known characters, and the halves of the last merge."""
@@ -144,34 +144,36 @@ class Transducer:
             n -= self.width[back[n]]
         return out[::-1]
 
-    def _encode_unit(self, unit: str) -> tuple[int, ...]:
+    def _encode_unit(self, unit: str) -> bytes:
+        """Ids of a unit, with its plain spaces, as 32-bit numbers; kept for the next time."""
         got = self._units.get(unit)
         if got is None:
-            plain = unit[:2] != SPACE * 2 and len(unit) <= 512
-            if plain and self.letters.issuperset(unit):
-                ids = self._path(unit)
+            line = unit.replace(" ", SPACE)
+            if unit[:2] != "  " and len(line) <= 512 and self.letters.issuperset(line):
+                ids = self._path(line)
             else:
                 ids = []
-                for known, run in _runs(unit, self.letters):
+                for known, run in _runs(line, self.letters):
                     if not known:
                         ids += [self.byte_ids[x] for x in run.encode()]
                     elif run[:2] == SPACE * 2 or len(run) > 512:  # runs of spaces: merges of one score, by place
                         ids += self._merge(run)[0]
                     else:
                         ids += self._path(run)
-            got = tuple(ids)
+            got = array("i", ids).tobytes()
             if len(self._units) >= _CACHE:
                 self._units.clear()
             if len(unit) <= 64:
                 self._units[unit] = got
         return got
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         """Piece ids of a text; none for null and empty texts."""
         if not text:
-            return []
-        line = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        return list(chain.from_iterable(map(self._encode_unit, self.unit.findall(line))))
+            return np.zeros(0, np.int32)
+        line = (" " if self.prefix else "") + (text.replace(SPACE, " ") if SPACE in text else text)
+        known, slow = self._units.get, self._encode_unit
+        return np.frombuffer(b"".join([known(u) or slow(u) for u in self.unit.findall(line)]), np.int32)
 
     def decode(self, ids) -> str:
         """The text of piece ids, without the space that encoding put in front."""
@@ -208,7 +210,7 @@ def encode_documents(docs: DataFrame, model: bytes, *, text: str = "text", into:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = transducer(model)
         for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
-            parts = [np.array(code.encode(t), np.int32) for t in b.column(place).to_pylist()]
+            parts = [code.encode(t) for t in b.column(place).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], ids], [*rest, into])
@@ -226,7 +228,7 @@ def decode_documents(encoded: DataFrame, model: bytes, *, ids: str = "ids", into
         code = transducer(model)
         for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             lists = b.column(place)
-            texts = [code.decode(x.values.to_pylist() if x.is_valid else ()) for x in lists]
+            texts = [code.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in lists]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(texts, pa.string())], [*rest, into])
 
     schema = T.StructType([*[encoded.schema[c] for c in rest], T.StructField(into, T.StringType())])
