@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-_CACHE = 800_000
+_CACHE = 400_000
 
 #: Rows that are coded at a time, so that a batch of long texts needs bounded memory.
 _ROWS = 1000
