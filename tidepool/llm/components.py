@@ -23,9 +23,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """Return ``(node, component)`` for every node with a link to another one; component is the smallest node reachable.
+    """Return ``(node, component)`` for every node that reaches a smaller one; component is the smallest node reachable.
 
-    links: two long columns; self links, repeats and null ends are ignored. Nodes without links are absent.
+    links: two long columns; self links, repeats and null ends are ignored. Nodes that are absent, the smallest of a
+    component and those without links, are their own components.
     The rounds are logarithmic in the diameter; each is written to the shared folder, so the plan stays short
     and a lost executor costs one round. The groups are only aggregated (min) and joined, never gathered.
     """
