@@ -10,14 +10,19 @@ def read_landing(spark: SparkSession, path: str, schema: str, files_per_batch: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def _timed(stream: DataFrame, at: str, late: str) -> DataFrame:
+    """Event time as a timestamp (the session's zone for stamps without one) with its watermark."""
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+
+
 def fresh_articles(stream: DataFrame, key: str = "article_id", at: str = "ts", late: str = "3 days") -> DataFrame:
     """Articles once each: event time is publication, repeats within the watermark go."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+    return _timed(stream, at, late).dropDuplicatesWithinWatermark([key])
 
 
 def daily_scores(stream: DataFrame, at: str = "ts", late: str = "3 days") -> DataFrame:
     """Count and mean score of each type and day, closed once the watermark has passed."""
-    return (stream.withWatermark(at, late).groupBy(F.window(at, "1 day").alias("w"), "event_type")
+    return (_timed(stream, at, late).groupBy(F.window(at, "1 day").alias("w"), "event_type")
             .agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.to_date("w.start").alias("date"), "event_type", "n", "mean_value"))
 
 
