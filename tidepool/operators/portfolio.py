@@ -58,3 +58,41 @@ def cross_sectional_report(book: DataFrame) -> DataFrame:
     """Per rebalance the means of the legs and their difference."""
     leg = lambda x: F.avg(F.when(F.col("leg") == x, F.col("y_true")))
     return book.groupBy("date").agg(leg("top").alias("top"), leg("bottom").alias("bottom"), (leg("top") - leg("bottom")).alias("spread"))
+
+
+def tie_decided(preds: DataFrame, pred: str, quantiles: int = 5) -> DataFrame:
+    """date, n, top_arbitrary: the share of the top leg that equal predictions at its cut had to fill; 1 where the leg takes every name."""
+    day = Window.partitionBy("date")
+    rows = preds.filter(F.col(pred).isNotNull()).withColumns({"n": F.count("*").over(day), "_r": F.row_number().over(day.orderBy(F.col(pred).desc()))})
+    k = F.greatest(F.lit(2), F.floor(F.col("n") / quantiles))
+    cut = rows.withColumn("_k", k).withColumn("_cut", F.min(F.when(F.col("_r") <= F.col("_k"), F.col(pred))).over(day))
+    above, level = F.sum((F.col(pred) > F.col("_cut")).cast("long")), F.sum((F.col(pred) == F.col("_cut")).cast("long"))
+    free = F.when(level > F.col("_k") - above, F.col("_k") - above).otherwise(0)
+    return cut.groupBy("date", "n", "_k").agg(F.when(F.col("n") <= F.col("_k"), 1.0).otherwise(free / F.col("_k")).alias("top_arbitrary")).drop("_k")
+
+
+def simulate_hedged(book: DataFrame, beta: DataFrame, market: DataFrame, cost: float = ROUND_TRIP) -> DataFrame:
+    """date, hedge, gross, turnover, net of a top leg hedged by its mean beta (1 where unknown) times the date's market return.
+
+    Half of the hedge's change adds to the turnover.
+    """
+    w = Window.orderBy("date")  # one row a rebalance
+    hedge = book.filter("leg = 'top'").join(beta.select("date", "ticker", "beta"), ["date", "ticker"], "left").groupBy("date").agg(F.avg(F.coalesce("beta", F.lit(1.0))).alias("hedge"))
+    path = simulate(book, cost).join(hedge, "date").join(market.select("date", "market_return"), "date")
+    path = path.withColumn("turnover", F.col("turnover") + F.abs(F.col("hedge") - F.coalesce(F.lag("hedge").over(w), F.lit(0.0))) / 2)
+    gross = F.col("gross") - F.col("hedge") * F.col("market_return")
+    return path.select("date", "hedge", gross.alias("gross"), "turnover", (gross - F.col("turnover") * cost).alias("net"))
+
+
+def one_way_cost(side: str, tax: float, stamp: float, fees: float, impact: float, levy: float = 0.18) -> float:
+    """Charges of one trade: tax, stamp duty on buys only, fees with the levy on them, impact."""
+    if side not in ("buy", "sell"):
+        raise ValueError(side)
+    return tax + (stamp if side == "buy" else 0.0) + fees * (1 + levy) + impact
+
+
+def break_even_ic(turnover: float, spread_per_ic: float, cost: float = ROUND_TRIP) -> float:
+    """Rank correlation at which the spread pays for the trades."""
+    if spread_per_ic <= 0:
+        raise ValueError("the spread per rank correlation must be positive")
+    return turnover * cost / spread_per_ic

@@ -44,13 +44,49 @@ def driscoll_kraay(per_date: DataFrame, x: str, lags: int = 30) -> DataFrame:
     return s.select("n", "mean", se.alias("se"), (F.col("mean") / F.nullif(se, F.lit(0.0))).alias("t"))
 
 
+def bucketed(df: DataFrame, keys: list[str], x: str, buckets: int = 512) -> DataFrame:
+    """Rows with _b, the place of x among approximate quantiles of its keys: equal values share a bucket, buckets are in order.
+
+    Ranks inside a bucket plus the counts of the buckets before it are exact whatever the sketch's error, and no key is sorted in one task.
+    """
+    share = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(x, share, 20 * buckets)).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda c: c < F.col(x)))
+    return df.join(cuts, keys).withColumn("_b", place).drop("_cuts")
+
+
+def nth_smallest(df: DataFrame, keys: list[str], x: str, nth: Column) -> DataFrame:
+    """keys, n, value: the nth smallest non-null x of each key, nth an expression of n (the key's count).
+
+    Equal values are counted first; only the bucket that holds the nth value is sorted.
+    """
+    values = bucketed(df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).alias("_x")).groupBy(*keys, "_x").agg(F.count("*").alias("_c")), keys, "_x")
+    w = Window.partitionBy(*keys)
+    per = values.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))  # at most one row a bucket
+    per = per.withColumns({"n": F.sum("_n").over(w), "_upto": F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))})
+    per = per.withColumn("_k", nth).filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k"))).withColumn("_before", F.col("_upto") - F.col("_n"))
+    inside = values.join(per.select(*keys, "_b", "n", "_k", "_before"), [*keys, "_b"])
+    run = F.col("_before") + F.sum("_c").over(w.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("_run", run).groupBy(*keys, "n").agg(F.min(F.when(F.col("_run") >= F.col("_k"), F.col("_x"))).alias("value"))
+
+
+def distributed_rank(df: DataFrame, keys: list[str], x: str, into: str) -> DataFrame:
+    """Average ranks of non-null x within keys that may each hold most rows: counts of equal values, ranked by bucket."""
+    values = bucketed(df.filter(F.col(x).isNotNull()).select(*keys, x).groupBy(*keys, x).agg(F.count("*").alias("_c")), keys, x)
+    w = Window.partitionBy(*keys)
+    per = values.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    per = per.withColumn("_before", F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.withColumn("_upto", upto).join(per, [*keys, "_b"])
+    rank = F.col("_before") + F.col("_upto") - (F.col("_c") - 1) / 2
+    return df.join(ranked.select(*keys, x, rank.alias(into)), [*keys, x])
+
+
 def conformal_quantile(df: DataFrame, keys: list[str], y: str, pred: str, coverage: float = 0.8, least: int = 20) -> DataFrame:
     """keys, n, q: the k-th smallest absolute residual, k = min(n, ceil((n + 1) coverage)); null below ``least`` residuals."""
-    r = df.select(*keys, F.abs(F.col(y) - F.col(pred)).alias("r")).filter("r is not null")
-    w = Window.partitionBy(*keys)
-    k = F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(coverage)))
-    ranked = r.withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy("r"))})
-    return ranked.groupBy(*keys, "n").agg(F.max(F.when((F.col("i") == k) & (F.col("n") >= least), F.col("r"))).alias("q"))
+    r = df.select(*keys, F.abs(F.col(y) - F.col(pred)).alias("r"))
+    out = nth_smallest(r, keys, "r", F.least(F.col("n"), F.ceil((F.col("n") + 1) * F.lit(coverage))))
+    return out.select(*keys, "n", F.when(F.col("n") >= least, F.col("value")).alias("q"))
 
 
 def expanding_coverage(preds: DataFrame, y: str, pred: str, coverage: float = 0.8) -> DataFrame:
@@ -88,5 +124,49 @@ def effective_size(n: int, horizon: int) -> float:
     return max(n / horizon, 1.0)
 
 
+def metric_block(preds: DataFrame, y: str, pred: str, horizon: int = 30, least_folds: int = 3) -> DataFrame:
+    """One row: n, n_eff, ic (mean over folds of the rank correlation, null below ``least_folds`` scored folds), t, mae, rmse and
+    naive_hit, the percentage that the more frequent direction alone would reach. Zero is not up."""
+    both = preds.filter(F.col(y).isNotNull() & F.col(pred).isNotNull()).select("fold", F.col(y).alias("_y"), F.col(pred).alias("_p"))
+    ranked = distributed_rank(distributed_rank(both, ["fold"], "_y", "_a"), ["fold"], "_p", "_b2")
+    ic = F.covar_pop("_a", "_b2") / F.nullif(F.stddev_pop("_a") * F.stddev_pop("_b2"), F.lit(0.0))
+    ics = ranked.groupBy("fold").agg(ic.alias("ic")).agg(F.when(F.count("ic") >= least_folds, F.avg("ic")).alias("ic"))
+    up, err = F.avg((F.col("_y") > 0).cast("double")), F.col("_p") - F.col("_y")
+    all_rows = both.agg(F.count("*").alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), (F.greatest(up, 1 - up) * 100).alias("naive_hit"))
+    size = F.greatest(F.col("n") / horizon, F.lit(1.0))
+    return all_rows.join(ics).select("n", size.alias("n_eff"), "ic", (F.col("ic") * F.sqrt(F.greatest(size - 1, F.lit(1.0)))).alias("t"), "mae", "rmse", "naive_hit")  # one row each
+
+
+def rank_product(df: DataFrame, y: str, pred: str) -> DataFrame:
+    """product per row: p t over the root of the date's mean p^2 times its mean t^2, of ranks with mean 0."""
+    day = Window.partitionBy("date")
+    scale = F.sqrt(F.avg(F.col(pred) ** 2).over(day) * F.avg(F.col(y) ** 2).over(day))
+    return df.withColumn("product", F.col(pred) * F.col(y) / F.nullif(scale, F.lit(0.0)))
+
+
+def cell_degeneracy(df: DataFrame, keys: list[str], c: str) -> DataFrame:
+    """keys, n, mode_share (share of the most frequent exact value) and unique_fraction, by counts of equal values."""
+    per = df.filter(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("_c"))
+    return per.groupBy(*keys).agg(F.sum("_c").alias("n"), (F.max("_c") / F.sum("_c")).alias("mode_share"), (F.count("*") / F.sum("_c")).alias("unique_fraction"))
+
+
+def coverage_gate(coverage: DataFrame, overall: tuple[float, float] = (0.75, 0.85), each: tuple[float, float] = (0.70, 0.90)) -> DataFrame:
+    """fold, n, coverage, ok for each fold that has one and, under fold -1, for all of them together."""
+    some = coverage.filter("coverage is not null")
+    whole = some.agg(F.lit(-1).alias("fold"), F.sum("n").alias("n"), (F.sum(F.col("coverage") * F.col("n")) / F.sum("n")).alias("coverage"))
+    rows = some.select("fold", "n", "coverage").withColumn("ok", F.col("coverage").between(*each))
+    return rows.union(whole.filter("n is not null").withColumn("ok", F.col("coverage").between(*overall)))
+
+
+def expected_best_sharpe(trials: int, spread: float = 1.0) -> float:
+    """Expected largest Sharpe ratio of so many trials without skill (0 for one trial)."""
+    from statistics import NormalDist
+
+    if trials < 2:
+        return 0.0
+    euler, q = 0.5772156649015329, NormalDist().inv_cdf
+    return spread * ((1 - euler) * q(1 - 1 / trials) + euler * q(1 - 1 / (trials * math.e)))
+
+
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
