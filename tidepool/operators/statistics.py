@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,15 +45,23 @@ def driscoll_kraay(per_date: DataFrame, x: str, lags: int = 30) -> DataFrame:
     return s.select("n", "mean", se.alias("se"), (F.col("mean") / F.nullif(se, F.lit(0.0))).alias("t"))
 
 
-def bucketed(df: DataFrame, keys: list[str], x: str, buckets: int = 512) -> DataFrame:
-    """Rows with _b, the place of x among approximate quantiles of its keys: equal values share a bucket, buckets are in order.
+#: Shares at which a bucketed column is cut; between two cuts the buckets are equally wide.
+CUTS = (0.005, 0.1, 0.25, 0.5, 0.75, 0.9, 0.995)
 
-    Ranks inside a bucket plus the counts of the buckets before it are exact whatever the sketch's error, and no key is sorted in one task.
+
+def bucketed(df: DataFrame, keys: list[str], x: str, buckets: int = 200) -> DataFrame:
+    """Rows with _b, the bucket of x: equal values share one, buckets are in the order of x, ``buckets`` of them between two cuts.
+
+    The cuts are approximate quantiles of the keys. Ranks inside a bucket plus the counts of the buckets before it are exact
+    whatever the cuts, and no key is sorted in one task. Every step (compare, subtract, divide, floor) keeps the order of doubles.
     """
-    share = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(x, share, 20 * buckets)).alias("_cuts"))
-    place = F.size(F.filter("_cuts", lambda c: c < F.col(x)))
-    return df.join(cuts, keys).withColumn("_b", place).drop("_cuts")
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(x, F.lit(np.array(CUTS)), 2000).alias("_cuts"))
+    v, cut = F.col(x), [F.get("_cuts", F.lit(i)) for i in range(len(CUTS))]
+    place = F.when(v <= cut[0], 0)
+    for i in range(1, len(CUTS)):
+        part = (v - cut[i - 1]) / F.nullif(cut[i] - cut[i - 1], F.lit(0.0)) * (buckets - 1)
+        place = place.when(v <= cut[i], 1 + (i - 1) * buckets + F.floor(part).cast("int"))
+    return df.join(cuts, keys).withColumn("_b", place.otherwise(1 + (len(CUTS) - 1) * buckets)).drop("_cuts")
 
 
 def nth_smallest(df: DataFrame, keys: list[str], x: str, nth: Column) -> DataFrame:
