@@ -224,21 +224,190 @@ def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return prints.join(classes, F.col("fp") == F.col("c_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def similarity_bits(similarity: float, bits: int) -> int:
-    """Differing bits expected of two shingle sets with this Jaccard similarity: cosine 2s / (1 + s), angle / pi of the bits."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingle_set(text: str | None, shingle: int = 5, words64: int = 4) -> tuple[np.ndarray, bytes]:
+    """The distinct shingles as sorted XXH64 values (seed 42), and the SimHash of these, each counted once.
+
+    A set's fingerprint, unlike a text's, is bound to Jaccard similarity: repeats do not weigh."""
+    words = (text or "").encode().translate(_LOWER).split()
+    k = min(shingle, len(words))
+    parts = list({b" ".join(words[i:i + k]) for i in range(len(words) - k + 1)}) if words else []
+    ids, out = np.zeros(0, np.uint64), []
+    for seed in range(42, 42 + words64):
+        h = np.array([xxhash.xxh64_intdigest(x, seed) for x in parts], np.uint64)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), _SLAB):
+            ones += np.unpackbits(h[at:at + _SLAB].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h)).tobytes())
+        if seed == 42:
+            ids = np.unique(h)
+    return ids, b"".join(out)
+
+
+def candidate_bits(similarity: float, bits: int, sds: float = 6.0) -> int:
+    """Differing bits that two large sets of this Jaccard similarity exceed with negligible chance: the mean and ``sds``
+    standard deviations. The mean comes from the cosine 2s / (1 + s), the smallest that the similarity allows."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + sds * np.sqrt(bits * p * (1 - p)))
+
+
+def prefix_length(n: int, similarity: float) -> int:
+    """How many of its n shingles, first in an order that all sets share, a set must post: two sets of this similarity
+    then share one, since they share ``similarity`` of each set at least."""
+    return n - int(np.ceil(n * similarity - 1e-9)) + 1 if n else 0
+
+
+def _common(rows: DataFrame, shingle: int, every: int = 16, least: int = 4, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles and their counts in one of ``every`` documents. They only set the order in which shingles are
+    posted, rare ones first: the cost depends on it, the links do not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle, 1)[0].view(np.int64))], ["s"])
+
+    seen = rows.filter(F.pmod("h1", F.lit(every)) == 0).select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    top = sorted((r["s"], r["n"]) for r in seen.orderBy(F.desc("n"), "s").limit(most).collect())
+    ids = np.array([x for x, _ in top], np.int64).view(np.uint64)
+    order = np.argsort(ids)
+    return ids[order], np.array([n for _, n in top], np.int64)[order]
+
+
+def _set_prints(rows: DataFrame, shingle: int, words64: int, similarity: float) -> DataFrame:
+    """id, h1, h2, set (128 bits that stand for the set of shingles), fp, n (shingles), keys (the posted ones)."""
+    common, counts = _common(rows, shingle)
+
+    def posted(ids: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(common, ids)
+        weight = np.zeros(len(ids), np.int64)
+        hit = at < len(common)
+        hit[hit] = common[at[hit]] == ids[hit]
+        weight[hit] = counts[at[hit]]
+        return ids[np.lexsort((ids, weight))[:prefix_length(len(ids), similarity)]].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, fps, sizes, keys = [], [], [], []
+            for t in b.column(3):
+                ids, fp = shingle_set(t.as_py(), shingle, words64)
+                sets.append(xxhash.xxh3_128_digest(ids.tobytes()))
+                fps.append(fp)
+                sizes.append(len(ids))
+                keys.append(posted(ids))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sets, pa.binary()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int32()), lists],
+                                             ["id", "h1", "h2", "set", "fp", "n", "keys"])
+
+    return rows.mapInArrow(run, "id long, h1 long, h2 long, set binary, fp binary, n int, keys array<long>")
+
+
+def _may_link(fa: np.ndarray, fb: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float, max_diff: int, small: int = 64) -> np.ndarray:
+    """Pairs that the sizes and the fingerprints allow; the bits of sets below ``small`` shingles vary too much to tell."""
+    low, high = np.minimum(na, nb), np.maximum(na, nb)
+    bits = np.bitwise_count(fa ^ fb).sum(axis=-1, dtype=np.int64)
+    return (low >= similarity * high - 1e-9) & ((bits <= max_diff) | (low < small))
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, rows: DataFrame, shingle: int, similarity: float, max_diff: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles, taken from the whole texts, have this Jaccard similarity at least."""
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                fa, fb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("fa", "fb"))
+                ok = _may_link(fa, fb, b.column("na").to_numpy(), b.column("nb").to_numpy(), similarity, max_diff)
+                yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle, 1)[0].tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "ids"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3)):
+                u, v = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                ok.append(both >= similarity * (len(u) + len(v) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    of = lambda c: reps.select(F.col("node").alias(c), F.col("fp").alias(f"f{c}"), F.col("n").alias(f"n{c}"))
+    near = stage_table(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "fa", "fb", "na", "nb").mapInArrow(screen, "a long, b long"))
+    need = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(reps, "node").select("node", "first.h1", "first.h2")
+    texts = rows.join(need, ["h1", "h2"]).select("node", "text")
+    sets = stage_table(texts.mapInArrow(sets_of, "node long, ids binary").dropDuplicates(["node"]))
+    held = lambda c: sets.select(F.col("node").alias(c), F.col("ids").alias(f"s{c}"))
+    return stage_table(near.join(held("a"), "a").join(held("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
+
+
+def _open_pairs(posts: DataFrame, parts: DataFrame, reps: DataFrame, similarity: float, max_diff: int, longest: int) -> DataFrame:
+    """Pairs (a, b) of a list that may link, have no leader in them and are not in one component yet. Lists above
+    ``longest`` meet as blocks against blocks, so none is gathered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                x = batch.column(1)[i].values
+                same = batch.column(0)[i].as_py()
+                node, comp, n, block = (x.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n", "block"))
+                fps = np.frombuffer(b"".join(x.field("fp").to_pylist()), np.uint8).reshape(len(node), -1)
+                for k in range(len(node)):
+                    ahead = (comp != comp[k]) & (node > node[k] if same else block > block[k])
+                    at = np.flatnonzero(ahead)
+                    at = at[_may_link(fps[at], fps[k], n[at], n[k], similarity, max_diff)]
+                    out_a.append(np.full(len(at), node[k]))
+                    out_b.append(node[at])
+            a, b = np.concatenate(out_a), np.concatenate(out_b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    comp = posts.join(parts, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    mixed = comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    left = comp.filter("node <> lead").join(mixed, "key").join(reps.select("node", "n", "fp"), "node")
+    blocks = F.ceil(F.col("c") / longest).cast("int")
+    left = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    lists = left.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(
+        F.collect_list(F.struct("node", "comp", "n", "fp", "block")).alias("members"))
+    return lists.select((F.col("i") == F.col("j")).alias("same"), "members").mapInArrow(run, "a long, b long").distinct()
+
+
+def set_links(reps: DataFrame, rows: DataFrame, shingle: int, similarity: float, max_diff: int, longest: int = 2048) -> DataFrame:
+    """Links (a, b) between nodes whose components are those of all pairs with this Jaccard similarity at least.
+
+    First each list's members meet its smallest node alone, so a group of copies is one link each; members of a list that
+    these links leave in different components then meet each other."""
+    index = reps.select("node", F.explode("keys").alias("key"))
+    lists = stage_table(index.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("lead")).filter("c > 1"))
+    posts = stage_table(index.join(lists, "key"))
+    first = _verified(posts.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), reps, rows, shingle, similarity, max_diff)
+    rest = _open_pairs(posts, connected_components(first), reps, similarity, max_diff, longest)
+    return first.union(_verified(rest, reps, rows, shingle, similarity, max_diff))
 
 
 def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
                      words64: int = 4) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one with the smallest id; columns stay.
-
-    Shingles of five words, fingerprints of 256 bits, a link where the differing bits tell a similarity of 0.8 or more (38
-    bits; two sets of similarity 0.8 differ in 38.6 on average, unrelated texts in 128). One of 32 neighbouring byte pairs
-    must agree for a link to be seen: a chance of about 99 % at similarity 0.9 and over, 94 % at 0.85, 85 % at 0.8.
-    Null and blank texts are copies of each other. Repeated rows of an id, and all rows without an id, count as one
-    document. An empty table stays empty.
+    """``docs`` with one row of each group of near copies; columns stay.
+
+    A link is a Jaccard similarity of the sets of five-word shingles of 0.8 or more, verified on the whole texts (shingles
+    stand as XXH64 values). Each set posts its rarest shingles, as many as make every such pair share one; pairs are
+    screened by size and by 256-bit SimHash at a radius six standard deviations above the mean at 0.8 (sets of under 64
+    shingles by size alone), the rest is verified. Groups are the components of the links.
+    Of a group the row with the smallest id stays, null ids last, then by a hash of the row; rows are told apart by their
+    values, not by id, so rows without an id or with a repeated one go only as copies. Null and blank texts are copies of
+    each other. An empty table stays empty.
     """
-    parts = simhash_components(docs, doc_id=doc_id, text=text, shingle=shingle, words64=words64, max_diff=similarity_bits(similarity, 64 * words64))
-    copies = parts.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(f"{P}id")).distinct()
-    return docs.join(copies, F.col(doc_id) == F.col(f"{P}id"), "left_anti").dropDuplicates([doc_id])
+    names = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
+    cols = [*map(F.col, names), *[F.col(c).isNull() for c in names]]  # a hash passes over nulls, so their places count too
+    h1, h2 = F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), F.col(text).cast("string").alias("text"))
+    prints = stage_table(_set_prints(rows, shingle, words64, similarity))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2")
+    classes = prints.groupBy("set").agg(F.min(order).alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    reps = stage_table(classes.select(F.monotonically_increasing_id().alias("node"), "first", "fp", "n", "keys"))
+    parts = connected_components(set_links(reps, rows, shingle, similarity, candidate_bits(similarity, 64 * words64)))
+    groups = reps.join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("first"))
+    stay = groups.select(F.col("first.h1").alias(f"{P}h1"), F.col("first.h2").alias(f"{P}h2"))
+    kept = docs.withColumn(f"{P}1", h1).withColumn(f"{P}2", h2)
+    kept = kept.join(stay, (F.col(f"{P}1") == F.col(f"{P}h1")) & (F.col(f"{P}2") == F.col(f"{P}h2")), "left_semi")
+    return kept.dropDuplicates([f"{P}1", f"{P}2"]).drop(f"{P}1", f"{P}2")
