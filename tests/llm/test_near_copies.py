@@ -72,3 +72,19 @@ def test_lists_cut_into_blocks_lose_no_link(spark):
     for longest in (4, 2048):
         parts = simhash.connected_components(simhash.set_links(reps, rows, 5, 0.8, simhash.candidate_bits(0.8, 256), longest))
         assert {i: i for i in texts} | {x["node"]: x["component"] for x in parts.collect()} == want
+
+
+def test_texts_that_differ_stay_whatever_their_fingerprints(spark):
+    a, b = "one two three four five", "six seven eight nine ten eleven"
+    r = random.Random(13)
+    base = [f"w{i}" for i in range(300)]
+    below = [" ".join(edited(r, base, 9)) for _ in range(30)]
+    pairs = {i: t for i, t in enumerate([" ".join(base), *below])}
+    sets = {i: shingles(t) for i, t in pairs.items()}
+    _, want = components(sets, 0.8)
+    assert any(0.72 < jaccard(sets[0], sets[i]) < 0.8 for i in sets if i)
+    kept = {x["doc_id"] for x in simhash.drop_near_copies(docs_of(spark, pairs.items())).collect()}
+    assert kept == set(want.values())
+    repeats = {0: " ".join([a] * 40), 1: " ".join([a] * 40 + [b])}  # one fingerprint by words repeated, 5 shingles of 11
+    assert jaccard(*map(shingles, repeats.values())) < 0.8
+    assert simhash.drop_near_copies(docs_of(spark, repeats.items())).count() == 2
