@@ -88,3 +88,14 @@ def test_texts_that_differ_stay_whatever_their_fingerprints(spark):
     repeats = {0: " ".join([a] * 40), 1: " ".join([a] * 40 + [b])}  # one fingerprint by words repeated, 5 shingles of 11
     assert jaccard(*map(shingles, repeats.values())) < 0.8
     assert simhash.drop_near_copies(docs_of(spark, repeats.items())).count() == 2
+
+
+def test_rows_with_null_and_repeated_ids_go_only_as_copies(spark):
+    r = random.Random(14)
+    t = [" ".join(f"w{r.randrange(9000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (7, t[2]), (7, t[3]), (9, t[3]), (3, t[4]), (None, t[4]), (8, t[4] + " tail"), (8, t[5])]
+    want = sorted([(None, t[0]), (None, t[1]), (7, t[2]), (7, t[3]), (3, t[4]), (8, t[5])], key=str)
+    for parts in (1, 5):
+        out = simhash.drop_near_copies(docs_of(spark, rows).repartition(parts))
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=str) == want
