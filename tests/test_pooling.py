@@ -37,3 +37,10 @@ def test_json_parsers(spark):
     assert [tuple(x) for x in pooling.parse_holidays(h).collect()] == [("CM", dt.date(2024, 1, 26), "Republic")]
     f = spark.createDataFrame([('[{"category":"FII/FPI *","date":"05-Feb-2024","netValue":"-1,234.5"},{"category":"DII **","date":"05-Feb-2024","netValue":"n/a"}]',)], "json string")
     assert [tuple(x) for x in pooling.parse_flows(f).collect()] == [(dt.date(2024, 2, 5), "fii", -1234.5)]
+
+
+def test_long_rename_chains_reach_back_to_the_start(spark):
+    rows = [(f"s{i}", f"s{i + 1}", f"{2000 + i}-01-01") for i in range(15)]
+    df = spark.createDataFrame(rows, "old string, new string, day string").selectExpr("old", "new", "cast(day as date) as day")
+    out = {x["used"]: (str(x["valid_from"]), str(x["valid_to"])) for x in pooling.symbol_intervals(df).collect()}
+    assert len(out) == 16 and out["s0"] == ("1900-01-01", "2000-01-01") and out["s15"] == ("2014-01-01", "9999-12-31")

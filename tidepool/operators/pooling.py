@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +39,34 @@ def pooled_interval(effects: DataFrame, x: str, var: str, tau2: float, t_quantil
     return spread.select("k", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
-def symbol_intervals(changes: DataFrame, longest: int = 12, start: str = "1900-01-01", forever: str = "9999-12-31") -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder (a temporary one where the session names none) and read again."""
+    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    path = f"{named.rstrip('/')}/tidepool-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def symbol_intervals(changes: DataFrame, longest: int | None = None, start: str = "1900-01-01", forever: str = "9999-12-31") -> DataFrame:
     """symbol (the newest), used, valid_from, valid_to (exclusive) from renames (old, new, day), each chain walked back.
 
-    A step joins every open chain to the rename before it; ``longest`` bounds a chain, and a chain that comes back to one
-    of its own symbols stops there.
+    A step joins every open chain to the rename before it, until none is open; a chain that comes back to one of its own
+    symbols stops there. ``longest`` bounds the steps only where a caller names it. Each step is written, so plans stay short.
     """
     first, last = F.lit(start).cast("date"), F.lit(forever).cast("date")
     newest = changes.select(F.col("new").alias("symbol")).distinct().join(changes.select(F.col("old").alias("symbol")).distinct(), "symbol", "left_anti")
     front = newest.select("symbol", F.col("symbol").alias("used"), last.alias("valid_to"), F.array("symbol").alias("seen"))
-    out = None
-    for _ in range(longest):
+    out, steps = None, 0
+    while longest is None or steps < longest:
+        steps += 1
         before = changes.select(F.col("old").alias("_old"), F.col("new").alias("used"), F.col("day").alias("_day"))
         step = front.join(before, "used", "left").withColumn("_ok", F.col("_old").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("_old")), F.lit(False)) & (F.col("_day") < F.col("valid_to")))
+        step = _written(step)
         row = step.select("symbol", "used", F.when(F.col("_ok"), F.col("_day")).otherwise(first).alias("valid_from"), "valid_to")
         out = row if out is None else out.union(row)
         front = step.filter("_ok").select("symbol", F.col("_old").alias("used"), F.col("_day").alias("valid_to"), F.concat("seen", F.array("_old")).alias("seen"))
+        if front.isEmpty():
+            break
     return out.distinct()
 
 
