@@ -171,7 +171,7 @@ def test_gate_fires_on_injected_defects(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("https://A.com/x/?utm_source=q#t", " The  Title ", "Acme Industries Ltd.", "1,234.5", "<think>no</think> yes <think>open", '```json\n{"a": 1}\n```', " NaN ")], "u string, t string, c string, n string, r string, j string, l string")
+    df = spark.createDataFrame([("https://A.com/x?utm_id=q&ref=Home#t", " The  Title ", "Acme Industries Ltd.", "1,234.5", "<think>no</think> yes <think>open", '```json\n{"a": 1}\n```', " NaN ")], "u string, t string, c string, n string, r string, j string, l string")
     out = df.select(text.article_identity(F.col("u"), F.col("t")).alias("a"), text.article_identity(F.lit("https://a.com/x"), F.lit("")).alias("b"), text.core_name(F.col("c")).alias("c"),
                     text.parse_number(F.col("n")).alias("n"), text.strip_reasoning(F.col("r")).alias("r"), F.get_json_object(text.extract_json(F.col("j")), "$.a").alias("j"),
                     text.clean_label(F.col("l")).alias("l"), text.matches_alias(F.lit("About ACME-Corp."), F.lit("ACME")).alias("m"), text.matches_alias(F.lit("about acme"), F.lit("ACME")).alias("k")).first()

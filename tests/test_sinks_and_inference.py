@@ -46,6 +46,10 @@ def test_event_parsers(spark):
     a, b = df.select(events.action_factor(F.col("s")).alias("f"), events.delivery_rows(F.col("d")).alias("d"), events.symbol_change(F.col("c")).alias("c")).collect()
     assert a["f"] == 10.0 and a["d"]["delivered"] == 40.0 and tuple(a["c"]) == ("Acme, Inc", "OLD", "NEW", dt.date(2024, 1, 5))
     assert b["f"] is None and b["d"] is None and b["c"]["company"] is None
+    said = {"Bonus 3:5": 1.6, " Bonus 1:2": 1.5, "Face Value Split From Rs.10/- To Rs.2/-": 5.0, "Face Value Split (Sub-Division) - From Rs 2/- Per Share To Re 1/- Per Share": 2.0, "Sub-Division Rs 10 To Rs 5": 2.0,
+            "Bonus 1:1/Face Value Split (Sub-Division) - From Rs 10/- Per Share To Rs 2/- Per Share": 10.0, "Rights 1:15 @ Premium Rs 1247": None, "Dividend - Rs 10 Per Share": None, "Bonus 1:0": None}
+    got = spark.createDataFrame([(t,) for t in said], "s string").select("s", events.action_factor(F.col("s")).alias("f"), events.action_kind(F.col("s")).alias("k")).collect()
+    assert {x["s"]: x["f"] for x in got} == said and {x["k"] for x in got if "Bonus 1:1/" in x["s"]} == {"bonus"}
 
 
 def test_seasonal_surprise(spark):
@@ -62,11 +66,14 @@ def test_seasonal_surprise(spark):
 def test_block_bootstrap_keeps_the_mean_and_sees_spread(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=200)
-    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)] + [("c", i, 2.0) for i in range(50)], "k string, date int, x double")
-    out = inference.block_bootstrap_means(df, ["k"], "x", 400, 5).toPandas()
-    a = out[out.k == "a"]["mean"]
+    df = spark.createDataFrame([(f, t, i, float(v)) for i, v in enumerate(x) for f, t, v in ((0, "a", v), (0, "twin", v), (1, "a", -v), (1, "c", 2.0)) if (f, t) != (1, "c") or i % 3], "fold int, ticker string, date int, x double")
+    out = inference.block_bootstrap_means(df, "x", 400, 5).toPandas()
+    a = out[(out.fold == 0) & (out.ticker == "a")].sort_values("replicate")["mean"].to_numpy()
     assert len(a) == 400 and abs(a.mean() - x.mean()) < 0.02 and 0.6 < a.std() / (x.std() / np.sqrt(200)) < 1.4
-    assert np.allclose(out[out.k == "c"]["mean"], 2.0)
+    assert np.allclose(a, out[out.ticker == "twin"].sort_values("replicate")["mean"])  # all tickers draw the same dates
+    assert np.allclose(out[out.ticker == "c"]["mean"], 2.0)
+    other = out[(out.fold == 1) & (out.ticker == "a")].sort_values("replicate")["mean"].to_numpy()
+    assert abs(np.corrcoef(a, other)[0, 1]) < 0.2  # folds draw on their own
 
 
 def test_romano_wolf_finds_the_planted_one(spark):

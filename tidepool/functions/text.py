@@ -7,16 +7,15 @@ from pyspark.sql import functions as F
 
 #: Company suffixes that do not name a company.
 SUFFIXES = ("limited", "ltd", "corporation", "corp", "company", "co", "incorporated", "inc", "plc", "llc")
-#: Query parameters that only track.
-TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
+#: Fixed value: query parameters that only track.
+TRACKING = r"[?&](utm_[^=]+|fbclid|gclid|ref|source)=[^&]*"
 
 
 def article_identity(url: Column, title: Column) -> Column:
-    """sha256 of the address without tracking parameters, fragment and closing slash, lower-cased; of the title without one."""
-    bare = F.substring_index(F.coalesce(url, F.lit("")), "#", 1)
-    bare = F.regexp_replace(bare, f"[?&]({'|'.join(TRACKING)})=[^&]*", "")
-    bare = F.lower(F.regexp_replace(bare, "/+$", ""))
-    name = F.btrim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
+    """sha256 of the lower-cased address without tracking parameters, fragment and trailing ? or &; of the title without one."""
+    bare = F.regexp_replace(F.btrim(F.coalesce(url, F.lit(""))), f"(?i){TRACKING}", "")
+    bare = F.lower(F.regexp_replace(F.substring_index(bare, "#", 1), r"[?&]+$", ""))
+    name = F.regexp_replace(F.lower(F.btrim(F.coalesce(title, F.lit("")))), r"\s+", " ")
     return F.sha2(F.when(bare != "", bare).otherwise(name), 256)
 
 

@@ -6,28 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def block_bootstrap_means(per_date: DataFrame, keys: list[str], x: str, replicates: int = 200, block: int = 30, seed: int = 7) -> DataFrame:
-    """keys, replicate, mean: circular moving-block resamples of each key's series, blocks drawn by a hash of key and place.
+def block_bootstrap_means(df: DataFrame, x: str, replicates: int = 200, block: int = 30, seed: int = 7) -> DataFrame:
+    """fold, ticker, replicate, mean: circular moving-block resamples of the dates of each fold, the same for all tickers.
 
-    A replicate of n dates is ceil(n / block) blocks; the last one is cut. Prefix sums give a block's sum at once, so a
-    replicate costs its blocks and not its dates.
+    df: fold, ticker, date and x. A replicate draws ceil(dates / block) starts (md5 of seed, fold, replicate and place, so every
+    rerun and engine draws alike); what all tickers share on a date stays together, as joint tests need. The sum of a block
+    at each possible start is taken once, so a replicate costs its blocks and not its dates. Dates that a ticker lacks
+    do not count.
     """
-    by = Window.partitionBy(*keys)
-    order = by.orderBy("date")
-    s = per_date.filter(F.col(x).isNotNull()).withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(by), "cum": F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    sums = s.groupBy(*keys, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "cum"))), lambda v: v["cum"]).alias("cum"))  # one number a date
-    draw = sums.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    upto = lambda k: F.when(k > 0, F.element_at("cum", F.greatest(k, F.lit(1)))).otherwise(0.0)
-    n = F.col("n").cast("int")
-
-    def one(j):
-        start = F.pmod(F.xxhash64(F.lit(seed), *keys, "replicate", j), n).cast("int")
-        size = F.least(F.lit(block), n - j * block)
-        end = start + size
-        return F.when(end <= n, upto(end) - upto(start)).otherwise(upto(n) - upto(start) + upto(end - n))
-
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1), one)
-    return draw.select(*keys, "replicate", (F.aggregate(blocks, F.lit(0.0), lambda a, v: a + v) / F.col("n")).alias("mean"))
+    by = Window.partitionBy("fold")
+    grid = df.select("fold", "date").distinct().withColumns({"pos": F.row_number().over(by.orderBy("date")) - 1, "days": F.count("*").over(by)})  # one row a date
+    around = F.when(F.col("pos") < block, F.array(F.col("pos"), F.col("pos") + F.col("days"))).otherwise(F.array("pos"))
+    dense = df.select("fold", "ticker").distinct().join(grid, "fold").join(df.select("fold", "ticker", "date", x), ["fold", "ticker", "date"], "left")
+    laid = dense.select("fold", "ticker", "days", F.coalesce(F.col(x), F.lit(0.0)).alias("_x"), F.col(x).isNotNull().cast("int").alias("_c"), F.explode(around).alias("pos"))
+    ahead = Window.partitionBy("fold", "ticker").orderBy("pos").rowsBetween(0, block - 1)
+    sums = laid.select("fold", "ticker", "pos", F.sum("_x").over(ahead).alias("_s"), F.sum("_c").over(ahead).alias("_n"))
+    size = grid.select("fold", "days").distinct()
+    draws = size.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("days") / block).cast("int") - 1)))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("fold", "replicate", "_j")]))
+    starts = draws.select("fold", "replicate", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("days")).cast("int").alias("pos"))
+    out = starts.join(sums, ["fold", "pos"]).groupBy("fold", "ticker", "replicate").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return out.filter("_n > 0").select("fold", "ticker", "replicate", (F.col("_s") / F.col("_n")).alias("mean"))
 
 
 def romano_wolf(stats: DataFrame, boot: DataFrame, key: str, t: str = "t", bt: str = "bt") -> DataFrame:

@@ -47,9 +47,9 @@ def member_on(intervals: DataFrame, day: Column, inclusive: bool = False) -> Dat
 
 
 def without_near(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, days: int) -> DataFrame:
-    """Rows of left with no right row of the same key within so many days: a range anti join."""
-    r = right.select(F.col(by).alias("_k"), F.col(right_on).alias("_d")).distinct()
-    return left.join(r, (F.col(by) == F.col("_k")) & (F.abs(F.datediff(F.col(left_on), F.col("_d"))) <= days), "left_anti")
+    """Rows of left with no right row of the same key within so many days: the days near right rows are unrolled for an equi anti join."""
+    near = right.select(F.col(by).alias("_k"), F.explode(F.sequence(F.date_add(right_on, -days), F.date_add(right_on, days))).alias("_d")).distinct()
+    return left.join(near, (F.col(by) == F.col("_k")) & (F.to_date(left_on) == F.col("_d")), "left_anti")
 
 
 def compare(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

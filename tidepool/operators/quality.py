@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators.windows import by_ticker
@@ -33,10 +34,12 @@ def not_finite(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def price_breaks(df: DataFrame, actions: DataFrame, size: float = 0.35, days: int = 4) -> DataFrame:
-    """Log moves beyond ``size`` without a corporate action of the ticker within so many days: a warning."""
+    """Log moves beyond ``size`` without a corporate action of the ticker within so many days: a warning.
+
+    The days near an action are unrolled, so the anti join is an equi-join and no pairs of a ticker's rows are made."""
     moves = df.withColumn("r", F.log(F.col("close") / F.nullif(F.lag("close").over(by_ticker()), F.lit(0.0)))).filter(F.abs("r") > size).select("ticker", "date")
-    a = actions.select(F.col("ticker").alias("_t"), F.col("date").alias("_d"))
-    return _verdict("price_breaks", moves.join(a, (F.col("ticker") == F.col("_t")) & (F.abs(F.datediff("date", "_d")) <= days), "left_anti"), "WARN")
+    near = actions.select("ticker", F.explode(F.sequence(F.date_add("date", -days), F.date_add("date", days))).alias("date")).distinct()
+    return _verdict("price_breaks", moves.join(near, ["ticker", "date"], "left_anti"), "WARN")
 
 
 def label_coverage(df: DataFrame, universe: DataFrame, label: str, least: int) -> DataFrame:
@@ -66,7 +69,51 @@ def silent_neutral(df: DataFrame, c: str, neutral: float = 0.0) -> DataFrame:
     return n.join(mode).join(flat)  # one row each
 
 
-CHECKS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (duplicate_keys, future_dates, stale, not_finite, price_breaks, label_coverage)}
+def benchmark_coverage(df: DataFrame, universe: DataFrame, c: str) -> DataFrame:
+    """Names of the universe without any value of the benchmark."""
+    have = df.groupBy("ticker").agg(F.count(c).alias("n"))
+    return _verdict("benchmark_coverage", universe.join(have, "ticker", "left").filter(F.coalesce("n", F.lit(0)) == 0))
+
+
+def distribution(df: DataFrame, c: str, limit: float) -> DataFrame:
+    """n, sd, q01, q99 (exact, interpolated) and how many values lie beyond the limit on either side."""
+    x = df.filter(F.col(c).isNotNull())
+    q = F.percentile(c, F.array(F.lit(0.01), F.lit(0.99)))
+    out = x.agg(F.count("*").alias("n"), F.stddev_samp(c).alias("sd"), q.alias("q"), F.coalesce(F.sum((F.abs(c) > limit).cast("long")), F.lit(0)).alias("beyond"))
+    return out.select("n", F.round("sd", 6).alias("sd"), F.round(F.col("q")[0], 6).alias("q01"), F.round(F.col("q")[1], 6).alias("q99"), "beyond")
+
+
+def panel_checks(bars: DataFrame, labelled: DataFrame, universe: DataFrame, actions: DataFrame, today: str, least_labels: int) -> dict[str, Callable[[], DataFrame]]:
+    """The gate's checks by name, each a function without arguments that gives one row."""
+    sessions = bars.select("date").distinct()
+    lone = labelled.filter("roc is not null").groupBy("ticker").agg(F.count_distinct("roc").alias("n")).filter("n = 1")
+    return {
+        "duplicate_keys": lambda: duplicate_keys(bars), "future_dates": lambda: future_dates(bars, today), "stale": lambda: stale(bars, today),
+        "finite_features": lambda: not_finite(labelled, ["roc"]), "label_coverage": lambda: label_coverage(labelled, universe, "target", least_labels),
+        "benchmark_coverage": lambda: benchmark_coverage(labelled, universe, "roc"), "price_breaks": lambda: price_breaks(bars, actions),
+        "target_distribution": lambda: _verdict("target_distribution", labelled.filter(F.abs("target") > 1.5), "WARN"),
+        "sessions_contiguous": lambda: _verdict("sessions_contiguous", contiguous(bars, sessions).filter("gap > 0")),
+        "flat_days": lambda: _verdict("flat_days", flat_days(bars)), "silent_neutrals": lambda: _verdict("silent_neutrals", lone, "WARN"),
+    }
+
+
+def drive(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """Run every check to its end; one that raises is a FAIL with one bad row and does not stop the others. One row a check."""
+    found = []
+    for name, check in checks.items():
+        try:
+            r = check().first()
+            found.append((name, int(r["n_bad"]), r["status"]))
+        except (PySparkException, ValueError, KeyError, TypeError):
+            found.append((name, 1, "FAIL"))
+    return spark.createDataFrame(found, "check string, n_bad long, status string")
+
+
+def status_lists(report: DataFrame) -> DataFrame:
+    """Names of the failed checks and of the warnings, comma-joined; null where there are none."""
+    names = lambda s: F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("check")))), ","), F.lit(""))
+    one = report.agg(names("FAIL").alias("failures"), names("WARN").alias("warnings"))
+    return one.select(F.explode(F.array(F.struct(F.lit("failures").alias("list"), F.col("failures").alias("checks")), F.struct(F.lit("warnings").alias("list"), F.col("warnings").alias("checks")))).alias("x")).select("x.*")
 
 
 def run_gate(reports: list[DataFrame]) -> DataFrame:

@@ -128,7 +128,7 @@ def market_state(df: DataFrame, short: int = 20, long: int = 60, peak: int = 252
                             "drawdown": F.col("cum") - F.max("cum").over(last(peak))}).drop("cum")
 
 
-def rolling_beta(df: DataFrame, n: int = 60, least: int = 20) -> DataFrame:
+def rolling_beta(df: DataFrame, n: int = 252, least: int = 60) -> DataFrame:
     """Covariance with the date's mean return over its variance, on the ticker's own last n rows."""
     own = df.withColumn("r", F.log(F.col("close") / F.nullif(F.lag("close").over(by_ticker()), F.lit(0.0))))
     own = own.withColumn("m", F.avg("r").over(Window.partitionBy("date")))

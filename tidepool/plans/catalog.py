@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import recursive, text
 from tidepool.operators import crosssection as xs
-from tidepool.operators import folds, joins, portfolio, quality, statistics, windows
+from tidepool.operators import comparators, folds, joins, portfolio, quality, statistics, windows
 from tidepool.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,20 +38,20 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-#: Added before values that are quotients of cents are rounded, so that exact decimal ties do not hang on the last bit.
-NUDGE = 1.7e-7
-
-
-def shown(df: DataFrame, keys: str, values: str, digits: int = 6, nudge: float = 0.0) -> DataFrame:
-    """Keys as they are (dates as text) and values as rounded doubles."""
+def shown(df: DataFrame, keys: str, values: str, digits: int | None = 6) -> DataFrame:
+    """Keys as they are (dates as text) and values as doubles, rounded unless ``digits`` is None."""
     kinds = dict(df.dtypes)
     k = [F.col(c).cast("string").alias(c) if kinds[c] == "date" else F.col(c) for c in keys.split()]
-    return df.select(*k, *[F.round(F.col(c).cast("double") + nudge if nudge else F.col(c).cast("double"), digits).alias(c) for c in values.split()])
+    x = lambda c: F.col(c).cast("double")
+    return df.select(*k, *[(x(c) if digits is None else F.round(x(c), digits)).alias(c) for c in values.split()])
 
 
-BARS = """bars AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey)) AS open,
- max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, sum(l_extendedprice) / sum(l_quantity) AS close,
- sum(l_extendedprice) / sum(l_quantity) * (1 + avg(l_tax) - avg(l_discount)) AS adj_close, sum(l_quantity) AS volume FROM lineitem GROUP BY 1, 2)"""
+#: Sums of amounts are taken in whole hundredths, so they are exact in any order of the rows.
+_CENTS = lambda c: f"CAST(sum(CAST(round({c} * 100) AS BIGINT)) AS DOUBLE)"
+_CLOSE = f"{_CENTS('l_extendedprice')} / {_CENTS('l_quantity')}"
+BARS = f"""bars AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS date, arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey)) AS open,
+ max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low, {_CLOSE} AS close,
+ ({_CLOSE}) * (1 + {_CENTS('l_tax')} / 100 / count(*) - {_CENTS('l_discount')} / 100 / count(*)) AS adj_close, {_CENTS('l_quantity')} / 100 AS volume FROM lineitem GROUP BY 1, 2)"""
 W = "(PARTITION BY ticker ORDER BY date)"
 DAY = "CAST(date AS VARCHAR) AS date"
 
@@ -64,9 +64,9 @@ def sql_of(body: str, *more: str) -> str:
     return "WITH " + ", ".join([BARS, *more]) + " " + body
 
 
-@query(sql_of(f"SELECT ticker, {DAY}, {", ".join(f"round({c} + {NUDGE}, 6) AS {c}" for c in ("open", "high", "low", "close", "volume"))} FROM bars"))
+@query(sql_of(f"SELECT ticker, {DAY}, open, high, low, close, volume FROM bars"))
 def bars_daily(spark, d):
-    return shown(tables.bars(spark, d), "ticker date", "open high low close volume", nudge=NUDGE)
+    return shown(tables.bars(spark, d), "ticker date", "open high low close volume", None)
 
 
 @query(sql_of(f"""SELECT ticker, {DAY}, round(CASE WHEN n = 20 THEN m END, 6) AS sma, round(CASE WHEN n = 20 THEN m + 2 * s END, 6) AS upper, round(CASE WHEN n = 20 THEN m - 2 * s END, 6) AS lower,
@@ -120,9 +120,9 @@ def hurst_slope(spark, d):
     return shown(windows.hurst(tables.bars(spark, d)), "ticker date", "hurst", 4)
 
 
-@query(sql_of(f"SELECT ticker, {DAY}, round(high * (adj_close / close) + {NUDGE}, 6) AS high, round(low * (adj_close / close) + {NUDGE}, 6) AS low, round(adj_close + {NUDGE}, 6) AS close FROM bars"))
+@query(sql_of(f"SELECT ticker, {DAY}, high * (adj_close / close) AS high, low * (adj_close / close) AS low, adj_close AS close FROM bars"))
 def adjusted_bars(spark, d):
-    return shown(windows.adjust(tables.bars(spark, d)), "ticker date", "high low close", nudge=NUDGE)
+    return shown(windows.adjust(tables.bars(spark, d)), "ticker date", "high low close", None)
 
 
 LAB = f"lab AS (SELECT *, lead(ln(close), {HORIZON}) OVER {W} - ln(close) AS target, 100 * (close / lag(close, 10) OVER {W} - 1) AS roc FROM bars)"
@@ -150,7 +150,7 @@ def market_state(spark, d):
 RET = f"ret AS (SELECT ticker, date, close, ln(close / lag(close) OVER {W}) AS r FROM bars)"
 
 
-@query(sql_of(f"SELECT ticker, {DAY}, round(CASE WHEN count(r) OVER w >= 20 THEN covar_samp(r, m) OVER w / nullif(var_samp(m) OVER w, 0) END, 5) AS beta FROM b WINDOW w AS {rows(60)}",
+@query(sql_of(f"SELECT ticker, {DAY}, round(CASE WHEN count(r) OVER w >= 60 THEN covar_samp(r, m) OVER w / nullif(var_samp(m) OVER w, 0) END, 5) AS beta FROM b WINDOW w AS {rows(252)}",
               RET, "b AS (SELECT ticker, date, r, CASE WHEN r IS NOT NULL THEN avg(r) OVER (PARTITION BY date) END AS m FROM ret)"))
 def rolling_beta(spark, d):
     return shown(windows.rolling_beta(tables.bars(spark, d)), "ticker date", "beta", 5)
@@ -161,9 +161,19 @@ def reversal_features(spark, d):
     return shown(windows.reversal(tables.bars(spark, d)), "ticker date", "reversal")
 
 
-@query()
+_RECURSIVE = f"""WITH RECURSIVE {BARS}, n AS (SELECT ticker, date, high, low, close, lag(close) OVER {W} AS before, row_number() OVER {W} AS i FROM bars),
+v AS (SELECT *, greatest(close - before, 0) AS gain, greatest(before - close, 0) AS loss, greatest(high - low, abs(high - before), abs(low - before)) AS tr FROM n),
+e AS (SELECT ticker, date, i, close AS e9, close AS e12, close AS e21, close AS e26, close AS e50, CAST(NULL AS DOUBLE) AS ag, CAST(NULL AS DOUBLE) AS al, tr AS atr, CAST(NULL AS DOUBLE) AS sig FROM v WHERE i = 1
+ UNION ALL SELECT x.ticker, x.date, x.i, x.e9, x.e12, x.e21, x.e26, x.e50, x.ag, x.al, x.atr, CASE WHEN x.i < 26 THEN NULL WHEN x.i = 26 THEN x.e12 - x.e26 ELSE x.sig + (x.e12 - x.e26 - x.sig) * 0.2::DOUBLE END FROM (SELECT v.ticker, v.date, v.i, e.sig,
+ e.e9 + (v.close - e.e9) * 2 / 10 AS e9, e.e12 + (v.close - e.e12) * 2 / 13 AS e12, e.e21 + (v.close - e.e21) * 2 / 22 AS e21, e.e26 + (v.close - e.e26) * 2 / 27 AS e26, e.e50 + (v.close - e.e50) * 2 / 51 AS e50,
+ CASE WHEN e.ag IS NULL THEN v.gain ELSE e.ag + (v.gain - e.ag) / 14 END AS ag, CASE WHEN e.al IS NULL THEN v.loss ELSE e.al + (v.loss - e.al) / 14 END AS al, e.atr + (v.tr - e.atr) / 14 AS atr FROM e JOIN v ON v.ticker = e.ticker AND v.i = e.i + 1) x)
+SELECT ticker, CAST(date AS VARCHAR) AS date, round(CASE WHEN i >= 9 THEN e9 END, 4) AS ema_9, round(CASE WHEN i >= 21 THEN e21 END, 4) AS ema_21, round(CASE WHEN i >= 50 THEN e50 END, 4) AS ema_50, round(CASE WHEN i >= 34 THEN e12 - e26 - sig END, 4) AS macd_diff,
+ round(CASE WHEN i >= 15 THEN CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END END, 4) AS rsi_14, round(CASE WHEN i >= 14 THEN atr END, 4) AS atr_14 FROM e"""
+
+
+@query(_RECURSIVE)
 def recursive_indicators(spark, d):
-    return shown(recursive.recursive_indicators(tables.bars(spark, d)), "ticker date", " ".join(recursive.INDICATORS))
+    return shown(recursive.recursive_indicators(tables.bars(spark, d)), "ticker date", " ".join(recursive.INDICATORS), 4)
 
 
 @query(sql_of(f"""SELECT ticker, {DAY}, round(coalesce(CASE WHEN n >= 10 AND s > 0 THEN greatest(-3, least(3, coalesce((roc - m) / s, 0))) ELSE 0 END, 0), 5) AS z
@@ -237,10 +247,10 @@ def asof_fundamentals(spark, d):
     return out.select("ticker", F.col("date").cast("string").alias("date"), F.col("effective_date").cast("string").alias("effective_date"), F.round("eps", 6).alias("eps"), F.round("book", 4).alias("book"))
 
 
-@query(sql_of(f"""SELECT CAST(g.date AS VARCHAR) AS date, round(m.level + {NUDGE}, 4) AS level FROM (SELECT DISTINCT date FROM bars) g ASOF LEFT JOIN
- (SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS level FROM orders GROUP BY 1) m ON g.date >= m.date"""))
+@query(sql_of(f"""SELECT CAST(g.date AS VARCHAR) AS date, m.level FROM (SELECT DISTINCT date FROM bars) g ASOF LEFT JOIN
+ (SELECT CAST(o_orderdate AS DATE) AS date, {_CENTS('o_totalprice')} / 100 / count(*) AS level FROM orders GROUP BY 1) m ON g.date >= m.date"""))
 def macro_grid_ffill(spark, d):
-    return shown(joins.fill_on_grid(tables.bars(spark, d), tables.macro(spark, d), ["level"]), "date", "level", 4, NUDGE)
+    return shown(joins.fill_on_grid(tables.bars(spark, d), tables.macro(spark, d), ["level"]), "date", "level", None)
 
 
 @query(sql_of("""SELECT event_id, CAST(day AS VARCHAR) AS date, CAST(s.date AS VARCHAR) AS next_session FROM (SELECT event_id, CAST(ts AS DATE) AS day FROM events) e
@@ -342,10 +352,16 @@ def single_factor_ols(spark, d):
     return out.select("fold", F.round("slope", 7).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
-@query()
+def ridge_sql(a: str, b: str, table: str) -> str:
+    """Closed form of a ridge with two columns and a penalty of 1, from centred sums of products."""
+    return f"""SELECT CAST(fold AS INT) AS fold, round(my - mp * w1 - mq * w2, 5) AS intercept, round(w1, 5) AS w1, round(w2, 5) AS w2 FROM (SELECT *, ((qq + 1) * py - pq * qy) / ((pp + 1) * (qq + 1) - pq * pq) AS w1, ((pp + 1) * qy - pq * py) / ((pp + 1) * (qq + 1) - pq * pq) AS w2
+ FROM (SELECT fold, avg(p) AS mp, avg(q) AS mq, avg(y) AS my, covar_pop(p, p) * count(*) AS pp, covar_pop(q, q) * count(*) AS qq, covar_pop(p, q) * count(*) AS pq, covar_pop(p, y) * count(*) AS py, covar_pop(q, y) * count(*) AS qy
+ FROM (SELECT fold, coalesce({a}, 0) AS p, coalesce({b}, 0) AS q, target AS y FROM {table}) GROUP BY fold))"""
+
+
+@query(sql_of(ridge_sql("roc", "volume_roc", f"(SELECT tr.*, CASE WHEN v10 > 0 THEN volume / v10 - 1 ELSE 0 END AS volume_roc FROM tr JOIN (SELECT ticker, date, volume, lag(volume, 10) OVER {W} AS v10 FROM bars) USING (ticker, date))"), *PREDS))
 def ridge_factors(spark, d):
-    fits = folds.ridge(training(spark, d), ["roc", "volume_roc"])
-    return spark.createDataFrame([(k, round(b, 6), *[round(v, 7) for v in w]) for k, (b, w) in fits.items()], "fold int, intercept double, roc double, volume_roc double")
+    return shown(comparators.ridge_of_two(training(spark, d), "roc", "volume_roc"), "fold", "intercept w1 w2", 5)
 
 
 HITS = "hits AS (SELECT ticker, count(*) AS n, avg((target > 0)::INT) AS hit, exp(-2 * count(*) * greatest(avg((target > 0)::INT) - 0.5, 0) ** 2) AS p FROM lab WHERE target IS NOT NULL GROUP BY ticker)"
@@ -485,13 +501,14 @@ def silent_neutral_runs(spark, d):
     return windows.identical_runs(tables.bars(spark, d).withColumn("up", F.floor(F.col("volume") / 10)), "up")
 
 
-_TRACK = "|".join(text.TRACKING)
+_SENT = "url || CASE WHEN page_id % 3 = 0 THEN '?utm_id=a%' || page_id || '&x=1&ref=Home#top' WHEN page_id % 3 = 1 THEN '?Source=feed' ELSE '?id=7&' END"
 
 
-@query(f"""SELECT page_id, sha256(CASE WHEN u <> '' THEN u ELSE trim(regexp_replace(lower(coalesce(html, '')), '\\s+', ' ', 'g')) END) AS article_id
- FROM (SELECT page_id, html, lower(regexp_replace(regexp_replace(split_part(coalesce(url, ''), '#', 1), '[?&]({_TRACK})=[^&]*', '', 'g'), '/+$', '')) AS u FROM pages)""")
+@query(f"""SELECT page_id, sha256(CASE WHEN u <> '' THEN u ELSE regexp_replace(trim(lower(coalesce(html, ''))), '\\s+', ' ', 'g') END) AS article_id
+ FROM (SELECT page_id, html, lower(regexp_replace(split_part(regexp_replace(trim(coalesce({_SENT}, '')), '{text.TRACKING}', '', 'gi'), '#', 1), '[?&]+$', '')) AS u FROM pages)""")
 def article_identity(spark, d):
-    return tables.table(spark, d, "pages").select("page_id", text.article_identity(F.col("url"), F.col("html")).alias("article_id"))
+    sent = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("?utm_id=a%"), "page_id", F.lit("&x=1&ref=Home#top"))).when(F.col("page_id") % 3 == 1, "?Source=feed").otherwise("?id=7&")
+    return tables.table(spark, d, "pages").select("page_id", text.article_identity(F.concat("url", sent), F.col("html")).alias("article_id"))
 
 
 _FLAT = "' ' || regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g') || ' '"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import announcements, benchmarks, folds, joins, portfolio, statistics, windows
 from tidepool.operators import crosssection as xs
-from tidepool.plans.catalog import BOOK, DAY, EMBARGO, FOLDS, FUND, HORIZON, LAB, MIN_TRAIN, MOM, NUDGE, PREDS, RET, SECTORS, W, floors, labelled, query, shown, sql_of
+from tidepool.plans.catalog import BOOK, DAY, EMBARGO, FOLDS, FUND, HORIZON, LAB, MIN_TRAIN, MOM, PREDS, RET, SECTORS, W, floors, labelled, query, shown, sql_of
 from tidepool.sources import tables
 
 HALF_WIDTH = 0.5  # of the intervals of these queries, as a log return
@@ -57,11 +57,11 @@ def series_comparators(spark, d):
     return shown(benchmarks.series_comparators(tables.bars(spark, d), HORIZON), "ticker date", "series_last_return series_drift", 5)
 
 
-@query(sql_of(f"""SELECT ticker, CAST(last AS VARCHAR) AS date, round(close * exp(p) + {NUDGE}, 4) AS expected, round(close * exp(p - {HALF_WIDTH}) + {NUDGE}, 4) AS low_price, round(close * exp(p + {HALF_WIDTH}) + {NUDGE}, 4) AS high_price
+@query(sql_of(f"""SELECT ticker, CAST(last AS VARCHAR) AS date, round(close * exp(p), 4) AS expected, round(close * exp(p - {HALF_WIDTH}), 4) AS low_price, round(close * exp(p + {HALF_WIDTH}), 4) AS high_price
  FROM (SELECT ticker, max(date) AS last, arg_max(close, date) AS close, arg_max(roc, date) / 1000 AS p FROM lab WHERE roc IS NOT NULL GROUP BY ticker)""", LAB))
 def price_view(spark, d):
     newest = windows.latest(labelled(spark, d).filter("roc is not null"), ["ticker"], [F.col("date").desc()]).withColumn("pred", F.col("roc") / 1000)
-    return shown(benchmarks.price_view(newest, "close", "pred", F.lit(HALF_WIDTH)), "ticker date", "expected low_price high_price", 4, NUDGE)
+    return shown(benchmarks.price_view(newest, "close", "pred", F.lit(HALF_WIDTH)), "ticker date", "expected low_price high_price", 4)
 
 
 @query(sql_of(f"SELECT ticker, {DAY}, CAST(resolved_on AS VARCHAR) AS resolved_on FROM (SELECT ticker, date, lead(date, {HORIZON}) OVER {W} AS resolved_on FROM bars) WHERE resolved_on IS NOT NULL"))
@@ -95,10 +95,10 @@ def realised_accuracy(spark, d):
     return shown(resolved(spark, d).groupBy("ticker").agg(F.count("direction_ok").alias("n"), share("direction_ok").alias("accuracy"), share("inside").alias("inside")), "ticker n", "accuracy inside")
 
 
-@query(sql_of(f"SELECT ticker, {DAY}, round(close + {NUDGE}, 5) AS close FROM bars WHERE (ticker, date) IN (SELECT (CAST(l_suppkey AS BIGINT), CAST(l_shipdate AS DATE)) FROM lineitem WHERE l_returnflag = 'R')"))
+@query(sql_of(f"SELECT ticker, {DAY}, close FROM bars WHERE (ticker, date) IN (SELECT (CAST(l_suppkey AS BIGINT), CAST(l_shipdate AS DATE)) FROM lineitem WHERE l_returnflag = 'R')"))
 def matched_rows(spark, d):
     keys = tables.table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"))
-    return shown(tables.bars(spark, d).join(keys, ["ticker", "date"], "left_semi"), "ticker date", "close", 5, NUDGE)
+    return shown(tables.bars(spark, d).join(keys, ["ticker", "date"], "left_semi"), "ticker date", "close", None)
 
 
 CAL = "cal AS (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events WHERE dayofweek(ts) BETWEEN 1 AND 5)"

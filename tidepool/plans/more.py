@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from tidepool.functions import events
 from tidepool.operators import crosssection as xs
 from tidepool.operators import inference, sinks, statistics, windows
-from tidepool.plans.catalog import DAY, HITS, LAB, MEM, NUDGE, RET, W, labelled, query, rows, shown, sql_of
+from tidepool.plans.catalog import DAY, HITS, LAB, MEM, PREDS, RET, W, labelled, query, rows, shown, sql_of
+from tidepool.plans.extra import tested
 from tidepool.sources import tables
 
 
-@query(sql_of(f"""SELECT ticker, {DAY}, round(close + {NUDGE}, 5) AS close, src FROM (SELECT b.ticker, b.date, b.close, 'old' AS src FROM bars b LEFT JOIN f USING (ticker) WHERE f.d IS NULL OR b.date < f.d
+@query(sql_of(f"""SELECT ticker, {DAY}, close, src FROM (SELECT b.ticker, b.date, b.close, 'old' AS src FROM bars b LEFT JOIN f USING (ticker) WHERE f.d IS NULL OR b.date < f.d
  UNION ALL SELECT ticker, date, adj_close, 'new' FROM bars WHERE year(date) >= 1997 AND ticker % 3 <> 0)""", "f AS (SELECT ticker, min(date) AS d FROM bars WHERE year(date) >= 1997 AND ticker % 3 <> 0 GROUP BY ticker)"))
 def window_replace(spark, d):
     b = tables.bars(spark, d)
     old = b.select("ticker", "date", "close", F.lit("old").alias("src"))
     new = b.filter((F.year("date") >= 1997) & (F.col("ticker") % 3 != 0)).select("ticker", "date", F.col("adj_close").alias("close"), F.lit("new").alias("src"))
-    return shown(sinks.replace_window(old, new), "ticker date src", "close", 5, NUDGE)
+    return shown(sinks.replace_window(old, new), "ticker date src", "close", None)
 
 
 @query(sql_of("""SELECT ticker, label, before, after FROM (SELECT ticker, 'target' AS label, count(target) FILTER (date >= DATE '1997-01-01') AS before, count(target) FILTER (date >= DATE '1997-01-01' AND volume < 60) AS after,
@@ -63,26 +64,36 @@ def seasonal_sue(spark, d):
     return shown(events.seasonal_surprise(q), "symbol period_end", "sue", 4)
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN (p_size + 2.0) / 2 * (p_size + 1) ELSE CAST(p_size + 2 AS DOUBLE) / 2 END AS factor FROM part""")
+_SUBJECT = """CASE p_partkey % 6 WHEN 0 THEN 'Bonus ' || p_size || ':' || (p_size % 7 + 1) WHEN 1 THEN 'Face Value Split From Rs.' || (p_size + 1) || '/- To Rs.2/-'
+ WHEN 2 THEN 'Bonus 1:' || p_size || '/Face  Value Split (Sub-Division) - From Rs ' || (p_size * 2) || '/- Per Share To Re 1/- Per Share' WHEN 3 THEN 'Fv Split Rs.' || p_size || ' To Rs.5' WHEN 4 THEN 'Rights 1:' || p_size || ' @ Premium Rs 12' ELSE 'Demerger' END"""
+
+
+@query(f"""WITH s AS (SELECT p_partkey, regexp_replace({_SUBJECT}, '\\s+', ' ', 'g') AS subject FROM part),
+parts AS (SELECT p_partkey, unnest(string_split(regexp_replace(subject, '/(\\s*(bonus|face|fv|split))', chr(1) || '\\1', 'gi'), chr(1))) AS p FROM s),
+f AS (SELECT p_partkey, CASE WHEN regexp_matches(p, '(?i)bonus\\s*\\d+\\s*:\\s*\\d+') THEN (TRY_CAST(regexp_extract(p, '(?i)bonus\\s*(\\d+)\\s*:\\s*(\\d+)', 1) AS DOUBLE) + TRY_CAST(regexp_extract(p, '(?i)bonus\\s*(\\d+)\\s*:\\s*(\\d+)', 2) AS DOUBLE)) / TRY_CAST(regexp_extract(p, '(?i)bonus\\s*(\\d+)\\s*:\\s*(\\d+)', 2) AS DOUBLE)
+ WHEN regexp_matches(p, '(?i)split|sub-division') THEN a[1] / nullif(a[2], 0) END AS x FROM (SELECT *, list_transform(regexp_extract_all(p, '(?i)R[se]\\.?\\s*(\\d+(?:\\.\\d+)?)', 1), lambda v: CAST(v AS DOUBLE)) AS a FROM parts))
+SELECT p_partkey, round(product(x), 6) AS factor, CASE WHEN any_value(subject) = 'Demerger' THEN 'demerger' WHEN abs(product(x) - 1) > 1e-9 THEN CASE WHEN contains(any_value(subject), 'Bonus') THEN 'bonus' ELSE 'split' END END AS kind FROM f JOIN s USING (p_partkey) GROUP BY p_partkey""")
 def action_factors(spark, d):
-    size = F.col("p_size").cast("string")
-    bonus, split = F.concat(F.lit("Bonus "), size, F.lit(":2")), F.concat(F.lit("Split Rs "), (F.col("p_size") + 1).cast("string"), F.lit(" to Re 1"))
-    subject = F.when(F.col("p_size") % 2 == 0, F.concat_ws(" / ", bonus, split)).otherwise(bonus)
-    return tables.table(spark, d, "part").select("p_partkey", events.action_factor(subject).alias("factor"))
+    subject = F.expr(_SUBJECT)
+    return tables.table(spark, d, "part").select("p_partkey", F.round(events.action_factor(subject), 6).alias("factor"), events.action_kind(subject).alias("kind"))
 
 
-@query(f"""SELECT ticker, CAST(date AS VARCHAR) AS date, CAST(sum(n) OVER w AS BIGINT) AS n30, round(sum(n * mean) OVER w / nullif(sum(n) OVER w, 0) + {NUDGE}, 6) AS mean30, round(sqrt(greatest(0, sum(n * (mean * mean + sd * sd)) OVER w / nullif(sum(n) OVER w, 0)
- - (sum(n * mean) OVER w / nullif(sum(n) OVER w, 0)) ** 2)), 4) AS dispersion FROM (SELECT user_id AS ticker, CAST(ts AS DATE) AS date, count(*) AS n, avg(value) AS mean, coalesce(stddev_samp(value), 0) AS sd FROM events GROUP BY 1, 2)
- WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS 29 PRECEDING)""")
+@query("""WITH g AS (SELECT date, row_number() OVER (ORDER BY date) AS pos FROM (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events)),
+p AS (SELECT user_id AS ticker, CAST(ts AS DATE) AS date, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, coalesce(stddev_samp(value), 0) AS sd FROM events GROUP BY 1, 2)
+SELECT ticker, CAST(date AS VARCHAR) AS date, CAST(sum(n) OVER w AS BIGINT) AS n30, CAST(sum(cents) OVER w AS DOUBLE) / 100 / (sum(n) OVER w) AS mean30, round(sqrt(greatest(0, sum(cents * cents / (10000.0::DOUBLE * n) + n * sd * sd) OVER w / (sum(n) OVER w)
+ - (CAST(sum(cents) OVER w AS DOUBLE) / 100 / (sum(n) OVER w)) ** 2)), 4) AS dispersion FROM p JOIN g USING (date) WINDOW w AS (PARTITION BY ticker ORDER BY pos RANGE BETWEEN 29 PRECEDING AND CURRENT ROW)""")
 def news_window_features(spark, d):
-    """Sums over 30 rows; the dispersion puts the sample deviation into the population identity n (mean^2 + sd^2), as the panel's definition does."""
-    per = tables.articles(spark, d).groupBy("ticker", "date").agg(F.count("*").alias("n"), F.avg("score").alias("m"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("s"))
-    over = windows.rows(30)
-    n, first = F.sum("n").over(over), F.sum(F.col("n") * F.col("m")).over(over)
-    second = F.sum(F.col("n") * (F.col("m") * F.col("m") + F.col("s") * F.col("s"))).over(over)
-    mean = first / F.nullif(n, F.lit(0))
-    out = per.withColumns({"n30": n, "mean30": mean, "dispersion": F.sqrt(F.greatest(F.lit(0.0), second / F.nullif(n, F.lit(0)) - mean * mean))})
-    return out.select("ticker", F.col("date").cast("string").alias("date"), "n30", F.round(F.col("mean30") + NUDGE, 6).alias("mean30"), F.round("dispersion", 4).alias("dispersion"))
+    """The last 30 sessions of the grid, whatever days a ticker had news on; the dispersion puts the sample deviation into the
+    population identity n (mean^2 + sd^2), as the panel's definition does."""
+    a = tables.articles(spark, d)
+    grid = a.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")))  # one row a date
+    cents = F.sum(F.round(F.col("score") * 100).cast("long"))
+    per = a.groupBy("ticker", "date").agg(F.count("*").alias("n"), cents.alias("cents"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("s")).join(grid, "date")
+    over = Window.partitionBy("ticker").orderBy("pos").rangeBetween(-29, 0)
+    n, mean = F.sum("n").over(over), F.sum("cents").over(over).cast("double") / 100 / F.sum("n").over(over)
+    second = F.sum(F.col("cents") * F.col("cents") / (F.lit(10000.0) * F.col("n")) + F.col("n") * F.col("s") * F.col("s")).over(over) / n
+    out = per.withColumns({"n30": n, "mean30": mean, "dispersion": F.sqrt(F.greatest(F.lit(0.0), second - mean * mean))})
+    return out.select("ticker", F.col("date").cast("string").alias("date"), "n30", "mean30", F.round("dispersion", 4).alias("dispersion"))
 
 
 @query(sql_of(f"""SELECT ticker, {DAY}, round(abnormal, 6) AS abnormal, round(abnormal5, 6) AS abnormal5 FROM (SELECT ticker, date, CASE WHEN count(s) OVER a >= 40 THEN s - avg(s) OVER a END AS abnormal,
@@ -127,20 +138,31 @@ def shrinkage(spark, d):
     return per.select("ticker", F.round(statistics.shrink(F.col("x"), F.col("v"), F.col("m"), F.lit(0.01)), 6).alias("theta"))
 
 
-@query()
+_BOOT = """, sg AS (SELECT fold, date, row_number() OVER (PARTITION BY fold ORDER BY date) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS days FROM (SELECT DISTINCT fold, date FROM src)),
+ ds AS (SELECT k.fold, k.ticker, sg.pos + days * o.o AS pos, days, coalesce(x, 0) AS x, (x IS NOT NULL)::INT AS c FROM (SELECT DISTINCT fold, ticker FROM src) k JOIN sg USING (fold) JOIN (VALUES (0), (1)) o(o) ON o.o = 0 OR sg.pos < 30 LEFT JOIN src ON src.fold = k.fold AND src.ticker = k.ticker AND src.date = sg.date),
+ bs AS (SELECT fold, ticker, pos, days, sum(x) OVER w AS s, sum(c) OVER w AS c FROM ds WINDOW w AS (PARTITION BY fold, ticker ORDER BY pos ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)),
+ dw AS (SELECT fold, replicate, j, CAST(('0x' || substr(md5('7|' || fold || '|' || replicate || '|' || j), 1, 12))::BIGINT % days AS BIGINT) AS pos FROM (SELECT DISTINCT fold, days FROM sg), range(1, {r}) a(replicate), range(0, 100) b(j) WHERE j < ceil(days / 30)),
+ boot AS (SELECT fold, ticker, replicate, sum(s) / sum(c) AS mean FROM dw JOIN bs USING (fold, pos) GROUP BY fold, ticker, replicate HAVING sum(c) > 0)"""
+
+
+@query(sql_of("SELECT CAST(fold AS INT) AS fold, ticker, count(*) AS replicates, round(avg(mean), 6) AS mean, round(stddev_samp(mean), 6) AS sd FROM boot GROUP BY fold, ticker", *PREDS, "src AS (SELECT fold, ticker, date, y_true AS x FROM te)" + _BOOT.replace("{r}", "51")))
 def block_bootstrap(spark, d):
-    """Mean and spread of 200 block resamples of each ticker's labels."""
-    out = inference.block_bootstrap_means(labelled(spark, d).select("ticker", "date", "target"), ["ticker"], "target", 200, 30)
-    return out.groupBy("ticker").agg(F.round(F.avg("mean"), 6).alias("mean"), F.round(F.stddev_samp("mean"), 6).alias("sd"), F.count("*").alias("replicates"))
+    """Mean and spread of 50 block resamples within each fold, the same dates for all tickers."""
+    out = inference.block_bootstrap_means(tested(spark, d).select("fold", "ticker", "date", F.col("y_true").alias("x")), "x", 50, 30)
+    return shown(out.groupBy("fold", "ticker").agg(F.count("*").alias("replicates"), F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("sd")), "fold ticker replicates", "mean sd")
 
 
-@query()
+@query(sql_of("""SELECT ticker, round(t, 5) AS t, round(max(p) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING), 6) AS p_adjusted FROM (SELECT ticker, t, rank, (sum((top >= t)::INT) + 1) / (count(*) + 1) AS p FROM
+ (SELECT ticker, t, rank, max(bt) OVER (PARTITION BY replicate ORDER BY rank DESC ROWS UNBOUNDED PRECEDING) AS top FROM (SELECT boot.ticker, replicate, pr.t, pr.rank, (boot.mean - pr.m) / pr.sd AS bt FROM boot JOIN pr USING (ticker))) GROUP BY ticker, t, rank)""", LAB,
+              "src AS (SELECT 0 AS fold, ticker, date, target AS x FROM lab WHERE target IS NOT NULL)" + _BOOT.replace("{r}", "101"),
+              "pr AS (SELECT ticker, avg(mean) AS m, stddev_samp(mean) AS sd, avg(mean) / stddev_samp(mean) AS t, row_number() OVER (ORDER BY avg(mean) / stddev_samp(mean) DESC, ticker) AS rank FROM boot GROUP BY ticker HAVING stddev_samp(mean) > 0)"))
 def romano_wolf(spark, d):
-    lab = labelled(spark, d).filter("target is not null").select("ticker", "date", "target")
-    boot = inference.block_bootstrap_means(lab, ["ticker"], "target", 200, 30)
+    lab = labelled(spark, d).filter("target is not null").select(F.lit(0).alias("fold"), "ticker", "date", F.col("target").alias("x"))
+    boot = inference.block_bootstrap_means(lab, "x", 100, 30)
     per = boot.groupBy("ticker").agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("sd")).filter("sd > 0")
     centred = boot.withColumnRenamed("mean", "m").join(per, "ticker").select("ticker", "replicate", ((F.col("m") - F.col("mean")) / F.col("sd")).alias("bt"))
-    return shown(inference.romano_wolf(per.select("ticker", (F.col("mean") / F.col("sd")).alias("t")), centred, "ticker"), "ticker", "t p_adjusted")
+    out = inference.romano_wolf(per.select("ticker", (F.col("mean") / F.col("sd")).alias("t")), centred, "ticker")
+    return out.select("ticker", F.round("t", 5).alias("t"), F.round("p_adjusted", 6).alias("p_adjusted"))
 
 
 @query(sql_of("SELECT CAST(year(date) AS INT) AS year, count(DISTINCT ticker) AS tickers, count(*) AS n, count(DISTINCT date) AS dates FROM bars GROUP BY 1 HAVING count(DISTINCT ticker) > 1"))

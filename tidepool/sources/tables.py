@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,16 +10,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _cents(c: str) -> Column:
+    """A sum of amounts in whole hundredths: exact, whatever the order of the rows."""
+    return F.sum(F.round(F.col(c) * 100).cast("long")).cast("double")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars (ticker, date, open, high, low, close, adj_close, volume) from line items: ticker is the supplier."""
     li = table(spark, sf_dir, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     first = F.struct("l_orderkey", "l_linenumber", "l_partkey")
+    close = _cents("l_extendedprice") / _cents("l_quantity")
     return (li.groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("date"))
             .agg(F.min_by(price, first).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-                 (F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
-                 (F.sum("l_extendedprice") / F.sum("l_quantity") * (1 + F.avg("l_tax") - F.avg("l_discount"))).alias("adj_close"),
-                 F.sum("l_quantity").alias("volume")))
+                 close.alias("close"), (close * (1 + _cents("l_tax") / 100 / F.count("*") - _cents("l_discount") / 100 / F.count("*"))).alias("adj_close"),
+                 (_cents("l_quantity") / 100).alias("volume")))
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +35,7 @@ def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, level: mean order value of each day."""
-    return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("level"))
+    return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg((_cents("o_totalprice") / 100 / F.count("*")).alias("level"))
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
