@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
-_CACHE = 400_000
+
+#: Entries that a worker keeps of coded units and of checked neighbours, and the longest unit kept: about 45 MB together.
+_CACHE = 200_000
+_KEPT = 32
 
 #: Rows that are coded at a time, so that a batch of long texts needs bounded memory.
 _ROWS = 1000
@@ -24,10 +28,15 @@ _ROWS = 1000
 class Transducer:
     """Normaliser, pieces and byte fallback of a BPE model with byte fallback, compiled for shortest paths.
 
-    The states are the last piece read; an arc reads a piece. In the tropical semiring an arc weighs minus the piece's
-    score if the merge order lets the two pieces stand side by side, and infinity if it would have merged across them.
-    Every text has exactly one path of finite weight, the merge order's own segmentation, so the shortest path is right
-    where plain sums of scores, which are ranks in such a model, would not be.
+    Normaliser: every character reads as itself but for the space mark U+2581, which reads as a space; a space is put in front.
+    Pieces: a trie over normalised characters, one arc for each piece, which writes its id and weighs minus its score.
+    Byte fallback: one arc for each character without a piece, which writes the ids of its bytes.
+    Order: a piece may follow another where the model's merge order lets the two stand side by side; elsewhere the arc
+    weighs infinity, for scores of such a model are merge ranks, whose plain sums would prefer other segmentations.
+
+    A text is composed with these one after the other as it is read; a path's weight is the sum of its arcs' weights, and
+    the path of least weight is taken (tropical semiring). The last piece decides which arcs are open, and every beginning
+    of a text has one segmentation of finite weight, so one state for each place in the text is enough.
     """
 
     def __init__(self, model: bytes) -> None:
@@ -37,9 +46,9 @@ class Transducer:
         spec, train = proto.normalizer_spec, proto.trainer_spec
         if train.model_type != train.BPE or not train.byte_fallback or spec.name != "identity" or spec.remove_extra_whitespaces:
             raise ValueError("only BPE models with byte fallback and the identity normaliser are supported")
-        self.prefix = spec.add_dummy_prefix
+        self.prefix = " " if spec.add_dummy_prefix else ""
         kinds = type(proto.pieces[0]) if proto.pieces else None
-        self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
+        self.ids = {p.piece.replace(SPACE, " "): i for i, p in enumerate(proto.pieces) if p.type == kinds.NORMAL}
         self.byte_ids = [0] * 256
         self.bytes_of: list[bytes] = []
         for i, p in enumerate(proto.pieces):
@@ -48,12 +57,12 @@ class Transducer:
                 self.bytes_of.append(bytes([int(p.piece[1:-1], 16)]))
             else:
                 self.bytes_of.append(p.piece.replace(SPACE, " ").encode() if p.type == kinds.NORMAL else b"" if p.type == kinds.CONTROL else " ⁇ ".encode())
-        score = {i: proto.pieces[i].score for i in self.ids.values()}
-        order = {s: n for n, s in enumerate(sorted({score[i] for p, i in self.ids.items() if len(p) > 1}, reverse=True))}
+        #: weights of the arcs, minus the scores
+        self.weight = {i: -float(proto.pieces[i].score) for i in self.ids.values()}
+        order = {w: n for n, w in enumerate(sorted({self.weight[i] for p, i in self.ids.items() if len(p) > 1}))}
         self.text = {i: p for p, i in self.ids.items()}
-        self.width = {i: len(p) for p, i in self.ids.items()}
         #: when a piece is made; single characters are there from the start
-        self.made = {i: order[score[i]] if len(p) > 1 else -1 for p, i in self.ids.items()}
+        self.made = {i: order[self.weight[i]] if len(p) > 1 else -1 for p, i in self.ids.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         for p, i in self.ids.items():
             if len(p) > 1 and all(c in self.ids for c in p):
@@ -61,10 +70,9 @@ class Transducer:
                 if len(ids) == 1:
                     self.halves[i] = last
         self.arcs = {p: i for p, i in self.ids.items() if len(p) == 1 or i in self.halves}
-        self.letters = frozenset(p for p in self.arcs if len(p) == 1)
         #: the pieces' trie: every beginning of a piece, with the piece's id where one ends
         self.trie = {p[:k]: -1 for p in self.arcs for k in range(1, len(p))} | self.arcs
-        if any(SPACE in p.lstrip(SPACE) for p in self.arcs):
+        if any(" " in p.lstrip(" ") for p in self.arcs):
             raise ValueError("a piece holds a space after other characters: texts cannot be cut into words")
         # no piece holds a letter or digit before one of these: a word ends there
         joined = {p[k + 1] for p in self.arcs for k in range(len(p) - 1) if p[k].isalnum()}
@@ -72,7 +80,9 @@ class Transducer:
         word = rf" *[^\W_]+(?=[{ends}])|" if ends else ""
         self.unit = re.compile(rf"{word} *[^ \n]+| +|\n")
         self._pairs: dict[int, bool] = {}
+        #: coded units, the latest and those before; what is still met moves on, the rest goes
         self._units: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _merge(self, s: str) -> tuple[list[int], tuple[int, int]]:
         """The merge order itself: pieces of a string of known characters, and the halves of the last merge."""
@@ -121,59 +131,49 @@ class Transducer:
             else:
                 before, b = mb + 0.5, self.halves[b][0]
 
-    def _path(self, s: str) -> list[int]:
-        """Shortest path over a string of known characters: for each end the one piece that a finite path can end with."""
-        n = len(s)
-        back = [-1] * (n + 1)
-        trie, known, free = self.trie, self._pairs, self.side_by_side
+    def _path(self, unit: str) -> list[int]:
+        """Compose a stretch of normalised text with the transducer and write the path of least weight."""
+        n = len(unit)
+        cost, back = [0.0] + [math.inf] * n, [-1] * (n + 1)
+        trie, known, free, weight = self.trie, self._pairs, self.side_by_side, self.weight
         for start in range(n):
-            last = back[start]
-            if last < 0 and start:
+            so_far, last = cost[start], back[start]
+            if so_far == math.inf:
                 continue
-            base = last << 20
             end = start
             while end < n:
-                i = trie.get(s[start:(end := end + 1)])
+                i = trie.get(unit[start:(end := end + 1)])
                 if i is None:
                     break
-                if i >= 0 and back[end] < 0 and (not start or (free(last, i) if (ok := known.get(base | i)) is None else ok)):
-                    back[end] = i
-        out = []
+                if i >= 0 and so_far + weight[i] < cost[end]:
+                    if last < 0 or (free(last, i) if (ok := known.get(last << 20 | i)) is None else ok):
+                        cost[end], back[end] = so_far + weight[i], i
+            if unit[start] not in trie:  # byte fallback; whatever follows is open
+                cost[start + 1], back[start + 1] = so_far, -1
+        out: list[int] = []
         while n:
-            out.append(back[n])
-            n -= self.width[back[n]]
+            i = back[n]
+            out += (i,) if i >= 0 else [self.byte_ids[x] for x in reversed(unit[n - 1].encode())]
+            n -= len(self.text[i]) if i >= 0 else 1
         return out[::-1]
 
     def _encode_unit(self, unit: str) -> bytes:
-        """Ids of a unit, with its plain spaces, as 32-bit numbers; kept for the next time."""
-        got = self._units.get(unit)
-        if got is None:
-            line = unit.replace(" ", SPACE)
-            if unit[:2] != "  " and len(line) <= 512 and self.letters.issuperset(line):
-                ids = self._path(line)
-            else:
-                ids = []
-                for known, run in _runs(line, self.letters):
-                    if not known:
-                        ids += [self.byte_ids[x] for x in run.encode()]
-                    elif run[:2] == SPACE * 2 or len(run) > 512:  # runs of spaces: merges of one score, by place
-                        ids += self._merge(run)[0]
-                    else:
-                        ids += self._path(run)
-            got = array("i", ids).tobytes()
-            if len(self._units) >= _CACHE:
-                self._units.clear()
-            if len(unit) <= 64:
-                self._units[unit] = got
+        """Ids of a unit as 32-bit numbers; those of a short one are kept for the next time."""
+        got = self._older.get(unit) or array("i", self._path(unit)).tobytes()
+        if len(unit) <= _KEPT:
+            if len(self._units) >= _CACHE // 2:
+                self._older, self._units = self._units, {}
+            self._units[unit] = got
         return got
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Piece ids of a text; none for null and empty texts."""
+        """Piece ids of a text; none for null and empty texts. No piece crosses the border of two units, so a shortest path
+        is one of each unit after the other."""
         if not text:
             return np.zeros(0, np.int32)
-        line = (" " if self.prefix else "") + (text.replace(SPACE, " ") if SPACE in text else text)
-        known, slow = self._units.get, self._encode_unit
-        return np.frombuffer(b"".join([known(u) or slow(u) for u in self.unit.findall(line)]), np.int32)
+        line = self.prefix + (text.replace(SPACE, " ") if SPACE in text else text)
+        slow = self._encode_unit
+        return np.frombuffer(b"".join([self._units.get(u) or slow(u) for u in self.unit.findall(line)]), np.int32)
 
     def decode(self, ids) -> str:
         """The text of piece ids, without the space that encoding put in front."""
@@ -181,15 +181,6 @@ class Transducer:
         return raw[1:] if self.prefix and raw.startswith(" ") else raw
 
 
-def _runs(unit: str, known: frozenset[str]) -> Iterator[tuple[bool, str]]:
-    """Cut a unit where characters that the model knows change with others."""
-    at = 0
-    for i in range(1, len(unit) + 1):
-        if i == len(unit) or (unit[i] in known) != (unit[at] in known):
-            yield unit[at] in known, unit[at:i]
-            at = i
-
-
 @lru_cache(maxsize=2)
 def transducer(model: bytes) -> Transducer:
     """Compiled once for each Python worker."""
