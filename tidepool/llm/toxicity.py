@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from tidepool.llm.simhash import simhash
 #: Feature slots of the model; a bound on what goes to the executors (8 bytes each).
 SLOTS = 1 << 16
 _EDGES = re.compile(r"^\W+|\W+$")
+
+#: Tokens whose weights a worker keeps (about 35 MB).
 _CACHE = 200_000
 _BLOCK = 128
 
@@ -43,20 +46,30 @@ class Crf:
     doc: np.ndarray
 
     def __post_init__(self) -> None:
+        #: weights of tokens, the latest and those before; what is still met moves on, the rest goes
         self._seen: dict[str, float] = {}
+        self._older: dict[str, float] = {}
 
     def emission(self, token: str) -> float:
         got = self._seen.get(token)
         if got is None:
-            if len(self._seen) >= _CACHE:
-                self._seen.clear()
-            got = self._seen[token] = float(self.emit[features(token)].sum())
+            got = self._older.get(token)
+            if got is None:
+                got = float(sum(map(self._weights.__getitem__, features(token))))
+            if len(self._seen) >= _CACHE // 2:
+                self._older, self._seen = self._seen, {}
+            if len(token) <= 40:
+                self._seen[token] = got
         return got
 
+    @cached_property
+    def _weights(self) -> list[float]:
+        return self.emit.tolist()
+
     def marginals(self, docs: list[list[str]]) -> np.ndarray:
         """P(toxic) of each token of all documents in one forward-backward pass; see :func:`forward_backward`."""
-        look, slow = self._seen.get, self.emission
-        e = np.array([x if (x := look(t)) is not None else slow(t) for d in docs for t in d])
+        slow = self.emission
+        e = np.array([x if (x := self._seen.get(t)) is not None else slow(t) for d in docs for t in d])
         first = np.zeros(len(e), bool)
         at = np.cumsum([0, *map(len, docs)])[:-1]
         first[at[at < len(e)]] = True
@@ -231,10 +244,23 @@ def _different(rows: list, near: int = 10) -> list:
     return [rows[i] for i in kept]
 
 
+def _fetch(rows: DataFrame, most_bytes: int) -> dict[int, str]:
+    """Texts by id for the driver, ``most_bytes`` of UTF-8 together: lengths first, then the texts that fit."""
+    sizes = {r["id"]: r["n"] for r in rows.groupBy("id").agg(F.max(F.octet_length("text")).alias("n")).collect()}
+    order = sorted(sizes, key=lambda i: (zlib.crc32(str(i).encode()), i))
+    ends = np.cumsum([sizes[i] for i in order])
+    fit = order[:max(1, int(np.searchsorted(ends, most_bytes, "right")))]
+    fetched = rows.filter(F.col("id").isin(fit)) if len(fit) < len(order) else rows
+    return {r["id"]: r["text"] for r in fetched.groupBy("id").agg(F.min("text").alias("text")).collect()}
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-                   most_docs: int = 2400, most_stretches: int = 6000, seed: int = 11) -> Crf:
+                   most_docs: int = 2400, most_stretches: int = 6000, most_bytes: int = 64 << 20, seed: int = 11) -> Crf:
     """Fit the field and the document score on at most ``most_docs`` labelled documents, a third of them toxic.
 
+    The sample is further bounded by ``most_bytes`` of text, whole documents in the order of a hash of their id (the first is
+    always in), and the field is fitted on at most ``most_stretches`` stretches of 40 tokens of the sample.
+
     Rows of the held-out fold are never read. The sample takes the documents with the smallest hash of their id; the
     documents' own share of toxic labels then weighs the classes. Ids are sampled first, so no text is shuffled but theirs.
     A null label or id is left out, the larger of two labels and the smaller of two texts of an id counts. Without documents of both classes the model scores every document by the share of toxic labels.
@@ -245,7 +271,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     order = F.xxhash64(F.lit(seed), "id")
     chosen = {r["id"]: r["y"] for y, n in ((1, most_docs // 3), (0, most_docs - most_docs // 3)) for r in marks.filter(F.col("y") == y).orderBy(order, "id").limit(n).collect()}
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null").filter(F.col("id").isin(list(chosen)))
-    texts_of = {r["id"]: r["text"] for r in rows.groupBy("id").agg(F.min("text").alias("text")).collect()} if chosen else {}
+    texts_of = _fetch(rows, most_bytes) if chosen else {}
     picked = [{"id": i, "y": y, "text": texts_of[i]} for i, y in chosen.items() if i in texts_of]
     rate = float(share[0] or 0.0)
     bias = math.log((rate * share[1] + 0.5) / ((1 - rate) * share[1] + 0.5))
@@ -263,7 +289,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     return model
 
 
-def _score(model: Crf, texts: list[str | None], most_tokens: int = 1 << 20) -> Iterator[tuple[list[str | None], list[list[str]], np.ndarray, np.ndarray]]:
+def _score(model: Crf, texts: list[str | None], most_tokens: int = 1 << 18) -> Iterator[tuple[list[str | None], list[list[str]], np.ndarray, np.ndarray]]:
     """Groups of texts of about ``most_tokens`` tokens: texts, tokens, marginals, scores."""
     group: list[str | None] = []
     words: list[list[str]] = []
