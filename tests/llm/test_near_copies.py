@@ -67,10 +67,10 @@ def test_lists_cut_into_blocks_lose_no_link(spark):
     sets = {i: shingles(t) for i, t in texts.items()}
     _, want = components(sets, 0.8)
     rows = spark.createDataFrame([(i, i, i, t) for i, t in texts.items()], "id long, h1 long, h2 long, text string")
-    prints = simhash._set_prints(rows, 5, 4, 0.8)
-    reps = simhash.stage_table(prints.selectExpr("id as node", "struct(false as no_id, id, h1, h2) as first", "fp", "n", "keys"))
+    prints = simhash._set_prints(rows, 5, 8, 0.8)
+    reps = simhash.stage_table(prints.selectExpr("id as node", "struct(false as no_id, id, h1, h2) as first", "fp", "keys"))
     for longest in (4, 2048):
-        parts = simhash.connected_components(simhash.set_links(reps, rows, 5, 0.8, simhash.candidate_bits(0.8, 256), longest))
+        parts = simhash.connected_components(simhash.set_links(reps, rows, 5, 0.8, 8, longest, longest))
         assert {i: i for i in texts} | {x["node"]: x["component"] for x in parts.collect()} == want
 
 
