@@ -79,58 +79,117 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return upto.groupBy((F.col("i") + 1).alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "upto"))), lambda x: x["upto"]).alias("upto"))
 
 
-def _order_hash(doc_id: Column, source: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), doc_id, source)
+def _order_hash(doc_id: Column, source: Column, text: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id, source, text)
+
+
+def _key(source: Column) -> Column:
+    """A source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _beginning(rows: DataFrame, needs: DataFrame, first_bits: int, then_bits: int = 18) -> DataFrame:
+    """For each source the longest beginning of its rows, in hash order, whose sizes sum to ``need`` at most.
+
+    rows: k, h, size; needs: k, need. Returns k, cut (rows with h up to it are in) and gap (what is missing); sources
+    without rows or need are absent. Sums of 2**first_bits stretches of the order are windowed, then those of 2**then_bits
+    stretches of the one at the border, then the rows of one of these, about one in 2**27: nothing that grows with a source
+    is sorted in one task. Rows with one h go together.
+    """
+    by = Window.partitionBy("k")
+    bits, known = 0, needs.filter("need > 0").select("k", "need", F.lit(0).cast("double").alias("before"))
+    inside = rows
+    for step in (first_bits, then_bits):
+        bits += step
+        stretch = F.shiftright("h", 64 - bits)
+        sums = inside.groupBy("k", stretch.alias("b")).agg(F.sum("size").alias("s")).join(known.select("k", "need", "before"), "k")
+        upto = sums.withColumn("upto", F.col("before") + F.sum("s").over(by.orderBy("b")))
+        # the first stretch that does not fit; where all fit, one past the last
+        over = F.min(F.when(F.col("upto") > F.col("need"), F.struct("b", (F.col("upto") - F.col("s")).alias("before"))))
+        at = upto.groupBy("k", "need").agg(over.alias("o"), F.max("upto").alias("all"))
+        known = stage_table(at.select("k", "need", F.coalesce("o.before", "all").cast("double").alias("before"), F.col("o.b").alias("b")))
+        inside = inside.join(known.select("k", "b"), "k").filter(stretch == F.col("b")).select("k", "h", "size")
+    one = inside.groupBy("k", "h").agg(F.sum("size").alias("s")).join(known, "k")
+    upto = one.withColumn("upto", F.col("before") + F.sum("s").over(by.orderBy("h"))).filter("upto <= need")
+    last = upto.groupBy("k").agg(F.max("h").alias("last"), F.max("upto").alias("got"))
+    cut = F.when(F.col("b").isNull(), F.lit(2**63 - 1)).otherwise(F.coalesce("last", F.shiftleft("b", 64 - bits) - 1))
+    return stage_table(known.join(last, "k", "left").select("k", cut.alias("cut"), (F.col("need") - F.coalesce("got", "before")).alias("gap")))
+
+
+def _fill(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Single documents that bring each source's sum nearer to its target: k, extras to add and drops to leave out (order hashes).
+
+    rows: k, h, size and taken (already in); gaps: k, gap. One document of each size is offered, the first in hash order. From
+    the largest size down each that fits is added. What is still missing may then be overshot by the next larger document, if
+    leaving out taken ones, from the largest down, brings the sum nearer than before. A source has as many offers as
+    sizes, whatever the number of its documents.
+    """
+    near = rows.join(gaps.filter("gap > 0"), "k").filter("size > 0")
+    first = near.groupBy("k", "taken", "size").agg(F.min("h").alias("h"))
+    offers = near.join(first, ["k", "taken", "size", "h"]).groupBy("k", "gap", "taken", "h").agg(F.sum("size").alias("s"))  # rows with one h go together
+    one = F.struct("s", "h")
+    lists = offers.groupBy("k", "gap").agg(F.reverse(F.array_sort(F.collect_list(F.when(~F.col("taken"), one)))).alias("add"),
+                                           F.reverse(F.array_sort(F.collect_list(F.when(F.col("taken"), one)))).alias("drop"))
+
+    def greedy(items: str, room: Column) -> Column:
+        start = F.struct(room.cast("double").alias("room"), F.array().cast("array<long>").alias("out"))
+
+        def take(state: Column, x: Column) -> Column:
+            fits = x["s"] <= state["room"]
+            return F.struct(F.when(fits, state["room"] - x["s"]).otherwise(state["room"]).alias("room"),
+                            F.when(fits, F.concat(state["out"], F.array(x["h"]))).otherwise(state["out"]).alias("out"))
+
+        return F.aggregate(items, start, take)
+
+    took = lists.withColumn("t", greedy("add", F.col("gap")))
+    over = F.array_min(F.filter("add", lambda x: (x["s"] > F.col("t.room")) & ~F.array_contains("t.out", x["h"])))
+    took = took.withColumn("over", over).withColumn("d", greedy("drop", F.coalesce(F.col("over.s") - F.col("t.room"), F.lit(0.0))))
+    better = F.col("over").isNotNull() & (F.col("d.room") < F.col("t.room"))
+    return took.select("k", F.when(better, F.concat("t.out", F.array("over.h"))).otherwise(F.col("t.out")).alias("extras"),
+                       F.when(better, F.col("d.out")).otherwise(F.array().cast("array<long>")).alias("drops"))
 
 
 def mix_plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1),
              max_repeat: float = 3.0, share: float = 1.0, block_bits: int = 9, shard_bits: int = 5, seed: int = 17) -> tuple[DataFrame, DataFrame]:
     """Plan a mix of whole documents; returns ``(sizes, blocks)``, both written to the shared folder.
 
-    Each source is cut into 2**block_bits blocks by a hash of the document id. A target of k.f times the source's size
-    takes all its blocks k times and once more the blocks in hash order up to a fraction f: whole blocks, then documents of
-    one boundary block, then the one further document that comes nearest to what is missing. The taken (block, pass) units
-    are the exact quotas that the splitting tree deals to 2**shard_bits shards; a source's units go to them in a random order.
-
-    sizes: doc, source, size, h (order hash), block. blocks: per source and block z, target, passes, cut (order hash up to
-    which a last pass goes), extra (one more document) and shards (shard of each pass).
-    Rows that share id and source are taken together; null text has size 0; null source is a source of its own, the last.
-    An empty table gives empty plans. Hot sources are spread over their blocks; only per-block sums are windowed.
+    Each source is permuted by a hash of id, source and text and cut into 2**block_bits blocks of that order. A target of
+    k.f times the source's size takes all its blocks k times, and once more the beginning of the order that fits the
+    fraction f; past the first document that does not fit it goes on with the smaller ones, and single documents settle what
+    is then missing (:func:`_fill`). The (block, pass) units with taken documents are the exact quotas that the splitting tree deals to
+    2**shard_bits shards; a source's units are permuted before they are dealt. A document is taken by the shards that drew
+    its block.
+
+    sizes: doc, k, size, h (order hash), block. blocks: per source (k) and block z, target, passes, what of the last pass is
+    taken (cut, small and cut2, extras, drops) and shards (shard of each pass).
+    Rows that share id, source and text are taken together; null text has size 0; null source is a source of its own, the
+    last. An empty table gives empty plans. Hot sources are spread over their blocks; only sums are windowed.
     """
     src = F.col(source).cast("string")
-    h = _order_hash(F.col(doc_id), src, seed)
-    sizes = stage_table(docs.select(F.col(doc_id).alias("doc"), src.alias("source"), n_words(F.col(text)).alias("size"), h.alias("h"))
+    h = _order_hash(F.col(doc_id), src, F.col(text), seed)
+    sizes = stage_table(docs.select(F.col(doc_id).alias("doc"), src.alias("source"), _key(src).alias("k"), n_words(F.col(text)).alias("size"), h.alias("h"))
                         .withColumn("block", F.shiftright("h", 64 - block_bits)))
-    per_block = stage_table(sizes.groupBy("source", "block").agg(F.sum("size").alias("bz")))
-    per = source_targets(per_block.groupBy("source").agg(F.sum("bz").alias("z")), weights, max_repeat, share)
+    per_block = stage_table(sizes.groupBy("source", "k", "block").agg(F.sum("size").alias("bz")))
+    per = source_targets(per_block.groupBy("source").agg(F.sum("bz").alias("z")), weights, max_repeat, share).withColumn("k", _key(F.col("source")))
     per = per.withColumn("passes", F.when(F.col("z") > 0, F.least(F.floor(F.col("target") / F.col("z") + 1e-12), F.lit(int(max_repeat)))).otherwise(0).cast("long"))
-    per = per.withColumn("rest", F.greatest(F.col("target") - F.col("passes") * F.col("z"), F.lit(0.0)))
-    per = stage_table(per.withColumn("rest", F.when(F.col("passes") >= max_repeat, 0.0).otherwise(F.col("rest"))))
-
-    upto = Window.partitionBy("source").orderBy("block")
-    cum = per_block.withColumn("upto", F.sum("bz").over(upto)).join(per.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source")))
-    edge = (cum.filter("upto > rest and rest > 0").groupBy("source")
-            .agg(F.min_by(F.struct("block", (F.col("upto") - F.col("bz")).alias("before"), "rest"), "block").alias("e"))
-            .select(F.col("source").alias("e_source"), F.col("e.block").alias("e_block"), F.col("e.before").alias("before"), F.col("e.rest").alias("e_rest")))
-    inside = (sizes.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("block") == F.col("e_block")))
-              .groupBy("source", "h", "before", "e_rest").agg(F.sum("size").alias("size"))
-              .withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("h"))))
-    cut = (inside.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("e_rest"), F.col("h"))).alias("cut"),
-                                        (F.first("e_rest") - F.coalesce(F.max(F.when(F.col("upto") <= F.col("e_rest"), F.col("upto"))), F.first("before"))).alias("gap")))
-    edge = stage_table(edge.join(cut.withColumnRenamed("source", "c_source"), F.col("e_source").eqNullSafe(F.col("c_source"))).drop("c_source"))
-    # what the order goes on with after the cut: the document whose size is nearest to the gap, if it brings the sum nearer
-    later = sizes.join(edge, F.col("source").eqNullSafe(F.col("e_source"))).filter(
-        (F.col("block") >= F.col("e_block")) & ((F.col("block") > F.col("e_block")) | F.col("cut").isNull() | (F.col("h") > F.col("cut"))) & (F.abs(F.col("size") - F.col("gap")) < F.col("gap")))
-    extra = later.groupBy("source").agg(F.min_by("h", F.struct(F.abs(F.col("size") - F.col("gap")), "h")).alias("extra")).withColumnRenamed("source", "x_source")
-    plan = (per_block.join(per.withColumnRenamed("source", "s_source"), F.col("source").eqNullSafe(F.col("s_source")))
-            .join(edge, F.col("source").eqNullSafe(F.col("e_source")), "left").join(extra, F.col("source").eqNullSafe(F.col("x_source")), "left")
-            .withColumn("cut", F.when(F.col("block") < F.col("e_block"), F.lit(2**63 - 1)).when(F.col("block") == F.col("e_block"), F.col("cut")))
-            .withColumn("extra", F.when(F.shiftright("extra", 64 - block_bits) == F.col("block"), F.col("extra")))
-            .withColumn("units", F.col("passes") + (F.col("cut").isNotNull() | F.col("extra").isNotNull()).cast("long"))
-            .select("source", "block", "n", "z", "target", "passes", "cut", "extra", "units"))
+    rest = F.when(F.col("passes") >= max_repeat, 0.0).otherwise(F.greatest(F.col("target") - F.col("passes") * F.col("z"), F.lit(0.0)))
+    per = stage_table(per.select("k", "n", "z", "target", "passes", rest.alias("need")))
+
+    units = sizes.select("k", "h", "size")
+    one = _beginning(units, per, block_bits).withColumnsRenamed({"gap": "small"})
+    after = units.join(one, "k").filter("h > cut")
+    two = _beginning(after.filter("size > 0 and size <= small").select("k", "h", "size"), one.select("k", F.col("small").alias("need")), block_bits).withColumnRenamed("cut", "cut2")
+    cuts = stage_table(one.join(two, "k", "left").select("k", "cut", "small", "cut2", F.coalesce("gap", "small").alias("gap")))
+    taken = (F.col("h") <= F.col("cut")) | F.coalesce((F.col("h") <= F.col("cut2")) & (F.col("size") <= F.col("small")), F.lit(False))
+    extras = _fill(units.join(cuts.drop("gap"), "k").select("k", "h", "size", taken.alias("taken")), cuts.select("k", "gap"))
+    block_of = lambda x: F.shiftright(x, 64 - block_bits)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    last = yes(F.col("block") <= block_of("cut")) | yes(F.col("block") <= block_of("cut2")) | yes(F.exists("extras", lambda x: block_of(x) == F.col("block")))
+    plan = (per_block.select("k", "block").join(per.drop("need"), "k").join(cuts.drop("gap"), "k", "left").join(extras, "k", "left")
+            .withColumn("units", F.col("passes") + last.cast("long")))
     plan = stage_table(plan)
 
-    units = plan.filter("units > 0").select("source", "block", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("units"))).alias("turn"))
+    units = plan.filter("units > 0").select("block", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("units"))).alias("turn"))
     units = units.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.xxhash64(F.lit(seed + 1), "n", "block", "turn"), "block", "turn")))
     quotas = plan.groupBy("n").agg(F.sum("units").alias("q"))
     tree = stage_table(splitting_tree(quotas, shard_bits, seed))
@@ -141,18 +200,18 @@ def mix_plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     return sizes, stage_table(blocks)
 
 
-def _times() -> Column:
-    h = F.col(f"{P}h")
-    last = F.coalesce(h <= F.col(f"{P}cut"), F.lit(False)) | F.coalesce(h == F.col(f"{P}extra"), F.lit(False))
-    return F.col(f"{P}passes") + last.cast("long")
+_PLAN = ("k", "block", "n", "z", "target", "passes", "cut", "small", "cut2", "extras", "drops", "units", "shards")
 
 
 def _with_plan(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Join rows that carry the internal source, h and block columns with their block's plan."""
-    plan = reduce(lambda d, c: d.withColumnRenamed(c, f"{P}{c}"), ("n", "z", "target", "passes", "cut", "extra", "units", "shards"),
-                  blocks.withColumnRenamed("source", f"{P}ps").withColumnRenamed("block", f"{P}pb"))
-    on = F.col(f"{P}source").eqNullSafe(F.col(f"{P}ps")) & (F.col(f"{P}block") == F.col(f"{P}pb"))
-    return rows.join(plan, on).withColumn(f"{P}times", _times())
+    """Join rows that carry internal k, block, h and size columns with their block's plan; adds the shards that took each row."""
+    plan = blocks.select(*[F.col(c).alias(f"{P}p_{c}") for c in _PLAN])
+    rows = rows.join(plan, (F.col(f"{P}k") == F.col(f"{P}p_k")) & (F.col(f"{P}block") == F.col(f"{P}p_block")))
+    h, p = F.col(f"{P}h"), lambda c: F.col(f"{P}p_{c}")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    last = (h <= p("cut")) | yes((h <= p("cut2")) & (F.col(f"{P}size") <= p("small")) & (F.col(f"{P}size") > 0)) | yes(F.array_contains(p("extras"), h))
+    times = p("passes") + yes(last & ~yes(F.array_contains(p("drops"), h))).cast("long")
+    return rows.withColumn(f"{P}took", F.slice(F.coalesce(p("shards"), F.array().cast("array<int>")), F.lit(1), times.cast("int")))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -161,29 +220,30 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     Null text counts 0 words and takes none; see :func:`mix_plan` for ties, repeats, null sources and empty tables.
     """
     sizes, blocks = mix_plan(docs, **options)
-    rows = sizes.select(F.col("doc").alias("doc_id"), "size", *[F.col(c).alias(f"{P}{c}") for c in ("source", "h", "block")])
-    return _with_plan(rows, blocks).select(
-        "doc_id", "size", F.col(f"{P}z").alias("source_size"), F.col(f"{P}target").alias("target"), (F.col("size") * F.col(f"{P}times")).alias("taken"),
-        F.slice(F.coalesce(F.col(f"{P}shards"), F.array().cast("array<int>")), F.lit(1), F.col(f"{P}times").cast("int")).alias("shards"))
+    rows = sizes.select(F.col("doc").alias("doc_id"), *[F.col(c).alias(f"{P}{c}") for c in ("k", "h", "block", "size")])
+    took, size = F.col(f"{P}took"), F.col(f"{P}size")
+    return _with_plan(rows, blocks).select("doc_id", size.alias("size"), F.col(f"{P}p_z").alias("source_size"), F.col(f"{P}p_target").alias("target"),
+                                           (size * F.size(took)).alias("taken"), took.alias("shards"))
 
 
-def mix_documents(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", block_bits: int = 9, seed: int = 17,
-                  shard_col: str | None = None, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", block_bits: int = 9, seed: int = 17,
+                  shard_col: str | None = None, files_per_shard: int = 8, **options) -> DataFrame:
     """The mixed rows themselves: every document as often as the mix takes it, with the columns of ``docs``.
 
-    shard_col adds the output shard; :func:`write_mix` lays the shards out and shuffles within them. Texts travel once,
-    on (source, block), so a hot source spreads over its blocks.
+    Texts travel once, to their shard (cut by hash into ``files_per_shard`` parts, so a large shard is no single task), where
+    they are shuffled locally: sorted by a hash of the document and the number of the take. shard_col adds the output
+    shard. Reruns and recomputed tasks agree.
     """
-    _, blocks = mix_plan(docs, doc_id=doc_id, source=source, block_bits=block_bits, seed=seed, **options)
+    _, blocks = mix_plan(docs, doc_id=doc_id, source=source, text=text, block_bits=block_bits, seed=seed, **options)
     src = F.col(source).cast("string")
-    rows = docs.withColumns({f"{P}source": src, f"{P}h": _order_hash(F.col(doc_id), src, seed)})
-    rows = _with_plan(rows.withColumn(f"{P}block", F.shiftright(f"{P}h", 64 - block_bits)), blocks).filter(F.col(f"{P}times") > 0)
-    rows = rows.withColumn(f"{P}shard", F.explode(F.slice(f"{P}shards", F.lit(1), F.col(f"{P}times").cast("int"))))
+    h = _order_hash(F.col(doc_id), src, F.col(text), seed)
+    rows = docs.withColumns({f"{P}k": _key(src), f"{P}h": h, f"{P}block": F.shiftright(h, 64 - block_bits), f"{P}size": n_words(F.col(text))})
+    rows = _with_plan(rows, blocks).select(*docs.columns, f"{P}h", F.posexplode(f"{P}took").alias(f"{P}turn", f"{P}shard"))
+    rows = rows.withColumn(f"{P}order", F.xxhash64(F.lit(seed + 2), f"{P}h", f"{P}turn"))
+    rows = rows.repartition(f"{P}shard", F.pmod(f"{P}order", F.lit(files_per_shard))).sortWithinPartitions(f"{P}shard", f"{P}order")
     return rows.select(*docs.columns, *([F.col(f"{P}shard").alias(shard_col)] if shard_col else []))
 
 
-def write_mix(mixed: DataFrame, path: str, shard_col: str, doc_id: str = "doc_id", seed: int = 17, files_per_shard: int = 8) -> None:
-    """Write one folder per shard, rows shuffled within each file by a hash order; files_per_shard splits a large shard."""
-    salt = F.pmod(F.xxhash64(F.lit(seed), doc_id, F.rand(seed)), F.lit(files_per_shard))
-    (mixed.withColumns({f"{P}salt": salt, f"{P}order": F.rand(seed + 1)}).repartition(shard_col, f"{P}salt")
-     .sortWithinPartitions(shard_col, f"{P}order").drop(f"{P}salt", f"{P}order").write.partitionBy(shard_col).parquet(path))
+def write_mix(docs: DataFrame, path: str, **options) -> None:
+    """Write the mix of ``docs`` as one folder per shard, its rows in their local shuffle's order."""
+    mix_documents(docs, shard_col="shard", **options).write.partitionBy("shard").parquet(path)
