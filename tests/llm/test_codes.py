@@ -30,6 +30,19 @@ def test_rollups_follow_from_the_final_state(spark):
     assert got == want
 
 
+def test_rollups_of_repeats_nulls_and_long_texts(spark, tmp_path):
+    rows = [(1, "a b", "en", "s"), (1, "a b", "en", "s"), (None, "a b", None, "s"), (2, "c", None, "s"), (3, "c", "de", "t"), (4, None, "en", None), (5, None, "fr", "s"), (6, "", "en", "s"), (7, "x " * 50_000, "fr", "s"), (None, "d", "de", "t"), (None, "d", "de", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"h1": F.lit(1), "again": F.lit(2), "n_tokens": F.lit(3)}).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {(x["source"], x["lang"], x["tokenizer_version"]): x["n_docs"] for x in queries.op3_token_counts(spark, f"file://{tmp_path}").collect()}
+    assert got == {("s", "en", "byte_bpe_50k"): 2, (None, "en", "byte_bpe_50k"): 1, ("s", None, "byte_bpe_multi_50k"): 1, ("s", "fr", "byte_bpe_multi_50k"): 1, ("t", "de", "byte_bpe_multi_50k"): 1}
+    roll = token_counts.Rollup(spark, f"file://{tmp_path}/stream")
+    token_counts.inserts(spark.createDataFrame([("s", "en", "v1", 5)], "source string, lang string, tokenizer_version string, n_tokens long")).write.parquet(f"file://{tmp_path}/changes")
+    flow = spark.readStream.schema("source string, lang string, tokenizer_version string, sign int, n_tokens long").parquet(f"file://{tmp_path}/changes")
+    token_counts.commit_stream(roll, flow, f"file://{tmp_path}/check").awaitTermination(120)
+    token_counts.commit_stream(roll, flow, f"file://{tmp_path}/check").awaitTermination(120)  # nothing new
+    assert [tuple(x) for x in roll.totals().collect()] == [("s", "en", "v1", 1, 5)]
+
+
 def test_commits_are_idempotent_and_additive(spark, tmp_path):
     schema = "source string, lang string, tokenizer_version string, n_tokens long"
     a = spark.createDataFrame([("s", "en", "v1", 5), ("s", "en", "v1", 7), (None, None, "v1", None)], schema)
@@ -84,7 +97,7 @@ def test_pieces_equal_the_library(spark):
     model, library = pieces.read_model(path), sentencepiece.SentencePieceProcessor(model_file=path)
     r = random.Random(1)
     texts = ["".join(r.choice("abcdeéñ  \t\n.,;!?01▁日本🙂İtheing-'") for _ in range(r.randrange(80))) for _ in range(3000)]
-    texts += [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", " ", " " * 90, "a" * 700, "x" * 3000, "\n\n", "\x00\x7f"]
+    texts += [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").collect()] + ["", " ", " " * 90, "a" * 700, "x" * 3000, "\n\n", "\x00\x7f", "q9Z" * 20_000, "same", "same"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "doc_id long, text string").withColumn("decoded", F.lit(0))
     out = {x["doc_id"]: x for x in pieces.decode_documents(pieces.encode_documents(df, model), model).collect()}
     for i, t in enumerate(texts):
@@ -135,6 +148,23 @@ def test_embedding_links_against_brute_force(spark, residents, visitors, monkeyp
     assert embedding_dedup.embedding_components(vectors_of(spark, x[:0])).count() == 0
 
 
+def test_vectors_of_any_scale_and_length(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40, 8))
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+    rows += [(100, [1e200] * 8), (101, [2e200] * 8), (102, [3e-200] * 8), (103, [1e-310] * 8), (104, [1.0] * 3), (105, [2.0] * 3), (106, [1.0] * 8), (106, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "raw": F.lit(2), "n_links": F.lit("x"), "part": F.lit(3)})
+    out = {v["vec_id"]: v for v in embedding_dedup.embedding_components(df).collect()}
+    ones = {100, 101, 102, 103, 106}
+    assert {out[i]["component_id"] for i in ones} <= set(range(40)) | {100} and len({out[i]["component_id"] for i in ones}) == 1
+    assert all(out[i]["n_links"] >= 5 for i in ones) and (out[104]["component_id"], out[105]["component_id"], out[105]["n_links"]) == (104, 104, 1)
+    near = ann.nearest_neighbours(df, every=1, k=4).toPandas()
+    assert set(near[near.query_id == 100].vec_id) <= ones and near[near.query_id == 100].score.between(1 - 1e-12, 1 + 1e-12).all()
+    assert near[near.query_id == 104].vec_id.tolist() == [105]
+    bad = spark.createDataFrame([(0, [1.0, 2.0]), (1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, [2.0, 4.0])], "vec_id long, embedding array<double>")
+    assert set(ann.nearest_neighbours(bad, every=1, k=5).toPandas().query_id) == {0, 3}
+
+
 def test_neighbours_recall_and_exact_scores(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(4000, 16))

@@ -90,6 +90,31 @@ def test_splitting_tree_is_exact_and_hypergeometric(spark):
     assert abs(np.mean(first) - 10) < 1.2  # 16 draws of 64 with 40 good: mean 10, sd 1.7
 
 
+def test_mix_fills_the_gap_behind_a_document_that_does_not_fit(spark, tmp_path):
+    r = random.Random(21)
+    skewed = [(i, " ".join(["w"] * (r.choice([3000, 5000, 9000]) if i % 10 == 0 else r.randrange(1, 200))), "en", "abcdef"[i % 6], 0) for i in range(240)]
+    ones = [(1000 + i, "w", "en", "g", 0) for i in range(3000)] + [(5000 + i, " ".join(["w"] * 4000), "en", "g", 0) for i in range(4)]
+    repeats = [skewed[3]] * 5
+    docs = docs_of(spark, skewed + ones + repeats).withColumn("extra", F.lit(1))
+    out = mixing.mix_report(docs).toPandas()
+    source = {row[0]: row[3] for row in skewed + ones}
+    out["source"] = out.doc_id.map(source)
+    total = {s: int(x) for s, x in out.groupby("source")["size"].sum().items()}
+    want = water_fill(total, (5, 2, 1), 3)
+    for s, x in out.groupby("source").taken.sum().items():
+        assert abs(x - want[s]) <= 0.015 * want[s], (s, x, want[s])  # 40 documents a source, some of them longer than the gap
+    assert out[out.doc_id == skewed[3][0]].taken.nunique() == 1  # repeated rows are taken together
+    mixed = mixing.mix_documents(docs, shard_col="shard")
+    assert mixed.columns == [*docs.columns, "shard"]
+    assert Counter(x["doc_id"] for x in mixed.collect()) == Counter({i: int(n) for i, n in (out.assign(n=out.taken // out["size"])).groupby("doc_id").n.sum().items() if n})
+    mixing.write_mix(docs, f"file://{tmp_path}/a", files_per_shard=1)
+    mixing.write_mix(docs.repartition(5), f"file://{tmp_path}/b", files_per_shard=1)
+    for shard in range(0, 32, 7):
+        a, b = ([x["doc_id"] for x in spark.read.parquet(f"file://{tmp_path}/{d}/shard={shard}").collect()] for d in "ab")
+        assert Counter(a) == Counter(b)
+        assert len(a) < 30 or a != sorted(a)
+
+
 def test_mix_edges(spark, odd, empty):
     out = mixing.mix_report(odd).toPandas()
     assert len(out) == 9 and out[out["size"] == 0].taken.sum() == 0
@@ -151,6 +176,32 @@ def test_toxicity_learns_and_keeps_held_out_labels_unread(spark, odd, empty):
     assert toxicity.train_toxicity(empty, marks.limit(0)).doc_scores(np.zeros(0), np.array([0]))[0] == 0.5
 
 
+def test_document_scores_against_enumeration(spark):
+    """Scores from all label paths of short documents, features of the document score recomputed plainly."""
+    r = np.random.default_rng(4)
+    model = toxicity.Crf(r.normal(size=toxicity.SLOTS), r.normal(size=(2, 2)), r.normal(size=2), r.normal(size=4))
+    texts = ["", None, "One", "two words", "x, (y) 12 ... z", "nine short words make two to the ninth paths", " \n "]
+    for x in toxicity.score_toxicity(docs_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]), model).collect():
+        words = (texts[x["doc_id"]] or "").lower().split()
+        total, one = 0.0, np.zeros(len(words))
+        for y in product((0, 1), repeat=len(words)):
+            w = np.exp(sum(model.emit[toxicity.features(t)].sum() * v for t, v in zip(words, y)) + (model.start[y[0]] if y else 0) + sum(model.chain[a, b] for a, b in zip(y, y[1:])))
+            total, one = total + w, one + w * np.array(y)
+        m = one / total
+        f = np.array([1, np.log1p(m.sum()), m.mean() if words else 0, m.max() if words else 0])
+        score = 1 / (1 + np.exp(-f @ model.doc))
+        assert abs(x["score"] - score) < 1e-9 and x["predicted"] == (score >= 0.5)
+
+
+def test_toxicity_takes_null_and_repeated_labels_and_bounds_its_sample(spark, odd):
+    rows = [(i, "nasty vile rotten words here" if i % 2 else "plain good calm words here", "en", "s", 0) for i in range(1, 400)]
+    docs = docs_of(spark, rows).withColumns({"score": F.lit(1), "toxic": F.lit(0), "id": F.lit("z")})
+    marks = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 400)] + [(1, 0, 0), (2, 0, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.train_toxicity(docs, marks, most_bytes=2000)
+    assert len(toxicity._fetch(docs.select("doc_id", "text").withColumnRenamed("doc_id", "id"), 2000)) < 90
+    assert toxicity.score_toxicity(docs, model).count() == 399 and toxicity.drop_toxic(docs, model).columns == docs.columns
+
+
 # line dedup --------------------------------------------------------------------------------------------------------
 
 
@@ -158,16 +209,18 @@ def test_line_dedup_against_brute_force(spark, empty):
     r = random.Random(8)
     lines = [f"line {i}" for i in range(40)] + ["footer", "  footer ", "", "\t"]
     rows = [(i, None if i % 17 == 0 else "\n".join(r.choice(lines) for _ in range(r.randrange(6))), "en", r.choice(["a", "a", "b", None]), 0) for i in range(300)]
-    rows += [rows[5]] * 2
-    host, held = Counter(row[3] for row in rows), Counter()
-    for row in rows:
-        held.update({(row[3], x.strip(" \t\r\x0b\x0c")) for x in (row[1].split("\n") if row[1] is not None else [])})
+    rows += [rows[5]] * 2 + [(900 + i, "one page\nthat is copied", "en", "a", 0) for i in range(60)]
+    pages = {(row[3], row[1]) for row in rows}  # copies of a page are one page
+    host, held = Counter(h for h, _ in pages), Counter()
+    for h, t in pages:
+        held.update({(h, x.strip(" \t\r\x0b\x0c")) for x in (t.split("\n") if t is not None else [])})
     bad = {k for k, n in held.items() if k[1] and n >= 3 and n > 0.1 * host[k[0]]}
     want = Counter((row[0], None if row[1] is None else "\n".join(x for x in row[1].split("\n") if (row[3], x.strip(" \t\r\x0b\x0c")) not in bad)) for row in rows)
     docs = docs_of(spark, rows).withColumns({"host": F.lit(1), "key": F.lit(2), "id": F.lit(3)})
-    out = line_dedup.drop_boilerplate(docs, host=F.col("source"), ratio=0.1, dropped="gone")
-    assert out.columns == [*docs.columns, "gone"]
-    assert Counter((x["doc_id"], x["text"]) for x in out.collect()) == want and bad
+    for most_keys in (100_000, 0):  # keys broadcast, keys shuffled to the documents that hold them
+        out = line_dedup.drop_boilerplate(docs, host=F.col("source"), ratio=0.1, dropped="gone", most_keys=most_keys)
+        assert out.columns == [*docs.columns, "gone"]
+        assert Counter((x["doc_id"], x["text"]) for x in out.collect()) == want and bad
     assert line_dedup.drop_boilerplate(empty, host=F.col("source")).count() == 0
 
 
@@ -205,11 +258,13 @@ def slow_components(prints, most):
     return {i: find(i) for i in ids}
 
 
-def test_every_link_shares_a_key():
-    keys, least = simhash.byte_keys(8, 3)
-    assert least == 5 and len(keys) == 14
-    for apart in combinations(range(8), 3):
-        assert any(not set(apart) & set(k) for k in keys)
+def test_every_link_shares_an_opened_list():
+    for depth, n in ((1, 4), (2, 4), (3, 8), (4, 14)):
+        lists = simhash.lists_to_open(depth)
+        assert len(lists) == n and all(len(x) == depth for x in lists)
+        for equal in combinations(range(8), 5):
+            assert any(set(x) <= set(equal) for x in lists)
+    assert [simhash.depth_for(n, 1024) for n in (0, 10**5, 10**7, 10**9, 10**14)] == [1, 1, 2, 3, 4]
 
 
 def test_simhash_against_brute_force(spark, odd, empty):
@@ -223,14 +278,14 @@ def test_simhash_against_brute_force(spark, odd, empty):
     assert simhash.simhash_components(odd).count() == 9 and simhash.simhash_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("longest", [4, 2048])
-def test_long_posting_lists_lose_no_link(spark, longest):
+@pytest.mark.parametrize(("longest", "depth"), [(4, 1), (2048, 1), (2048, 2), (16, 3), (2048, 4)])
+def test_long_posting_lists_lose_no_link(spark, longest, depth):
     r = random.Random(6)
     centre = r.getrandbits(64)
     prints = {i: centre ^ sum(1 << b for b in r.sample(range(64), r.randrange(0, 5))) for i in range(150)} | {i: r.getrandbits(64) for i in range(150, 300)}
     prints = {i: p for p, i in {p: i for i, p in sorted(prints.items(), reverse=True)}.items()}
     reps = spark.createDataFrame([(i, bytearray(p.to_bytes(8))) for i, p in prints.items()], "doc long, fp binary")
-    parts = components.connected_components(simhash.near_links(reps, 3, 8, longest))
+    parts = components.connected_components(simhash.near_links(reps, 3, 8, longest, depth))
     got = {i: i for i in prints} | {x["node"]: x["component"] for x in parts.collect()}
     assert got == slow_components(prints, 3)
 
@@ -279,6 +334,16 @@ def test_trigram_queries():
     assert set(secrets.trigram_query("colou?red")) == {frozenset(("col", "olo", "lou", "our", "ure", "red")), frozenset(("col", "olo", "lor", "ore", "red"))}
 
 
+def test_more_trigrams_than_one_number_holds(spark):
+    words = [f"{a}{b}{c}key{d}" for a in "abc" for b in "xyz" for c in "pq" for d in "12"]
+    rules = tuple(secrets.Rule(w, w) for w in words)
+    texts = [" ".join(words[i::7]) for i in range(7)] + [None]
+    docs = docs_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]).withColumns({"doc": F.lit(1), "trigram": F.lit(2), "bits0": F.lit(3), "spans": F.lit(4), words[0]: F.lit(5)})
+    for x in secrets.scan_secrets(docs, rules=rules).collect():
+        t = texts[x["doc_id"]] or ""
+        assert sorted((s["start"], s["kind"]) for s in x["spans"]) == sorted((t.index(w), w) for w in words if w in t)
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([("my token=abcdef! é password: zzzzzz",)], "text string").withColumn("doc_id", F.lit(1))
     spans = secrets.scan_secrets(df)

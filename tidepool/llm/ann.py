@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm._common import stage_table
-from tidepool.llm.vectors import centres, matrix, unit, with_bytes
+from tidepool.llm.vectors import centres, lengths_of, matrix, of_length, scaled, unit, with_bytes
 
 
 @dataclass
@@ -113,9 +114,9 @@ def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, h
 
 def _best(query: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of each query among these rows, exactly, ties to the smaller id; a query's own row is left out."""
-    x, ids = matrix(rows["raw"]), rows["id"].to_numpy()
+    x, ids = scaled(matrix(rows["raw"])), rows["id"].to_numpy()
     norm = np.sqrt((x * x).sum(axis=1))
-    q, q_ids = matrix(query["raw"]), query["id"].to_numpy()
+    q, q_ids = scaled(matrix(query["raw"])), query["id"].to_numpy()
     q_norm = np.sqrt((q * q).sum(axis=1))
     out: list[tuple[int, int, float]] = []
     ux = x / norm[:, None]
@@ -145,16 +146,23 @@ def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: st
     from it where a vector's neighbours live. Every row is indexed in its likeliest partition; a query is answered by its
     ``probes`` likeliest partitions, whose rows are compared exactly (cosine in double precision on the vectors as given,
     ties to the smaller id). Partitions are cut into blocks, so none is gathered whole, and a query leaves k rows a block.
-    Vectors that are null, zero or hold null or non-finite components take no part; a repeated query row is answered once;
+    Vectors that are null, zero or hold null or non-finite components take no part, vectors of another length than the
+    query's are no candidates; a repeated query row is answered once;
     with few candidates all are returned; an empty table gives no rows.
     """
     raw = stage_table(with_bytes(vectors, vec_id, vector).filter("id is not null"))
+    found = [_search(of_length(raw, n), every, k, parts, probes, sample, graph_k, block, seed) for n in lengths_of(raw)]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found)
+
+
+def _search(raw: DataFrame, every: int, k: int, parts: int, probes: int, sample: int, graph_k: int, block: int, seed: int) -> DataFrame:
+    """The search among vectors (id, raw) of one length; see :func:`nearest_neighbours`."""
     some = [bytes(r["raw"]) for r in raw.orderBy(F.xxhash64(F.lit(seed), "id"), "id").select("raw").limit(sample).collect()]
-    spark = vectors.sparkSession
-    if not some:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     x = matrix(list(dict.fromkeys(some)))
-    parts, probes = (parts, probes) if len(x) >= 20 * parts else (1, 1)
+    # a partition is learned from 20 sampled vectors at least; the probed share stays the same
+    probes, parts = -(-probes * min(parts, max(1, len(x) // 20)) // parts), min(parts, max(1, len(x) // 20))
     graph = neighbour_graph(x, graph_k)
     router = fit_router(x, graph, balanced_partition(x, graph, parts), parts, seed=seed)
 

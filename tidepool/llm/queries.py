@@ -14,7 +14,7 @@ from tidepool.llm._common import held_out, load, shared_dir, stage_table
 #: Folder of public vocabulary files.
 TOKENIZERS = os.environ.get("TIDEPOOL_TOKENIZERS", "/opt/tokenizers")
 
-BOILERPLATE = 0.1
+BOILERPLATE = 0.02
 LEAST_PAGES = 3
 
 
@@ -30,22 +30,24 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents; exact copies out again; other languages than English counted anew with the
-    vocabulary for many languages; the second batch once more, which changes nothing."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+    """Totals after four batches: all documents; exact copies out again, but for the copy with the smallest id (null ids last,
+    then source and language); originals of another language than English (null included) counted anew with the vocabulary for
+    many languages; the second batch once more, which changes nothing. Null and empty texts count as copies of their like."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").isNull().alias("none"), "text")
     first, second = (token_counts.read_ranks(f"{TOKENIZERS}/{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k"))
-    counts = stage_table(token_counts.versioned(token_counts.count_tokens(docs, first), "byte_bpe_50k"))
-    originals = stage_table(counts.groupBy("h1", "h2").agg(F.min("doc_id").alias("original")))
-    again = token_counts.versioned(token_counts.count_tokens(docs.filter(F.col("lang") != "en"), second), "byte_bpe_multi_50k")
-    same = ["h1", "h2"]
-    copies = counts.join(originals, same).filter("doc_id <> original")
-    old = counts.filter(F.col("lang") != "en").join(originals, same).filter("doc_id = original")
-    new = again.join(originals, same).filter("doc_id = original")
+    other = ~F.col("lang").eqNullSafe("en")
+    both = docs.withColumn("again", F.when(other, F.col("text")))
+    once = token_counts.count_tokens(both, first, into="n_tokens")
+    counts = stage_table(token_counts.count_tokens(once, second, text="again", into="n_again"))
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("source").isNull().alias("no_source"), "source", F.col("lang").isNull().alias("no_lang"), "lang", "n_tokens", "n_again"))
+    originals = stage_table(counts.groupBy("h1", "h2", "none").agg(pick.alias("x")).select("x.*"))
+    old, new = (token_counts.versioned(originals.filter(other).withColumn("n_tokens", F.col(n)), v) for n, v in (("n_tokens", "byte_bpe_50k"), ("n_again", "byte_bpe_multi_50k")))
+    loaded, stay = token_counts.versioned(counts, "byte_bpe_50k"), token_counts.versioned(originals, "byte_bpe_50k")
     rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{os.urandom(8).hex()}")
-    rollup.commit("load", token_counts.inserts(counts))
-    rollup.commit("copies", token_counts.deletes(copies))
+    rollup.commit("load", token_counts.inserts(loaded))
+    rollup.commit("copies", token_counts.revisions(loaded, stay))
     rollup.commit("recount", token_counts.revisions(old, new))
-    rollup.commit("copies", token_counts.deletes(copies))
+    rollup.commit("copies", token_counts.revisions(loaded, stay))
     return rollup.totals()
 
 
@@ -108,8 +110,9 @@ _TRIM = "' ' || chr(9) || chr(13) || chr(11) || chr(12)"
 
 _LINE_SQL = f"""
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-held AS (SELECT doc_id, source, unnest(list_distinct(list_transform(ls, lambda x: trim(x, {_TRIM})))) AS line FROM pages),
-hosts AS (SELECT source, count(*) AS t FROM documents GROUP BY source),
+own AS (SELECT DISTINCT source, text FROM documents),
+held AS (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x, {_TRIM})))) AS line FROM own),
+hosts AS (SELECT source, count(*) AS t FROM own GROUP BY source),
 bad AS (SELECT s.source, list(s.line) AS bl FROM (SELECT source, line, count(*) AS n FROM held WHERE line <> '' GROUP BY source, line) s
         JOIN hosts h ON s.source IS NOT DISTINCT FROM h.source WHERE n >= {LEAST_PAGES} AND n > t * {BOILERPLATE} GROUP BY s.source),
 kept AS (SELECT doc_id, p.text, ls, CASE WHEN bl IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(bl, trim(x, {_TRIM}))) END AS ks

@@ -38,6 +38,9 @@ RULES = (
 #: Alternatives beyond which a stretch of a pattern counts as unknown.
 MOST = 64
 
+#: Trigrams that one number holds as bits.
+_BITS = 62
+
 #: Trigrams of an alternative that the index is asked for; fewer only make more candidates to verify.
 LONGEST = 6
 
@@ -99,14 +102,18 @@ def postings(docs: DataFrame, trigrams: list[str], doc_id: str = "doc_id", text:
 def candidates(index: DataFrame, trigrams: list[str], queries: dict[str, list[frozenset[str]]]) -> DataFrame:
     """Intersect the postings: one row per document that satisfies a query, with the kinds to verify.
 
-    The lists of a document meet as bits of one number, so the intersection is one map-side combined aggregation.
+    The lists of a document meet as bits of a few numbers, so the intersection is one map-side combined aggregation.
     """
     place = {t: i for i, t in enumerate(trigrams)}
-    bits = index.groupBy("doc").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("bits"))
+    words = range(-(-len(trigrams) // _BITS))
+    bits = index.groupBy("doc").agg(*[F.bit_or(F.expr(f"case when trigram div {_BITS} = {w} then shiftleft(1L, trigram % {_BITS}) else 0L end")).alias(f"bits{w}") for w in words])
+
+    def has(way: frozenset[str]) -> Column:
+        masks = {w: sum(1 << place[t] % _BITS for t in way if place[t] // _BITS == w) for w in words}
+        return reduce(Column.__and__, [F.col(f"bits{w}").bitwiseAND(F.lit(m)) == F.lit(m) for w, m in masks.items() if m])
 
     def met(ways: list[frozenset[str]]) -> Column:
-        masks = [sum(1 << place[t] for t in way) for way in ways]
-        return reduce(Column.__or__, [F.col("bits").bitwiseAND(F.lit(m)) == F.lit(m) for m in masks])
+        return reduce(Column.__or__, [has(way) for way in ways])
 
     return bits.select("doc", *[met(q).alias(k) for k, q in queries.items()]).filter(reduce(Column.__or__, [F.col(k) for k in queries]))
 
@@ -140,8 +147,6 @@ def scan_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     trigrams = sorted({t for q in queries.values() for way in q for t in way})
-    if len(trigrams) > 62:
-        raise ValueError("the index holds 62 trigrams at most; scan the rules in several calls")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias(f"{P}text"))
     if queries:
         hits = stage_table(candidates(postings(docs, trigrams, doc_id, text), trigrams, queries)).withColumnRenamed("doc", f"{P}doc")

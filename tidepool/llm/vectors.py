@@ -30,18 +30,35 @@ def with_bytes(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return good.mapInArrow(run, "id long, raw binary")
 
 
+def lengths_of(raw: DataFrame) -> list[int]:
+    """The numbers of components that occur, one as a rule; vectors of different lengths have no cosine and are apart."""
+    return sorted(r["n"] for r in raw.select((F.octet_length("raw") / 8).cast("int").alias("n")).distinct().collect())
+
+
+def of_length(raw: DataFrame, n: int) -> DataFrame:
+    return raw.filter(F.octet_length("raw") == 8 * n)
+
+
 def matrix(raw) -> np.ndarray:
     """Rows of doubles from a column or list of equally long byte strings."""
     parts = raw.to_pylist() if hasattr(raw, "to_pylist") else list(raw)
     return np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1) if parts else np.zeros((0, 1))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: squares then neither overflow nor vanish, and
+    cosines stay as they are to the last bit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    y = scaled(x)
+    return y / np.linalg.norm(y, axis=1, keepdims=True)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row of a with the row of b, in double precision."""
+    a, b = scaled(a), scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
