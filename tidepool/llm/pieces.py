@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 
-#: Entries that a worker keeps of coded units and of checked neighbours, and the longest unit kept: about 45 MB together.
-_CACHE = 200_000
+#: Entries that a worker keeps of coded units and of checked neighbours, and the longest unit kept: about 100 MB together.
+_CACHE = 300_000
 _KEPT = 32
 
 #: Rows that are coded at a time, so that a batch of long texts needs bounded memory.
@@ -70,8 +70,10 @@ class Transducer:
                 if len(ids) == 1:
                     self.halves[i] = last
         self.arcs = {p: i for p, i in self.ids.items() if len(p) == 1 or i in self.halves}
-        #: the pieces' trie: every beginning of a piece, with the piece's id where one ends
-        self.trie = {p[:k]: -1 for p in self.arcs for k in range(1, len(p))} | self.arcs
+        #: the pieces' trie: a node is its id, -1 where no piece ends, and the nodes of the next characters
+        self.trie = self._trie()
+        #: weights by id, for the search
+        self._costs = [self.weight.get(i, math.inf) for i in range(len(proto.pieces))]
         if any(" " in p.lstrip(" ") for p in self.arcs):
             raise ValueError("a piece holds a space after other characters: texts cannot be cut into words")
         # no piece holds a letter or digit before one of these: a word ends there
@@ -84,6 +86,16 @@ class Transducer:
         self._units: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
 
+    def _trie(self) -> dict:
+        root, none = {}, {}
+        below = {p[:k] for p in self.arcs for k in range(1, len(p))}
+        for p in sorted(self.arcs.keys() | below, key=len):
+            at = root
+            for c in p[:-1]:
+                at = at[c][1]
+            at[p[-1]] = (self.arcs.get(p, -1), {} if p in below else none)
+        return root
+
     def _merge(self, s: str) -> tuple[list[int], tuple[int, int]]:
         """The merge order itself: pieces of a string of known characters, and the halves of the last merge."""
         n = len(s)
@@ -135,21 +147,21 @@ class Transducer:
         """Compose a stretch of normalised text with the transducer and write the path of least weight."""
         n = len(unit)
         cost, back = [0.0] + [math.inf] * n, [-1] * (n + 1)
-        trie, known, free, weight = self.trie, self._pairs, self.side_by_side, self.weight
+        trie, known, free, weight = self.trie, self._pairs, self.side_by_side, self._costs
         for start in range(n):
             so_far, last = cost[start], back[start]
             if so_far == math.inf:
                 continue
-            end = start
-            while end < n:
-                i = trie.get(unit[start:(end := end + 1)])
-                if i is None:
-                    break
-                if i >= 0 and so_far + weight[i] < cost[end]:
+            end, level = start, trie
+            while end < n and (node := level.get(unit[end])) is not None:
+                i, level = node
+                end += 1
+                if i >= 0 and (w := so_far + weight[i]) < cost[end]:
                     if last < 0 or (free(last, i) if (ok := known.get(last << 20 | i)) is None else ok):
-                        cost[end], back[end] = so_far + weight[i], i
-            if unit[start] not in trie:  # byte fallback; whatever follows is open
-                cost[start + 1], back[start + 1] = so_far, -1
+                        cost[end], back[end] = w, i
+            if end == start:  # byte fallback; whatever follows is open
+                if so_far < cost[start + 1]:
+                    cost[start + 1], back[start + 1] = so_far, -1
         out: list[int] = []
         while n:
             i = back[n]
