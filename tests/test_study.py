@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_panel import SF, duck, plain  # noqa: F401  (duck is a fixture)
 from tidepool.operators import comparators, placebos, quality, records, sessions
-from tidepool.plans import catalog, ledger, study  # noqa: F401
+from tidepool.plans import catalog, extra, ledger, more, study  # noqa: F401
 
 NAMES = ["session_filter", "calendar_live_merge", "constant_comparators", "best_comparator", "regime_ridge", "joint_permutation", "synthetic_predictions", "gate_driver", "announcement_pick", "merged_splits",
          "split_windows", "universe_audit_scan", "positive_chance", "block_bootstrap", "romano_wolf", "recursive_indicators", "news_window_features", "action_factors"]
