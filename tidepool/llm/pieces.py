@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 
-#: Entries that a worker keeps of coded units and of checked neighbours, and the longest unit kept: about 100 MB together.
-_CACHE = 300_000
+#: Entries that a worker keeps of coded units and of checked neighbours, and the longest unit kept: about 180 MB together.
+_CACHE = 600_000
 _KEPT = 32
 
 #: Rows that are coded at a time, so that a batch of long texts needs bounded memory.
