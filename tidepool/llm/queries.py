@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, chat, embedding_dedup, line_dedup, mixing, pieces, secrets, simhash, token_counts, toxicity
+from tidepool.llm import ann, chat, embedding_dedup, lexical, line_dedup, mixing, pieces, secrets, simhash, token_counts, toxicity
 from tidepool.llm._common import held_out, load, shared_dir, stage_table
 
 #: Folder of public vocabulary files.
@@ -95,6 +95,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(load(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mixing, op2_toxicity, op3_token_counts, op4_simhash, op5_line_dedup, op6_chat, op7_pieces, op8_embedding_dedup, op9_secrets, op10_ann, pipeline)
+    ops = (op1_mixing, op2_toxicity, op3_token_counts, op4_simhash, op5_line_dedup, op6_chat, op7_pieces, op8_embedding_dedup, op9_secrets, op10_ann, op11_search, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -134,5 +138,23 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM laid GROUP BY conv_id"""
 
 
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+_LEXICAL_SQL = rf"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}')) AS term FROM documents),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERMS}')) AS term FROM benchmark),
+wants AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM asked GROUP BY item_id, term),
+sizes AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM words GROUP BY doc_id),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS nd, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+held AS (SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf FROM words WHERE term IN (SELECT term FROM wants) GROUP BY doc_id, term),
+spread AS (SELECT term, CAST(count(*) AS BIGINT) AS df FROM held GROUP BY term),
+impact AS (SELECT h.doc_id, h.term, CAST(floor(1000 * ln(CAST(2 * nd + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT)
+                  * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))) AS v
+           FROM held h JOIN spread s ON h.term = s.term JOIN sizes z ON h.doc_id = z.doc_id CROSS JOIN whole),
+sums AS (SELECT item_id, doc_id, CAST(sum(times * v) AS BIGINT) AS score FROM wants w JOIN impact i ON w.term = i.term GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sums WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": _LINE_SQL, "op6_chat": _CHAT_SQL}
+    return {"op5_line_dedup": _LINE_SQL, "op6_chat": _CHAT_SQL, "op11_search": _LEXICAL_SQL}
