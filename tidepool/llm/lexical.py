@@ -23,6 +23,9 @@ from tidepool.llm._common import stage_table
 #: Bytes to their place in a term: letters and digits of ASCII, A-Z lower-cased, and all of other characters; the rest part terms.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
+#: Documents that a task unpacks at once.
+_ROWS = 512
+
 _FORWARD = "doc_id long, n long, terms array<int>, tfs array<long>"
 _INDEX = "docs array<long>, terms array<int>, ends array<long>, widths array<int>, slices binary"
 _HITS = "item int, doc_id long, score long"
@@ -55,7 +58,7 @@ def forward_rows(docs: DataFrame, vocabulary: list[bytes], *, doc_id: str = "doc
     number = {t: i for i, t in enumerate(vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             ids, ns, ends, terms, tfs = [], [], [0], [], []
             for d, t in zip(b.column(0).to_pylist(), b.column(1)):
                 words = terms_of(t.as_py())
@@ -93,7 +96,7 @@ def bit_slices(places: np.ndarray, values: np.ndarray, n_bytes: int) -> np.ndarr
     return rows
 
 
-def impact_index(forward: DataFrame, stats: Statistics, docs_per_block: int = 8192, terms_per_block: int = 1 << 22) -> DataFrame:
+def impact_index(forward: DataFrame, stats: Statistics, docs_per_block: int = 4096, terms_per_block: int = 1 << 20) -> DataFrame:
     """One row per block: its documents by id (nulls last), its terms and their bit slices.
 
     A block is closed at ``docs_per_block`` documents or ``terms_per_block`` postings, so a row and the memory of its task are
@@ -109,12 +112,11 @@ def impact_index(forward: DataFrame, stats: Statistics, docs_per_block: int = 81
         order = np.lexsort((ids, null))
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        value = stats.impacts(tfs, n[doc], weights[terms])
+        by = np.argsort(terms, kind="stable")
+        doc, terms = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)[by], terms[by]
+        value = stats.impacts(tfs[by], n[doc], weights[terms])
         keep = value > 0
         doc, terms, value = place[doc[keep]], terms[keep], value[keep]
-        by = np.argsort(terms, kind="stable")
-        doc, terms, value = doc[by], terms[by], value[by]
         starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, np.int64)
         blobs, widths = [], []
         for a, z in zip(starts, np.r_[starts[1:], len(terms)]):
@@ -129,12 +131,12 @@ def impact_index(forward: DataFrame, stats: Statistics, docs_per_block: int = 81
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, postings = [], 0, 0
         for whole in batches:
-            for b in (whole.slice(at, 1024) for at in range(0, whole.num_rows, 1024)):
+            for b in (whole.slice(at, _ROWS) for at in range(0, whole.num_rows, _ROWS)):
                 ids, lists, tfs = b.column(0), b.column(2), b.column(3)
                 sizes = np.diff(lists.offsets.to_numpy())
                 parts.append((ids.fill_null(0).to_numpy(), b.column(1).to_numpy(), sizes, lists.flatten().to_numpy(), tfs.flatten().to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)))
                 held, postings = held + b.num_rows, postings + int(sizes.sum())
-                if held + 1024 > docs_per_block or postings > terms_per_block:
+                if held + _ROWS > docs_per_block or postings > terms_per_block:
                     yield block(parts)
                     parts, held, postings = [], 0, 0
         if held:
@@ -249,7 +251,7 @@ def _query_groups(items: DataFrame, item_id: str, text: str, most_items: int, mo
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 10,
-                  most_items: int = 4096, most_terms: int = 1 << 18, docs_per_block: int = 8192) -> DataFrame:
+                  most_items: int = 4096, most_terms: int = 1 << 18, docs_per_block: int = 4096) -> DataFrame:
     """(item_id, rank, doc_id, score): the k highest-scoring documents of each item, scores above 0 only, ties by smaller doc_id.
 
     All documents count in the statistics and are ranked. Items are taken in groups of ``most_items`` and ``most_terms`` distinct
