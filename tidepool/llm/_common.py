@@ -30,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stage_table(df: DataFrame) -> DataFrame:
+def stage_table(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it again.
 
     A lost executor then costs a reread and no recomputation, and the optimiser sees the true size.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidepool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import ann, chat, embedding_dedup, lexical, line_dedup, mixing, pieces, secrets, simhash, token_counts, toxicity
+from tidepool.llm import ann, chat, embedding_dedup, lexical, line_dedup, mixing, packing, pieces, runs, secrets, simhash, token_counts, toxicity
 from tidepool.llm._common import held_out, load, shared_dir, stage_table
 
 #: Folder of public vocabulary files.
@@ -99,6 +99,18 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.plant_tails(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return runs.run_digests(runs.find_runs(docs, min_length=24, min_exponent=3).drop("text"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty documents, one id long. The digest of a piece is that of its ids as they lie in the output."""
+    coded = packing.token_ids(load(spark, sf_dir, "documents"), packing.read_tokenizer(f"{TOKENIZERS}/byte_bpe_50k.json"), end_id=1)
+    packed = packing.pack_documents(coded, longest=2048)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,7 +118,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_mixing, op2_toxicity, op3_token_counts, op4_simhash, op5_line_dedup, op6_chat, op7_pieces, op8_embedding_dedup, op9_secrets, op10_ann, op11_search, pipeline)
+    ops = (op1_mixing, op2_toxicity, op3_token_counts, op4_simhash, op5_line_dedup, op6_chat, op7_pieces, op8_embedding_dedup, op9_secrets, op10_ann, op11_search, op12_runs, op13_packing, pipeline)
     return {f.__name__: f for f in ops}
 
 
