@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import heapq
 import os
-from collections import defaultdict
+import re
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -35,12 +36,70 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(spec: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+#: Spans of a text that the tokenizer codes alike alone and in place, since its own words never cross their borders: a space may
+#: lead a span of other characters, the last space of a run leads what follows, and a letter or digit ends a span before a mark.
+_SPAN = re.compile(r" ?(?:[^ \t\n\r,.;:!?]++(?:(?<=[A-Za-z0-9\u00DF-\u00F6\u00F8-\u00FF])(?=[,.;:!?])|[^ \t\n\r]*+)|[,.;:!?][^ \t\n\r]*+)|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]")
+#: White space beyond the plain kinds; texts that hold any are coded whole, and so are those with the name of a special token.
+_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Spans whose ids are remembered, and the longest of them.
+_SPANS, _LONGEST_SPAN = 500_000, 32
+
 
-    return Tokenizer.from_str(spec)
+class _Spans(dict):
+    """Ids of spans; asking for a span that is not there notes it as new."""
+
+    def __init__(self) -> None:
+        self.new: set[str] = set()
+
+    def __missing__(self, span: str) -> None:
+        self.new.add(span)
+
+
+class SpanCoder:
+    """Ids of whole texts by the library, which codes each distinct span once while it is remembered."""
+
+    def __init__(self, spec: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_str(spec)
+        self.special = re.compile("|".join(re.escape(x.content) for x in self.coder.get_added_tokens_decoder().values()) or r"(?!)")
+        self.line = self.whole("\n")
+        self.known = _Spans()
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, spans: set[str]) -> None:
+        """Code new spans: those that line ends may part go to the library in one text, the ids of whose line ends part them again."""
+        together = [x for x in spans if not x.isspace()] if len(self.line) == 4 else []
+        if together:
+            ids = np.array(self.coder.encode_batch_fast(["\n".join(together)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
+            raw, ends = ids.tobytes(), (4 * np.r_[cuts, len(ids)]).tolist()
+            self.known.update(zip(together, (raw[a:z] for a, z in zip([0, *(z + 4 for z in ends)], ends))))
+        for x in spans.difference(together):
+            self.known[x] = self.whole(x)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit numbers."""
+        split = [None if _RARE.search(t) or self.special.search(t) else _SPAN.findall(t) for t in texts]
+        if len(self.known) > _SPANS:
+            self.known.clear()
+        of = self.known.__getitem__
+        for part in split:
+            deque(map(of, part or ()), 0)  # names the spans that are new
+        new, self.known.new = self.known.new, set()
+        self.learn(new)
+        out = [self.whole(t) if part is None else b"".join(map(of, part)) for t, part in zip(texts, split)]
+        for x in [x for x in new if len(x) > _LONGEST_SPAN]:
+            del self.known[x]
+        return out
+
+
+@lru_cache(maxsize=2)
+def _coder(spec: str) -> SpanCoder:
+    return SpanCoder(spec)
 
 
 def token_ids(docs: DataFrame, spec: str, *, end_id: int = 1, longest: int = 2048, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -50,7 +109,7 @@ def token_ids(docs: DataFrame, spec: str, *, end_id: int = 1, longest: int = 204
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part = _tokenizer(spec), TaskContext.get().partitionId()
+        code, part, end = _coder(spec), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         seen, fulls = [0] * longest, 0
         for whole in batches:
             at = 0
@@ -62,16 +121,16 @@ def token_ids(docs: DataFrame, spec: str, *, end_id: int = 1, longest: int = 204
                     held += len(texts[-1])
                     stop += 1
                 raws, numbers = [], []
-                for e in code.encode_batch_fast(texts, add_special_tokens=False):
-                    ids = np.array([*e.ids, end_id], "<u4")
-                    tail = len(ids) % longest
-                    raws.append(ids.tobytes())
-                    numbers.append((len(ids), tail, seen[tail], fulls))
+                for ids in code.encode(texts):
+                    n = len(ids) // 4 + 1
+                    tail = n % longest
+                    raws.append(ids + end)
+                    numbers.append((n, tail, seen[tail], fulls))
                     seen[tail] += 1
-                    fulls += len(ids) // longest
-                n, tail, nth, full = zip(*numbers)
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, stop - at), pa.array(n, pa.int64()), pa.array(raws, pa.binary()), pa.array([part] * len(n), pa.int32()),
-                                                  pa.array(tail, pa.int32()), pa.array(nth, pa.int64()), pa.array(full, pa.int64())], ["doc_id", "doc_tokens", "ids", _PART, _TAIL, _NTH, _FULLS])
+                    fulls += n // longest
+                sizes, tails, nth, full = zip(*numbers)
+                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, stop - at), pa.array(sizes, pa.int64()), pa.array(raws, pa.binary()), pa.array([part] * len(sizes), pa.int32()),
+                                                  pa.array(tails, pa.int32()), pa.array(nth, pa.int64()), pa.array(full, pa.int64())], ["doc_id", "doc_tokens", "ids", _PART, _TAIL, _NTH, _FULLS])
                 at = stop
 
     schema = f"doc_id long, doc_tokens long, ids binary, {_PART} int, {_TAIL} int, {_NTH} long, {_FULLS} long"
