@@ -41,3 +41,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def named_components(nodes: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
+    """``nodes`` with component_id: the smallest name of a node's component, null where none of its nodes has one.
+
+    parts: (node, component) of :func:`connected_components`; nodes that it leaves out are their own components.
+    """
+    placed = nodes.join(parts.select(F.col("node").alias("__n"), F.col("component").alias("__c")), F.col(node) == F.col("__n"), "left").withColumn("__c", F.coalesce("__c", node)).drop("__n")
+    names = placed.groupBy(F.col("__c").alias("__k")).agg(F.min(name).alias("component_id"))
+    return placed.join(names, F.col("__c") == F.col("__k")).drop("__c", "__k")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm._common import stage_table
-from tidepool.llm.components import connected_components
+from tidepool.llm.components import connected_components, named_components
 from tidepool.llm.simhash import forest
 from tidepool.llm.vectors import centres, cosines, lengths_of, matrix, of_length, unit, usable, with_bytes
 
@@ -139,24 +139,25 @@ def embedding_components(vectors: DataFrame, *, vec_id: str = "vec_id", vector:
     All rows are compared, whatever their other columns; the cosine that decides is computed in double precision from the
     vectors as given. Equal vectors are one class and never meet each other in a join. Vectors that are null, zero or hold
     a null or non-finite component link with nothing. The cells are fitted on ``sample`` vectors at most and only steer
-    where pairs meet, never whether. Repeated rows count as vectors; vectors of different lengths link with nothing but their
-    own; an empty table gives no rows.
+    where pairs meet, never whether. Classes are numbered by themselves, so vectors without an id link and join components like
+    any other; their component is null where it holds no id. Repeated rows count as vectors; vectors of different lengths link
+    with nothing but their own; an empty table gives no rows.
     """
     ids = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), usable(F.col(vector)).alias("ok"))
     raw = stage_table(with_bytes(vectors, vec_id, vector))
-    reps = stage_table(raw.groupBy("raw").agg(F.min("id").alias("id"), F.count("*").alias("size")).select("id", "raw", "size"))
+    reps = stage_table(raw.groupBy("raw").agg(F.min("id").alias("least"), F.count("*").alias("size")).withColumn("id", F.monotonically_increasing_id()))
     found = []
     for n in lengths_of(reps):
         own = of_length(reps, n)
-        some = [bytes(r["raw"]) for r in own.orderBy(F.xxhash64("id"), "id").select("raw").limit(sample).collect()]
+        some = [bytes(r["raw"]) for r in own.orderBy(F.xxhash64("raw"), "raw").select("raw").limit(sample).collect()]
         found.append(embedding_links(own, Subspaces(matrix(some), cosine, blocks, cells, seed), cosine))
     if not found:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     links = stage_table(reduce(DataFrame.union, found))
     near = links.filter("n > 0").groupBy(F.col("a").alias("n_id")).agg(F.sum("n").alias("near"))
     parts = connected_components(links.filter("n = 0").select("a", "b"))
-    classes = (reps.join(near, F.col("id") == F.col("n_id"), "left").join(parts, F.col("id") == F.col("node"), "left")
-               .select(F.col("raw").alias("c_raw"), (F.coalesce("near", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    classes = (named_components(reps, parts, "id", "least").join(near, F.col("id") == F.col("n_id"), "left")
+               .select(F.col("raw").alias("c_raw"), (F.coalesce("near", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id"))
     placed = raw.join(classes, F.col("raw") == F.col("c_raw")).select(F.col("id").alias("vec_id"), "n_links", "component_id")
     lone = ids.filter(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return placed.union(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm._common import P, stage_table
-from tidepool.llm.components import connected_components
+from tidepool.llm.components import connected_components, named_components
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -345,16 +345,15 @@ def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
                        max_diff: int = 3, depth: int | None = None) -> DataFrame:
     """One row per document: doc_id, fp (binary), component_id (smallest doc_id reachable over links, itself included).
 
-    Documents with one fingerprint are one class under its smallest id, so copies never meet in a join; links are sought
-    between classes. Null and blank texts have fingerprint zero and link like any other. Null ids get a null component
-    unless their class has an id. Repeated rows stay; an empty table gives no rows.
+    Documents with one fingerprint are one class, so copies never meet in a join; links are sought between classes, which
+    are numbered by themselves: rows without an id link, and others reach each other through them. Null and blank texts have
+    fingerprint zero and link like any other. The component of null ids is null where nothing that they reach has an id.
+    Repeated rows stay; an empty table gives no rows.
     """
     prints = stage_table(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle, words64=words64))
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("doc")).filter("doc is not null")
-    reps = stage_table(reps)
-    parts = connected_components(near_links(reps, max_diff, 8 * words64, depth=depth))
-    classes = reps.join(parts, F.col("doc") == F.col("node"), "left").select(
-        F.col("fp").alias("c_fp"), F.coalesce("component", "doc").alias("component_id"))
+    reps = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("doc", F.monotonically_increasing_id()))
+    parts = connected_components(near_links(reps.select("fp", "doc"), max_diff, 8 * words64, depth=depth))
+    classes = named_components(reps.select("fp", "doc", "least"), parts, "doc", "least").select(F.col("fp").alias("c_fp"), "component_id")
     return prints.join(classes, F.col("fp") == F.col("c_fp"), "left").select("doc_id", "fp", "component_id")
 
 
