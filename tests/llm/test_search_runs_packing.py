@@ -200,8 +200,12 @@ def test_spans_are_coded_as_in_place():
     coder, rng = packing.SpanCoder(spec), random.Random(0)
     bits = [" ", "  ", "\n", "\t", "\r\n", "a", "B", "é", "1", "23", ",", ".", "'s", "don't", "<|endoftext|>", "\u00a0", "\u3000", "\x1c", "😀", "。", "\n\n", " \n", "   x", "_", "\u200b", "中文", "\x00", "x" * 40]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
-    assert coder.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in coder.coder.encode_batch(texts, add_special_tokens=False)]
-    assert max(map(len, coder.known)) <= 32
+    want = [e.ids for e in coder.coder.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in coder.encode(texts)] == want
+    packing_at = [x.tolist() for i in range(0, 4000, 7) for x in coder.encode(texts[i:i + 7])]
+    assert packing_at == want
+    coder.forget()
+    assert [x.tolist() for t in texts[:50] for x in coder.encode([t])] == want[:50] and coder.encode([]) == []
 
 
 def _check_pieces(rows, ids, longest):

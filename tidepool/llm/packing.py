@@ -11,10 +11,11 @@ from __future__ import annotations
 import heapq
 import os
 import re
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,22 +42,24 @@ def read_tokenizer(path: str) -> str:
 _SPAN = re.compile(r" ?(?:[^ \t\n\r,.;:!?]++(?:(?<=[A-Za-z0-9\u00DF-\u00F6\u00F8-\u00FF])(?=[,.;:!?])|[^ \t\n\r]*+)|[,.;:!?][^ \t\n\r]*+)|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]")
 #: White space beyond the plain kinds; texts that hold any are coded whole, and so are those with the name of a special token.
 _RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Spans whose ids are remembered, and the longest of them.
-_SPANS, _LONGEST_SPAN = 500_000, 32
+#: Spans whose ids are remembered, and the ids that they have in all, before both are forgotten.
+_SPANS, _IDS = 600_000, 1 << 23
 
 
-class _Spans(dict):
-    """Ids of spans; asking for a span that is not there notes it as new."""
+class _Numbers(dict):
+    """Spans by number; a new one gets the next number and is noted."""
 
     def __init__(self) -> None:
-        self.new: set[str] = set()
+        self.new: list[str] = []
 
-    def __missing__(self, span: str) -> None:
-        self.new.add(span)
+    def __missing__(self, span: str) -> int:
+        n = self[span] = len(self)
+        self.new.append(span)
+        return n
 
 
 class SpanCoder:
-    """Ids of whole texts by the library, which codes each distinct span once while it is remembered."""
+    """Ids of whole texts by the library, which codes each distinct span once while it is remembered; numpy puts texts together."""
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -65,36 +68,47 @@ class SpanCoder:
         self.coder = Tokenizer.from_str(spec)
         self.special = re.compile("|".join(re.escape(x.content) for x in self.coder.get_added_tokens_decoder().values()) or r"(?!)")
         self.line = self.whole("\n")
-        self.known = _Spans()
+        self.forget()
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def forget(self) -> None:
+        self.numbers, self.flat, self.ends = _Numbers(), np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
-    def learn(self, spans: set[str]) -> None:
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, spans: list[str]) -> None:
         """Code new spans: those that line ends may part go to the library in one text, the ids of whose line ends part them again."""
-        together = [x for x in spans if not x.isspace()] if len(self.line) == 4 else []
+        together = [x for x in spans if not x.isspace()] if len(self.line) == 1 else []
+        parts: dict[str, np.ndarray] = {}
         if together:
             ids = np.array(self.coder.encode_batch_fast(["\n".join(together)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])
-            raw, ends = ids.tobytes(), (4 * np.r_[cuts, len(ids)]).tolist()
-            self.known.update(zip(together, (raw[a:z] for a, z in zip([0, *(z + 4 for z in ends)], ends))))
-        for x in spans.difference(together):
-            self.known[x] = self.whole(x)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
+            cuts = np.flatnonzero(ids == self.line[0])
+            if len(together) == len(spans):
+                self.flat = np.concatenate([self.flat, np.delete(ids, cuts)])
+                sizes = np.diff(np.r_[-1, cuts, len(ids)]) - 1
+                self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+                return
+            parts = dict(zip(together, np.split(ids, cuts)))
+            parts = {x: v[1:] if i else v for i, (x, v) in enumerate(parts.items())}
+        rows = [parts[x] if x in parts else self.whole(x) for x in spans]
+        self.flat = np.concatenate([self.flat, *rows])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(r) for r in rows])])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if len(self.numbers) > _SPANS or len(self.flat) > _IDS:
+            self.forget()
         split = [None if _RARE.search(t) or self.special.search(t) else _SPAN.findall(t) for t in texts]
-        if len(self.known) > _SPANS:
-            self.known.clear()
-        of = self.known.__getitem__
-        for part in split:
-            deque(map(of, part or ()), 0)  # names the spans that are new
-        new, self.known.new = self.known.new, set()
-        self.learn(new)
-        out = [self.whole(t) if part is None else b"".join(map(of, part)) for t, part in zip(texts, split)]
-        for x in [x for x in new if len(x) > _LONGEST_SPAN]:
-            del self.known[x]
-        return out
+        sizes = [len(part or ()) for part in split]
+        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(part or () for part in split)), np.int64, sum(sizes))
+        if self.numbers.new:
+            self.learn(self.numbers.new)
+            self.numbers.new = []
+        n = self.ends[at + 1] - self.ends[at]
+        upto = np.r_[0, np.cumsum(n)]
+        ids = self.flat[np.repeat(self.ends[at] - upto[:-1], n) + np.arange(upto[-1])]
+        edges = upto[np.r_[0, np.cumsum(sizes)]].tolist()
+        return [self.whole(t) if part is None else ids[a:z] for t, part, a, z in zip(texts, split, edges, edges[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -116,15 +130,15 @@ def token_ids(docs: DataFrame, spec: str, *, end_id: int = 1, longest: int = 204
             while at < whole.num_rows:
                 stop, held = at, 0
                 texts = []
-                while stop < whole.num_rows and (stop == at or held < 1 << 20):  # about a megabyte of text is coded at once
+                while stop < whole.num_rows and (stop == at or held < 1 << 21):  # about two megabytes of text are coded at once
                     texts.append(whole.column(1)[stop].as_py() or "")
                     held += len(texts[-1])
                     stop += 1
                 raws, numbers = [], []
                 for ids in code.encode(texts):
-                    n = len(ids) // 4 + 1
+                    n = len(ids) + 1
                     tail = n % longest
-                    raws.append(ids + end)
+                    raws.append(ids.tobytes() + end)
                     numbers.append((n, tail, seen[tail], fulls))
                     seen[tail] += 1
                     fulls += n // longest
