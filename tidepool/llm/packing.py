@@ -107,7 +107,7 @@ class SpanCoder:
         n = self.ends[at + 1] - self.ends[at]
         upto = np.r_[0, np.cumsum(n)]
         ids = self.flat[np.repeat(self.ends[at] - upto[:-1], n) + np.arange(upto[-1])]
-        edges = upto[np.r_[0, np.cumsum(sizes)]].tolist()
+        edges = upto[np.r_[0, np.cumsum(np.array(sizes, np.int64))]].tolist()
         return [self.whole(t) if part is None else ids[a:z] for t, part, a, z in zip(texts, split, edges, edges[1:])]
 
 
