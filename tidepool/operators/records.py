@@ -9,17 +9,19 @@ from pyspark.sql import functions as F
 
 
 def first_disclosures(filings: DataFrame, keys: list[str]) -> DataFrame:
-    """The first filing of each key: originals before revisions, then the earliest."""
+    """The first filing of each key: originals before revisions, then the earliest; filings never disclosed do not count."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy("revised", "disclosed", "filing_id"))
-    return filings.withColumn("_n", n).filter("_n = 1").drop("_n")
+    return filings.filter("disclosed is not null").withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
 def pick_announcements(table: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a key: consolidated with a finite surprise, else standalone with one, else the first disclosure with null."""
+    """One row a key: consolidated with a finite surprise, else standalone with one, else the first disclosure with null in place
+    of surprise and basis. A filing without a disclosure comes after all others."""
     finite = F.col("sue").isNotNull() & ~F.isnan("sue") & (F.abs("sue") != float("inf"))
     order = F.when(finite & (F.col("basis") == "consolidated"), 0).when(finite, 1).otherwise(2)
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order, "disclosed", "filing_id"))
-    return table.withColumn("_ok", finite).withColumn("_n", n).filter("_n = 1").withColumn("sue", F.when(F.col("_ok"), F.col("sue"))).drop("_n", "_ok")
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order, F.col("disclosed").asc_nulls_last(), "filing_id"))
+    picked = table.withColumn("_ok", finite).withColumn("_n", n).filter("_n = 1")
+    return picked.withColumns({c: F.when(F.col("_ok"), F.col(c)) for c in ("sue", "basis")}).drop("_n", "_ok")
 
 
 def structural_breaks(actions: DataFrame, curated: DataFrame) -> DataFrame:
@@ -132,11 +134,6 @@ def search_query(name: Column, symbol: Column, core: Column, ambiguous: list[str
     return F.concat(F.lit('"'), F.when(symbol.isin(ambiguous), name).otherwise(core), F.lit('"'))
 
 
-def basis_of(x: Column) -> Column:
-    low = F.lower(F.btrim(x))
-    return F.when(low.startswith("consolidated"), "consolidated").when(low.isin("standalone", "non-consolidated"), "standalone")
-
-
 def real(x: Column) -> Column:
     """A double through a single-precision column and its shortest text."""
     return x.cast("float").cast("string").cast("double")

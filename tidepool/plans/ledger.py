@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import text
-from tidepool.operators import comparators, records, windows
+from tidepool.operators import comparators, filings, records, windows
 from tidepool.operators import crosssection as xs
 from tidepool.plans.catalog import DAY, LAB, MEM, PREDS, RET, W, floors, labelled, query, shown, sql_of
 from tidepool.plans.extra import IC, average_ranks, tested
@@ -15,24 +15,24 @@ from tidepool.sources import tables
 # filings -----------------------------------------------------------------------------------------------------------
 
 _FILINGS = """fi AS (SELECT o_orderkey AS filing_id, o_custkey AS symbol, last_day(make_date(year(o_orderdate), CAST(quarter(o_orderdate) * 3 AS INT), 1)) AS period_end, CASE WHEN o_orderkey % 3 = 0 THEN 'consolidated' ELSE 'standalone' END AS basis,
- o_orderstatus = 'P' AS revised, CAST(o_orderdate AS DATE) AS disclosed, CASE WHEN o_orderkey % 4 <> 1 THEN o_totalprice / 1e5 END AS sue FROM orders)"""
+ o_orderstatus = 'P' AS revised, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) END AS disclosed, CASE WHEN o_orderkey % 4 <> 1 THEN o_totalprice / 1e5 END AS sue FROM orders)"""
 
 
 def _filings(spark, d):
     o, day = tables.table(spark, d, "orders"), F.to_date("o_orderdate")
     end = F.last_day(F.make_date(F.year(day), (F.quarter(day) * 3).cast("int"), F.lit(1)))
     return o.select(F.col("o_orderkey").alias("filing_id"), F.col("o_custkey").alias("symbol"), end.alias("period_end"), F.when(F.col("o_orderkey") % 3 == 0, "consolidated").otherwise("standalone").alias("basis"),
-                    (F.col("o_orderstatus") == "P").alias("revised"), day.alias("disclosed"), F.when(F.col("o_orderkey") % 4 != 1, F.col("o_totalprice") / 1e5).alias("sue"))
+                    (F.col("o_orderstatus") == "P").alias("revised"), F.when(F.col("o_orderkey") % 11 != 0, day).alias("disclosed"), F.when(F.col("o_orderkey") % 4 != 1, F.col("o_totalprice") / 1e5).alias("sue"))
 
 
-@query(f"WITH {_FILINGS} SELECT symbol, CAST(period_end AS VARCHAR) AS period_end, basis, filing_id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, period_end, basis ORDER BY revised, disclosed, filing_id) AS k FROM fi) WHERE k = 1")
+@query(f"WITH {_FILINGS} SELECT symbol, CAST(period_end AS VARCHAR) AS period_end, basis, filing_id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, period_end, basis ORDER BY revised, disclosed, filing_id) AS k FROM fi WHERE disclosed IS NOT NULL) WHERE k = 1")
 def first_disclosures(spark, d):
     return shown(records.first_disclosures(_filings(spark, d), ["symbol", "period_end", "basis"]), "symbol period_end basis filing_id", "")
 
 
-@query(f"""WITH {_FILINGS} SELECT symbol, CAST(period_end AS VARCHAR) AS period_end, filing_id, sue FROM (SELECT *, row_number() OVER (PARTITION BY symbol, period_end ORDER BY CASE WHEN sue IS NOT NULL AND basis = 'consolidated' THEN 0 WHEN sue IS NOT NULL THEN 1 ELSE 2 END, disclosed, filing_id) AS k FROM fi) WHERE k = 1""")
+@query(f"""WITH {_FILINGS} SELECT symbol, CAST(period_end AS VARCHAR) AS period_end, filing_id, sue, CASE WHEN sue IS NOT NULL THEN basis END AS basis FROM (SELECT *, row_number() OVER (PARTITION BY symbol, period_end ORDER BY CASE WHEN sue IS NOT NULL AND basis = 'consolidated' THEN 0 WHEN sue IS NOT NULL THEN 1 ELSE 2 END, disclosed NULLS LAST, filing_id) AS k FROM fi) WHERE k = 1""")
 def announcement_pick(spark, d):
-    return shown(records.pick_announcements(_filings(spark, d), ["symbol", "period_end"]), "symbol period_end filing_id", "sue", None)
+    return shown(records.pick_announcements(_filings(spark, d), ["symbol", "period_end"]), "symbol period_end filing_id basis", "sue", None)
 
 
 _ACTIONS = "ac AS (SELECT o_custkey AS symbol, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 5 WHEN 0 THEN 'bonus' WHEN 1 THEN 'split' WHEN 2 THEN 'demerger' ELSE 'dividend' END AS kind, CAST(o_orderkey % 3 + 1.5 AS DOUBLE) AS factor FROM orders WHERE o_orderkey % 2 = 0)"
@@ -57,15 +57,15 @@ def merged_splits(spark, d):
     return shown(records.merge_splits(_actions(spark, d), second), "symbol day kind", "factor")
 
 
-@query("""SELECT o_orderkey, CAST(greatest(CAST(o_orderdate AS DATE), CASE WHEN o_orderkey % 2 = 0 THEN DATE '1995-06-30' END) AS VARCHAR) AS disclosed, CASE o_orderkey % 4 WHEN 0 THEN 'consolidated' WHEN 1 THEN 'standalone' WHEN 2 THEN 'standalone' END AS basis, round(coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END, CASE WHEN o_orderkey % 3 = 1 THEN 1.5::DOUBLE END), 2) AS first_present FROM orders""")
+@query("""SELECT o_orderkey, CAST(greatest(CAST(o_orderdate AS DATE), CASE WHEN o_orderkey % 2 = 0 THEN DATE '1995-06-30' END) AS VARCHAR) AS disclosed, CASE o_orderkey % 5 WHEN 0 THEN 'consolidated' WHEN 1 THEN 'standalone' WHEN 2 THEN 'standalone' END AS basis, round(coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END, CASE WHEN o_orderkey % 3 = 1 THEN 1.5::DOUBLE END), 2) AS first_present FROM orders""")
 def filing_fields(spark, d):
     """The latest stamp, the basis of a written one, and the first present of several rows."""
     o = tables.table(spark, d, "orders")
     k = F.col("o_orderkey")
-    written = F.when(k % 4 == 0, " Consolidated Audited").when(k % 4 == 1, "Standalone").when(k % 4 == 2, "NON-CONSOLIDATED ").otherwise("other")
+    written = F.when(k % 5 == 0, " Consolidated").when(k % 5 == 1, "Standalone").when(k % 5 == 2, "NON-CONSOLIDATED ").when(k % 5 == 3, "Consolidated Audited").otherwise("other")
     stamp = F.greatest(F.to_date("o_orderdate"), F.when(k % 2 == 0, F.lit("1995-06-30").cast("date")))
     first = F.coalesce(F.when(k % 3 == 0, F.col("o_totalprice")), F.when(k % 3 == 1, F.lit(1.5)))
-    return o.select("o_orderkey", stamp.cast("string").alias("disclosed"), records.basis_of(written).alias("basis"), F.round(first, 2).alias("first_present"))
+    return o.select("o_orderkey", stamp.cast("string").alias("disclosed"), filings.basis_of(written).alias("basis"), F.round(first, 2).alias("first_present"))
 
 
 @query("""SELECT ticker, field, n, round(m, 6) AS median_change, round(x, 6) AS max_change FROM (SELECT ticker, field, count(c) AS n, median(c) AS m, max(c) AS x FROM (SELECT ticker, field, abs(v - lag(v) OVER (PARTITION BY ticker, field ORDER BY period_end)) / nullif(abs(lag(v) OVER (PARTITION BY ticker, field ORDER BY period_end)), 0) AS c
