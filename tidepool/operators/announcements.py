@@ -36,10 +36,10 @@ def event_window(sessions: DataFrame, announcements: DataFrame, value: str, live
 
 def share_factors(rows: DataFrame, actions: DataFrame, on: str) -> DataFrame:
     """Product of the ticker's action factors with ex_date at or before each row's date; 1 without any. One shuffle on the ticker."""
-    per_day = actions.filter("factor > 0").groupBy("ticker", "ex_date").agg(F.sum(F.log("factor")).alias("_l"))
+    per_day = actions.filter("factor > 0").groupBy("ticker", "ex_date").agg(F.product("factor").alias("_l"))
     w = by_ticker_on("ex_date").rowsBetween(Window.unboundedPreceding, 0)
-    found = asof_backward(rows, per_day.withColumn("_sum", F.sum("_l").over(w)), by=["ticker"], left_on=on, right_on="ex_date", values=["_sum"])
-    return found.withColumn("factor", F.exp(F.coalesce("_sum", F.lit(0.0)))).drop("_sum", "ex_date")
+    found = asof_backward(rows, per_day.withColumn("_all", F.product("_l").over(w)), by=["ticker"], left_on=on, right_on="ex_date", values=["_all"])
+    return found.withColumn("factor", F.coalesce("_all", F.lit(1.0))).drop("_all", "ex_date")
 
 
 def by_ticker_on(c: str):

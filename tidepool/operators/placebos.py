@@ -64,10 +64,16 @@ def null_band(preds: DataFrame, draws: int, every: int, least: int, seed: int, y
     return per.join(band, "fold")
 
 
-def permute_blocks(df: DataFrame, key: str, block: int, seed: int) -> DataFrame:
-    """A moving-block surrogate: each key's series in time, cut into blocks that change places whole. Adds surrogate."""
-    i = F.row_number().over(Window.partitionBy(key).orderBy("date")) - 1
-    cut = df.withColumn("_i", i).withColumn("_b", F.floor(F.col("_i") / block))
-    order = Window.partitionBy(key).orderBy(draw(F.lit(seed), F.col(key), F.col("_b")), "_b", "_i")
-    moved = cut.withColumn("_j", F.row_number().over(order) - 1).select(key, F.col("_j").alias("_i"), F.col("x").alias("surrogate"))
-    return cut.join(moved, [key, "_i"]).drop("_i", "_b")
+def block_surrogate(df: DataFrame, key: str, block: int, seed: int, x: str = "x") -> DataFrame:
+    """A moving-block surrogate of each key's series in time (date, ``x``): blocks drawn with replacement at overlapping starts,
+    so it keeps the persistence of a real series and nothing of its timing. Adds surrogate.
+
+    A series of n values takes n div block + 1 starts below max(n - block, 1) and is cut to n; one shorter than a block stays as
+    it is. Places find their source by an equi-join, so a long series is not gathered.
+    """
+    n = F.count("*").over(Window.partitionBy(key))
+    rows = df.withColumns({"_i": F.row_number().over(Window.partitionBy(key).orderBy("date")) - 1, "_n": n})
+    j = F.floor(F.col("_i") / block)
+    start = F.pmod(F.conv(F.substring(draw(F.lit(seed), F.col(key), j), 1, 12), 16, 10).cast("long"), F.greatest(F.col("_n") - block, F.lit(1)))
+    there = rows.select(key, F.col("_i").alias("_from"), F.col(x).alias("surrogate"))
+    return rows.withColumn("_from", start + F.pmod(F.col("_i"), F.lit(block))).join(there, [key, "_from"]).drop("_i", "_n", "_from")

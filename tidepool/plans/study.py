@@ -306,9 +306,9 @@ def shuffle_placebo_ic(spark, d):
     return shown(xs.rank_ic(placebos.permute_within(te, ["date"], "ticker", ["roc"], F.lit(6)), "y_true", "roc", ["date"]), "date n", "ic", 5)
 
 
-@query(f"SELECT s_suppkey AS ticker, round({_N('h')}, 6) AS level FROM (SELECT s_suppkey, md5('20260908|' || s_suppkey) AS h FROM supplier)")
+@query(f"SELECT s_suppkey AS ticker, round({_N('h')}, 6) AS level FROM (SELECT s_suppkey, md5('271828|' || s_suppkey) AS h FROM supplier)")
 def constant_placebo(spark, d):
-    return shown(placebos.constant_levels(tables.sectors(spark, d), "ticker", 20260908), "ticker", "level")
+    return shown(placebos.constant_levels(tables.sectors(spark, d), "ticker", 271828), "ticker", "level")
 
 
 _PLANTED = f"""pl AS (SELECT date, ticker, y_true, g.ic, g.ic * (y_true - avg(y_true) OVER w) / nullif(stddev_pop(y_true) OVER w, 0) + sqrt(1 - g.ic * g.ic) * {_N("md5('9|' || date || '|' || ticker)")} AS y_pred FROM te, (VALUES (0.02::DOUBLE), (0.1), (0.3)) g(ic) WINDOW w AS (PARTITION BY g.ic, date))"""
@@ -342,11 +342,13 @@ def fold_null_band(spark, d):
     return shown(placebos.null_band(tested(spark, d), 20, 30, 10, 3), "fold n_rebalances names", "null_mean null_sd null_p95_abs", 5)
 
 
-@query(sql_of(f"""SELECT a.ticker, CAST(a.date AS VARCHAR) AS date, round(b.x, 6) AS surrogate FROM pb a JOIN (SELECT ticker, x, row_number() OVER (PARTITION BY ticker ORDER BY h, b, i) - 1 AS j FROM pb) b ON a.ticker = b.ticker AND a.i = b.j""", RET,
-              f"pb AS (SELECT *, md5('4|' || ticker || '|' || b) AS h FROM (SELECT ticker, date, x, i, i // 30 AS b FROM (SELECT ticker, date, r AS x, row_number() OVER {W} - 1 AS i FROM ret WHERE r IS NOT NULL)))"))
+@query(sql_of("""SELECT a.ticker, CAST(a.date AS VARCHAR) AS date, round(b.x, 6) AS surrogate FROM pb a JOIN st ON st.ticker = a.ticker AND st.j = a.i // 30 JOIN pb b ON b.ticker = a.ticker AND b.i = st.start + a.i % 30""", RET,
+              f"pb AS MATERIALIZED (SELECT ticker, date, r AS x, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY ticker) AS n FROM ret WHERE r IS NOT NULL)",
+              "st AS MATERIALIZED (SELECT ticker, j, CAST(('0x' || substr(md5('4|' || ticker || '|' || j), 1, 12))::BIGINT % greatest(n - 30, 1) AS BIGINT) AS start FROM (SELECT DISTINCT ticker, n, i // 30 AS j FROM pb))"))
 def block_permutation(spark, d):
+    """A surrogate of each name's returns from overlapping blocks of 30, drawn with replacement."""
     r = windows.rolling_beta(tables.bars(spark, d)).filter("r is not null").select("ticker", "date", F.col("r").alias("x"))
-    return shown(placebos.permute_blocks(r, "ticker", 30, 4), "ticker date", "surrogate")
+    return shown(placebos.block_surrogate(r, "ticker", 30, 4), "ticker date", "surrogate")
 
 
 # the gate and neutral books ----------------------------------------------------------------------------------------
@@ -391,29 +393,6 @@ def gate_lists(spark, d):
     return quality.status_lists(quality.drive(spark, {"duplicate_keys": lambda: quality.duplicate_keys(b), "stale": lambda: quality.stale(b, "2001-01-01")}))
 
 
-_REB = "reb AS (SELECT te.* FROM te JOIN (SELECT fold, date FROM (SELECT fold, date, row_number() OVER (PARTITION BY fold ORDER BY date) - 1 AS k FROM (SELECT DISTINCT fold, date FROM te WHERE roc IS NOT NULL)) WHERE k % 30 = 0) USING (fold, date) WHERE roc IS NOT NULL)"
-_RIC = f"ric AS (SELECT fold, date, CASE WHEN count(*) >= 3 THEN {IC} END AS ic FROM (SELECT fold, date, {average_ranks('y_true', 'fold, date')} AS a, {average_ranks('roc', 'fold, date')} AS b FROM reb) GROUP BY fold, date)"
-
-
-def _residual_ics(spark, d):
-    te = tested(spark, d).filter("roc is not null")
-    days = te.select("fold", "date").distinct().withColumn("k", F.row_number().over(Window.partitionBy("fold").orderBy("date")) - 1).filter("k % 30 = 0").select("fold", "date")
-    return xs.rank_ic(te.join(days, ["fold", "date"]), "y_true", "roc", ["fold", "date"])
-
-
-@query(sql_of("SELECT count(ic) AS n, round(avg(ic), 6) AS ic, round(avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0), 5) AS t FROM ric", *PREDS, _REB, _RIC))
-def residual_report(spark, d):
-    """Mean rank correlation on rebalance dates and its t value."""
-    i = _residual_ics(spark, d).agg(F.count("ic").alias("n"), F.avg("ic").alias("ic"), (F.avg("ic") / F.nullif(F.stddev_samp("ic") / F.sqrt(F.count("ic")), F.lit(0.0))).alias("t"))
-    return i.select("n", F.round("ic", 6).alias("ic"), F.round("t", 5).alias("t"))
-
-
-@query(sql_of("SELECT coalesce(abs(t) < 2 OR abs(ic) <= 0.02, FALSE) AS passed, t IS NOT NULL AND ic IS NOT NULL AS computable FROM (SELECT avg(ic) AS ic, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) AS t FROM ric)", *PREDS, _REB, _RIC))
-def calibration_gate(spark, d):
-    i = _residual_ics(spark, d).agg(F.avg("ic").alias("ic"), (F.avg("ic") / F.nullif(F.stddev_samp("ic") / F.sqrt(F.count("ic")), F.lit(0.0))).alias("t"))
-    return i.select(F.coalesce((F.abs("t") < 2) | (F.abs("ic") <= 0.02), F.lit(False)).alias("passed"), (F.col("t").isNotNull() & F.col("ic").isNotNull()).alias("computable"))
-
-
 @query(sql_of(f"""SELECT ticker, {DAY}, round(CASE WHEN count(*) OVER w >= 3 AND var_pop(beta) OVER w > 0 THEN roc - avg(roc) OVER w - covar_pop(roc, beta) OVER w / (var_pop(beta) OVER w) * (beta - avg(beta) OVER w) END, 4) AS residual
  FROM (SELECT ticker, date, roc, beta FROM lab JOIN bt USING (ticker, date) WHERE roc IS NOT NULL AND beta IS NOT NULL) WINDOW w AS (PARTITION BY date)""", LAB, RET, _BS))
 def rolling_basis_residual(spark, d):
