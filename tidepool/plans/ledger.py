@@ -337,20 +337,8 @@ _TICS = f"tics AS (SELECT ticker, fold, CASE WHEN count(*) >= 3 THEN {IC} END AS
 def fallback_variance(spark, d):
     """Sampling variance of a ticker's mean correlation from its folds."""
     t = xs.rank_ic(tested(spark, d).filter("roc is not null"), "y_true", "roc", ["fold", "ticker"])
-    return shown(t.groupBy("ticker").agg(F.count("ic").alias("folds"), F.avg("ic").alias("ic"), F.when(F.count("ic") >= 2, F.var_samp("ic") / F.count("ic")).alias("sigma2")), "ticker folds", "ic", 5).join(
-        t.groupBy("ticker").agg(F.round(F.when(F.count("ic") >= 2, F.var_samp("ic") / F.count("ic")), 6).alias("sigma2")), "ticker")
-
-
-@query(sql_of("SELECT k, round(q, 4) AS q, round(tau2, 6) AS tau2, tau2 <= 1e-12 OR q <= k - 1 AS degenerate FROM (SELECT k, q, greatest(0, (q - (k - 1)) / (s1 - s2 / s1)) AS tau2 FROM (SELECT count(*) AS k, sum(w * (ic - m) ** 2) AS q, sum(w) AS s1, sum(w * w) AS s2 FROM (SELECT *, sum(w * ic) OVER () / sum(w) OVER () AS m FROM fv)))", *PREDS, _TICS,
-              "fv AS (SELECT ticker, avg(ic) AS ic, 1 / (var_samp(ic) / count(ic)) AS w FROM tics GROUP BY ticker HAVING count(ic) >= 2 AND var_samp(ic) > 0)"))
-def degeneracy_test(spark, d):
-    """Whether the spread of effects between tickers can be told from none."""
-    t = xs.rank_ic(tested(spark, d).filter("roc is not null"), "y_true", "roc", ["fold", "ticker"])
-    v = t.groupBy("ticker").agg(F.avg("ic").alias("ic"), F.count("ic").alias("n"), F.var_samp("ic").alias("s")).filter("n >= 2 and s > 0").withColumn("w", F.col("n") / F.col("s"))
-    m = v.agg((F.sum(F.col("w") * F.col("ic")) / F.sum("w")).alias("m"))
-    q = v.join(m).agg(F.count("*").alias("k"), F.sum(F.col("w") * (F.col("ic") - F.col("m")) ** 2).alias("q"), F.sum("w").alias("s1"), F.sum(F.col("w") * F.col("w")).alias("s2"))
-    tau2 = F.greatest(F.lit(0.0), (F.col("q") - (F.col("k") - 1)) / (F.col("s1") - F.col("s2") / F.col("s1")))
-    return q.select("k", F.round("q", 4).alias("q"), F.round(tau2, 6).alias("tau2"), ((tau2 <= 1e-12) | (F.col("q") <= F.col("k") - 1)).alias("degenerate"))
+    per = t.groupBy("ticker").agg(F.count("ic").alias("folds"), F.avg("ic").alias("ic"), F.when(F.count("ic") >= 2, F.var_samp("ic") / F.count("ic")).alias("sigma2"))
+    return per.select("ticker", "folds", F.round("ic", 5).alias("ic"), F.round("sigma2", 6).alias("sigma2"))
 
 
 @query("SELECT round(CAST(value AS DOUBLE) / 100, 6) AS spread FROM (SELECT value FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 1)")
