@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,10 +39,19 @@ def pooled_interval(effects: DataFrame, x: str, var: str, tau2: float, t_quantil
     return spread.select("k", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share; a temporary one only where a local session names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{named.rstrip('/')}/tidepool-{uuid.uuid4().hex}"
+
+
 def _written(df: DataFrame) -> DataFrame:
-    """``df`` written in the shared folder (a temporary one where the session names none) and read again."""
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    path = f"{named.rstrip('/')}/tidepool-{uuid.uuid4().hex}"
+    """``df`` written in the shared folder and read again."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidepool.operators import grading, placebos
 from tidepool.operators import crosssection as xs
-from tidepool.plans.catalog import PREDS, query, shown, sql_of
-from tidepool.plans.evidence import Window
+from tidepool.plans.catalog import PREDS, query, sql_of
 from tidepool.plans.extra import average_ranks, tested
 from tidepool.plans.ledger import _TAIL, _TICS
 from tidepool.plans.more import _BOOT
