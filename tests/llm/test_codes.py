@@ -57,6 +57,17 @@ def test_commits_are_idempotent_and_additive(spark, tmp_path):
     assert roll.commit("half", token_counts.deletes(new)) and ("s", "en", "v2", 1, 9) not in {tuple(x) for x in roll.totals().collect()}
     with pytest.raises(ValueError):
         roll.commit("a/b", token_counts.inserts(a))
+    before = {tuple(x) for x in roll.totals().collect()}
+    assert roll.compact() == 4 and {tuple(x) for x in roll.totals().collect()} == before
+    assert not roll.commit("one", token_counts.inserts(a)) and roll.commit("five", token_counts.inserts(a))
+    (tmp_path / "roll" / "base=000000002" / "totals").mkdir(parents=True)  # a base that was never finished
+    after = {tuple(x) for x in roll.totals().collect()}
+    assert ("s", "en", "v1", 3, 17) in after and roll.compact() == 5 and {tuple(x) for x in roll.totals().collect()} == after
+    import shutil
+
+    for name in ("one", "two", "five"):
+        shutil.rmtree(tmp_path / "roll" / f"batch={name}")
+    assert {tuple(x) for x in roll.totals().collect()} == after and not roll.commit("two", token_counts.inserts(a))
     counted = token_counts.count_tokens(spark.createDataFrame([(1, "two words"), (2, None), (3, "")], "id long, text string"), token_counts.read_ranks(f"{queries.TOKENIZERS}/byte_bpe_50k.tiktoken"))
     assert sorted(tuple(x) for x in counted.collect()) == [(1, 2), (2, 0), (3, 0)]
 
@@ -188,6 +199,25 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert ann.nearest_neighbours(vectors_of(spark, x[:0])).count() == 0
 
 
+def test_clustered_vectors_probe_few_partitions(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(64, 16)) * 3
+    x = (centres[r.integers(0, 64, 3000)] + r.normal(size=(3000, 16)) * 0.2).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    graph = ann.neighbour_graph(x, 10)
+    part = ann.balanced_partition(x, graph, 16)
+    learn = np.arange(3000) % 6 != 5
+    router = ann.fit_router(x[learn], graph[learn], part, 16, homes=part[learn])
+    assert ann.enough_probes(router, x, graph, 0.97) <= 4
+    out = ann.nearest_neighbours(vectors_of(spark, x), every=50, k=5, block=40).toPandas()  # many blocks of queries and rows
+    hits = sum(len(set(np.argsort(-np.where(np.arange(3000) == q, -2, u @ u[q]))[:5]) & set(g.vec_id)) for q, g in out.groupby("query_id"))
+    assert len(out) == 300 and hits / 300 >= 0.9 and out.groupby("query_id")["rank"].apply(list).map(lambda v: v == [1, 2, 3, 4, 5]).all()
+    shapeless = r.normal(size=(1200, 32))
+    g2 = ann.neighbour_graph(shapeless, 10)
+    p2 = ann.balanced_partition(shapeless, g2, 16)
+    assert ann.enough_probes(ann.fit_router(shapeless[learn[:1200]], g2[learn[:1200]], p2, 16, homes=p2[learn[:1200]]), shapeless, g2, 0.97) > 4
+
+
 def test_balanced_partition_is_balanced():
     x = np.random.default_rng(3).normal(size=(1000, 8))
     part = ann.balanced_partition(x, ann.neighbour_graph(x, 8), 8)

@@ -374,8 +374,8 @@ def test_pipeline_against_brute_force(spark):
     kept, dropped = set(sim.doc_id), set(lines.doc_id) - set(sim.doc_id)
     like = lambda a, b: len(shingles[a] & shingles[b]) / max(1, len(shingles[a] | shingles[b]))
     for a, b in combinations(sorted(kept), 2):
-        assert like(a, b) < 0.85
+        assert like(a, b) < 0.8
     for d in dropped:
-        assert max(like(d, o) for o in shingles if o < d) > 0.7
+        assert max(like(d, o) for o in shingles if o != d) >= 0.8
     assert set(mix.doc_id) <= kept and Counter(mix.doc_id).most_common(1)[0][1] <= 3
     assert seen[4][2].count() == len(mix)

@@ -84,12 +84,15 @@ def balanced_partition(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int
     return part
 
 
-def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, hidden: int = 128, rounds: int = 30, batch: int = 256, rate: float = 2e-3, seed: int = 3) -> Router:
-    """Train the classifier by Adam on soft targets: where a vector and its neighbours live."""
+def fit_router(x: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int, hidden: int = 128, rounds: int = 30, batch: int = 256, rate: float = 2e-3, seed: int = 3, homes: np.ndarray | None = None) -> Router:
+    """Train the classifier by Adam on soft targets: where a vector and its neighbours live.
+
+    graph: neighbours of each row as places in ``part``; homes: the rows' own partitions, ``part`` itself where x is all of it.
+    """
     rng = np.random.default_rng(seed)
     u, n = unit(x), len(x)
     target = np.zeros((n, parts))
-    target[np.arange(n), part] = 1.0
+    target[np.arange(n), part if homes is None else homes] = 1.0
     if graph.shape[1]:
         np.add.at(target, (np.repeat(np.arange(n), graph.shape[1]), part[graph.reshape(-1)]), 1.0 / graph.shape[1])
     target /= target.sum(axis=1, keepdims=True)
@@ -138,33 +141,48 @@ def _best(query: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
-def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, parts: int = 16,
-                       probes: int = 12, sample: int = 6000, graph_k: int = 10, block: int = 16384, seed: int = 3) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, k: int = 5, parts: int | None = None,
+                       probes: int | None = None, recall: float = 0.97, sample: int = 6000, graph_k: int = 10, block: int = 16384, seed: int = 3) -> DataFrame:
     """The k nearest other rows found for every row whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
-    The neighbour graph of at most ``sample`` vectors is split into ``parts`` balanced partitions, and a classifier learns
-    from it where a vector's neighbours live. Every row is indexed in its likeliest partition; a query is answered by its
-    ``probes`` likeliest partitions, whose rows are compared exactly (cosine in double precision on the vectors as given,
-    ties to the smaller id). Partitions are cut into blocks, so none is gathered whole, and a query leaves k rows a block.
-    Vectors that are null, zero or hold null or non-finite components take no part, vectors of another length than the
-    query's are no candidates; a repeated query row is answered once;
-    with few candidates all are returned; an empty table gives no rows.
+    The neighbour graph of at most ``sample`` vectors is split into balanced partitions, and a classifier learns from five
+    sixths of it where a vector's neighbours live. Every row is indexed in its likeliest partition; a query is answered by its
+    likeliest partitions, whose rows are compared exactly (cosine in double precision on the vectors as given, ties to the
+    smaller id). ``parts`` grows with the table by default, ``probes`` is the smallest number that finds ``recall`` of the
+    neighbours of the sixth that was held out, so clustered tables probe few partitions and shapeless ones most of them.
+    Partitions are cut into blocks, on the side of the queries too, so none is gathered whole; a query leaves k rows a block.
+    Vectors that are null, zero or hold null or non-finite components take no part, and neither do rows without an id; vectors
+    of another length than the query's are no candidates; a repeated query row is answered once; with few candidates all are
+    returned; an empty table gives no rows.
     """
     raw = stage_table(with_bytes(vectors, vec_id, vector).filter("id is not null"))
-    found = [_search(of_length(raw, n), every, k, parts, probes, sample, graph_k, block, seed) for n in lengths_of(raw)]
+    found = [_search(of_length(raw, n), every, k, parts, probes, recall, sample, graph_k, block, seed) for n in lengths_of(raw)]
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return reduce(DataFrame.union, found)
 
 
-def _search(raw: DataFrame, every: int, k: int, parts: int, probes: int, sample: int, graph_k: int, block: int, seed: int) -> DataFrame:
+def enough_probes(router: Router, x: np.ndarray, graph: np.ndarray, recall: float) -> int:
+    """The smallest number of partitions in which these vectors find this share of their neighbours."""
+    homes, routes = router.home(x), router.routes(x, len(router.b2))
+    place = np.argsort(routes, axis=1)  # where a partition stands among a vector's routes
+    asked = np.arange(5, len(x), 6)
+    near = np.concatenate([place[i][homes[graph[i]]] for i in asked]) if len(asked) and graph.shape[1] else np.zeros(0, int)
+    share = np.cumsum(np.bincount(near, minlength=routes.shape[1])) / max(1, len(near))
+    return int(np.argmax(share >= recall)) + 1 if len(near) and share[-1] >= recall else routes.shape[1]
+
+
+def _search(raw: DataFrame, every: int, k: int, parts: int | None, probes: int | None, recall: float, sample: int, graph_k: int, block: int, seed: int) -> DataFrame:
     """The search among vectors (id, raw) of one length; see :func:`nearest_neighbours`."""
     some = [bytes(r["raw"]) for r in raw.orderBy(F.xxhash64(F.lit(seed), "id"), "id").select("raw").limit(sample).collect()]
     x = matrix(list(dict.fromkeys(some)))
-    # a partition is learned from 20 sampled vectors at least; the probed share stays the same
-    probes, parts = -(-probes * min(parts, max(1, len(x) // 20)) // parts), min(parts, max(1, len(x) // 20))
+    # a partition is learned from 20 sampled vectors at least
+    parts = min(parts or max(16, raw.count() // 32768), max(1, len(x) // 20))
     graph = neighbour_graph(x, graph_k)
-    router = fit_router(x, graph, balanced_partition(x, graph, parts), parts, seed=seed)
+    part = balanced_partition(x, graph, parts)
+    learn = np.arange(len(x)) % 6 != 5
+    router = fit_router(x[learn], np.zeros((int(learn.sum()), 0), int) if not graph.shape[1] else graph[learn], part, parts, seed=seed, homes=part[learn])
+    probes = min(probes or enough_probes(router, x, graph, recall), parts)
 
     def place(n: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +199,20 @@ def _search(raw: DataFrame, every: int, k: int, parts: int, probes: int, sample:
     queries = raw.filter(F.col("id") % every == 0).dropDuplicates(["id"]).mapInArrow(place(probes), schema)
     counts = {r["part"]: r["n"] for r in index.groupBy("part").agg(F.count("*").alias("n")).collect()}  # parts rows at most
     blocks = F.create_map(*[v for p, n in counts.items() for v in (F.lit(p), F.lit(-(-n // block)))])
-    index = index.withColumn("slot", F.pmod(F.xxhash64("id"), blocks[F.col("part")]).cast("int"))
-    queries = queries.filter(blocks[F.col("part")].isNotNull()).withColumn("slot", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)))
+    queries = stage_table(queries)
+    asks = {r["part"]: r["n"] for r in queries.groupBy("part").agg(F.count("*").alias("n")).collect()}  # parts rows at most
+    if not asks:
+        return raw.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    turns = F.create_map(*[v for p, n in asks.items() for v in (F.lit(p), F.lit(-(-n // block)))])
+    own = lambda of, seed_: F.pmod(F.xxhash64(F.lit(seed_), "id"), of[F.col("part")]).cast("int")
+    every_one = lambda of: F.explode(F.sequence(F.lit(0), of[F.col("part")] - 1))
+    # each block of rows meets each block of queries of its partition once
+    index = index.filter(turns[F.col("part")].isNotNull()).withColumn("slot", own(blocks, 1)).withColumn("turn", every_one(turns))
+    queries = queries.filter(blocks[F.col("part")].isNotNull()).withColumn("turn", own(turns, 2)).withColumn("slot", every_one(blocks))
 
     def answer(query: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         return _best(query, rows, k) if len(query) and len(rows) else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    found = queries.groupBy("part", "slot").cogroup(index.groupBy("part", "slot")).applyInPandas(answer, "query_id long, vec_id long, score double")
+    found = queries.groupBy("part", "slot", "turn").cogroup(index.groupBy("part", "slot", "turn")).applyInPandas(answer, "query_id long, vec_id long, score double")
     tops = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))  # k rows a block and probe
     return tops.select("query_id", F.posexplode("top").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

@@ -32,22 +32,25 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents; exact copies out again, but for the copy with the smallest id (null ids last,
     then source and language); originals of another language than English (null included) counted anew with the vocabulary for
-    many languages; the second batch once more, which changes nothing. Null and empty texts count as copies of their like."""
+    many languages; the second batch once more, which changes nothing. Null and empty texts count as copies of their like. The
+    rollup's folder is named by the table's content, so a rerun over it commits nothing anew."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.col("text").isNull().alias("none"), "text")
     first, second = (token_counts.read_ranks(f"{TOKENIZERS}/{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k"))
     other = ~F.col("lang").eqNullSafe("en")
     both = docs.withColumn("again", F.when(other, F.col("text")))
     once = token_counts.count_tokens(both, first, into="n_tokens")
-    counts = stage_table(token_counts.count_tokens(once, second, text="again", into="n_again"))
-    pick = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("source").isNull().alias("no_source"), "source", F.col("lang").isNull().alias("no_lang"), "lang", "n_tokens", "n_again"))
+    counts = stage_table(token_counts.count_tokens(once, second, text="again", into="n_again").withColumn("row", F.monotonically_increasing_id()))
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("source").isNull().alias("no_source"), "source", F.col("lang").isNull().alias("no_lang"), "lang", "n_tokens", "n_again", "row"))
     originals = stage_table(counts.groupBy("h1", "h2", "none").agg(pick.alias("x")).select("x.*"))
+    copies = counts.join(originals.select("row"), "row", "left_anti")
     old, new = (token_counts.versioned(originals.filter(other).withColumn("n_tokens", F.col(n)), v) for n, v in (("n_tokens", "byte_bpe_50k"), ("n_again", "byte_bpe_multi_50k")))
-    loaded, stay = token_counts.versioned(counts, "byte_bpe_50k"), token_counts.versioned(originals, "byte_bpe_50k")
-    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{os.urandom(8).hex()}")
-    rollup.commit("load", token_counts.inserts(loaded))
-    rollup.commit("copies", token_counts.revisions(loaded, stay))
+    mark = counts.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "source", "lang", "h1", "h2", "none").cast("decimal(38,0)"))).first()
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/rollup-{mark[0]}-{mark[1] or 0}".replace("--", "-m"))
+    gone = token_counts.deletes(token_counts.versioned(copies, "byte_bpe_50k"))
+    rollup.commit("load", token_counts.inserts(token_counts.versioned(counts, "byte_bpe_50k")))
+    rollup.commit("copies", gone)
     rollup.commit("recount", token_counts.revisions(old, new))
-    rollup.commit("copies", token_counts.revisions(loaded, stay))
+    rollup.commit("copies", gone)
     return rollup.totals()
 
 

@@ -73,7 +73,8 @@ class Rollup:
 
     A batch is committed once: its folder is complete when the writer's success mark stands, a batch that is complete is
     not written again, and one that a lost driver left half-written is replaced. So a replay changes nothing. Totals are
-    sums over complete batches; keys whose documents are all gone have none. No batches give no rows.
+    sums over complete batches; keys whose documents are all gone have none. No batches give no rows. :meth:`compact` folds
+    batches into one base, so that totals read it and what came since; the names of folded batches stay known.
     """
 
     spark: SparkSession
@@ -89,28 +90,51 @@ class Rollup:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return bool(p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p))
 
-    def batches(self) -> list[str]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.root)
+    def _complete(self, kind: str, mark: str) -> list[str]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and self._exists(f"{self.root.rstrip('/')}/{n}/_SUCCESS"))
+        return sorted(n.removeprefix(f"{kind}=") for n in names if n.startswith(f"{kind}=") and self._exists(f"{self.root.rstrip('/')}/{n}/{mark}"))
+
+    def batches(self) -> list[str]:
+        """Complete batches that have a folder of their own."""
+        return self._complete("batch", "_SUCCESS")
+
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The newest complete base and the names of the batches in it."""
+        done = self._complete("base", "names/_SUCCESS")
+        if not done:
+            return None, set()
+        path = f"{self.root.rstrip('/')}/base={done[-1]}"
+        return path, {r["batch_id"] for r in self.spark.read.schema("batch_id string").parquet(f"{path}/names").collect()}  # one row a batch
+
+    def compact(self) -> int:
+        """Fold all complete batches into a new base; returns how many it holds. Its names are written last, so a base that a
+        lost driver left half-written is not read. Batches keep their folders, which may go once no reader of the old base is left."""
+        path, known = self._base()
+        names = sorted(known | set(self.batches()))
+        n = int(path.rpartition("=")[2]) + 1 if path else 1
+        new = f"{self.root.rstrip('/')}/base={n:09d}"
+        self.totals().write.mode("overwrite").parquet(f"{new}/totals")
+        self.spark.createDataFrame([(b,) for b in names], "batch_id string").coalesce(1).write.mode("overwrite").parquet(f"{new}/names")
+        return len(names)
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Commit a batch of signed changes; False if it was committed before."""
         path = self._path(batch_id)
-        if self._exists(f"{path}/_SUCCESS"):
+        if self._exists(f"{path}/_SUCCESS") or batch_id in self._base()[1]:
             return False
         roll(changes).write.mode("overwrite").parquet(path)
         return True
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens."""
-        done = self.batches()
+        base, known = self._base()
+        paths = [self._path(b) for b in self.batches() if b not in known] + ([f"{base}/totals"] if base else [])
         schema = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
-        if not done:
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        parts = self.spark.read.schema(schema).parquet(*[self._path(b) for b in done])
+        parts = self.spark.read.schema(schema).parquet(*paths)
         sums = parts.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 or n_tokens <> 0")
 
