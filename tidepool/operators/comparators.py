@@ -46,8 +46,10 @@ def ridge_of_two(train: DataFrame, a: str, b: str, y: str = "target", alpha: flo
 
 
 def purge_for(horizon: Column, floor: int = 63) -> Column:
-    """Purge, and equal embargo, of a horizon in sessions; null unless both are positive."""
-    return F.when((horizon > 0) & F.lit(floor > 0), F.greatest(horizon, F.lit(floor)))
+    """Purge, and equal embargo, of a horizon in sessions; a horizon or floor that is not positive is an error, never a fold without a gap."""
+    if floor <= 0:
+        raise ValueError("the floor must be positive")
+    return F.when(horizon > 0, F.greatest(horizon, F.lit(floor))).otherwise(F.raise_error(F.lit("a horizon must be positive")).cast("int"))
 
 
 def series_folds(counts: DataFrame, key: str, n: str = "n", n_folds: int = 5, min_train: int = 100, horizon: int = 30, embargo: int = 30) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,14 +44,35 @@ def betas(train: DataFrame, y: str = "target", least: int = 20) -> DataFrame:
     return w.groupBy("fold", "ticker").agg(F.coalesce(F.when(F.count("*") >= least, beta), F.lit(1.0)).alias("beta"))
 
 
-def floor_predictions(labelled: DataFrame, n_folds: int = 5, min_train: int = 500, horizon: int = 30, embargo: int = 30) -> DataFrame:
-    """Test rows of each fold with the predictions of the floors: market (mu) and beta_market (beta times mu)."""
+def training_sums(rows: DataFrame, folds: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """fold, keys and sums over each fold's training rows, which are prefixes of time: rows (with pos) are summed once by the
+    stretch between two folds' ends, and the few stretches of a key are added up, so no row is repeated for a fold."""
+    ends = folds.agg(F.array_sort(F.collect_list("train_end")).alias("_ends"))  # one row
+    cut = rows.join(F.broadcast(ends)).withColumn("_s", F.size(F.filter("_ends", lambda e: e <= F.col("pos"))))
+    parts = cut.groupBy(*keys, "_s").agg(*[x.alias(c) for c, x in sums.items()])
+    numbered = folds.select("fold", "train_end").join(F.broadcast(ends)).select("fold", (F.array_position("_ends", F.col("train_end")) - 1).alias("_k"))
+    return parts.join(F.broadcast(numbered), F.col("_s") <= F.col("_k")).groupBy("fold", *keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def floor_predictions(labelled: DataFrame, n_folds: int = 5, min_train: int = 500, horizon: int = 30, embargo: int = 30, least: int = 20) -> DataFrame:
+    """Test rows of each fold with the predictions of the floors: market (mu) and beta_market (beta times mu).
+
+    mu is the mean over training dates of their means, beta a ticker's population covariance with the dates' means over their
+    variance, 1 with few rows or no spread; both come from sums that every row enters once.
+    """
     grid = date_grid(labelled)
     folds = fold_table(grid, n_folds, min_train, horizon, embargo)
-    some = labelled.filter(F.col("target").isNotNull())
-    train = train_rows(some, grid, folds)
-    test = test_rows(some, grid, folds).select("fold", "date", "pos", "ticker", F.col("target").alias("y_true"))
-    out = test.join(market_mean(train), "fold").join(betas(train), ["fold", "ticker"], "left")
+    y = F.col("target")
+    placed = labelled.filter(y.isNotNull()).select("date", "ticker", "target").join(grid, "date").withColumn("_m", F.avg(y).over(Window.partitionBy("date")))
+    dates = placed.groupBy("date", "pos").agg(F.first("_m").alias("_m"))
+    mu = training_sums(dates, folds, [], {"_n": F.count("*"), "_x": F.sum("_m")}).select("fold", (F.col("_x") / F.col("_n")).alias("mu"))
+    m = F.col("_m")
+    s = training_sums(placed, folds, ["ticker"], {"_n": F.count("*"), "_y": F.sum(y), "_x": F.sum(m), "_xy": F.sum(y * m), "_xx": F.sum(m * m)})
+    spread = F.col("_xx") - F.col("_x") * F.col("_x") / F.col("_n")
+    beta = (F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_n")) / F.when(spread > 1e-12 * F.col("_xx"), spread)
+    beta = s.select("fold", "ticker", F.coalesce(F.when(F.col("_n") >= least, beta), F.lit(1.0)).alias("beta"))
+    test = placed.join(F.broadcast(folds), (F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end"))).select("fold", "date", "pos", "ticker", y.alias("y_true"))
+    out = test.join(F.broadcast(mu), "fold").join(beta, ["fold", "ticker"], "left")  # mu has one row a fold
     return out.withColumns({"market": F.col("mu"), "beta_market": F.coalesce("beta", F.lit(1.0)) * F.col("mu")}).drop("mu", "beta")
 
 

@@ -129,11 +129,22 @@ def market_state(df: DataFrame, short: int = 20, long: int = 60, peak: int = 252
 
 
 def rolling_beta(df: DataFrame, n: int = 252, least: int = 60) -> DataFrame:
-    """Covariance with the date's mean return over its variance, on the ticker's own last n rows."""
+    """Covariance with the date's mean return over its variance, on the ticker's own last n rows; null without spread.
+
+    A frame's sums are differences of running sums, so a row costs the same whatever n is.
+    """
     own = df.withColumn("r", F.log(F.col("close") / F.nullif(F.lag("close").over(by_ticker()), F.lit(0.0))))
     own = own.withColumn("m", F.avg("r").over(Window.partitionBy("date")))
     both = own.withColumn("m", F.when(F.col("r").isNotNull(), F.col("m")))
-    return both.withColumn("beta", full(F.covar_samp("r", "m").over(rows(n)) / F.nullif(F.var_samp("m").over(rows(n)), F.lit(0.0)), F.col("r"), n, least))
+    r, m = F.coalesce("r", F.lit(0.0)), F.coalesce("m", F.lit(0.0))
+    upto = by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"_n": F.count("r"), "_r": F.sum(r), "_m": F.sum(m), "_rm": F.sum(r * m), "_mm": F.sum(m * m)}
+    cum = both.withColumns({c: x.over(upto) for c, x in sums.items()})
+    cum = cum.withColumns({c: F.col(c) - F.coalesce(F.lag(c, n).over(by_ticker()), F.lit(0)) for c in sums})
+    k = F.nullif(F.col("_n"), F.lit(0))
+    spread = F.col("_mm") - F.col("_m") * F.col("_m") / k
+    beta = (F.col("_rm") - F.col("_r") * F.col("_m") / k) / F.when(spread > 1e-12 * F.col("_mm"), spread)
+    return cum.withColumn("beta", F.when(F.col("_n") >= least, beta)).drop(*sums)
 
 
 def reversal(df: DataFrame, k: int = 5) -> DataFrame:

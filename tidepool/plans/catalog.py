@@ -270,13 +270,16 @@ def pit_membership(spark, d):
     return shown(joins.member_on(tables.memberships(tables.bars(spark, d)), F.lit("1995-06-30").cast("date")), "ticker effective_from", "")
 
 
-@query(sql_of("""SELECT coalesce(a.ticker, b.ticker) AS ticker, CASE WHEN a.ticker IS NULL THEN 'joined' ELSE 'left' END AS change FROM (SELECT DISTINCT ticker FROM bars WHERE year(date) = 1993 AND month(date) = 1) a
- FULL JOIN (SELECT DISTINCT ticker FROM bars WHERE year(date) = 1993 AND month(date) = 2) b ON a.ticker = b.ticker WHERE a.ticker IS NULL OR b.ticker IS NULL"""))
+@query(sql_of("""SELECT CAST(month AS VARCHAR) AS month, ticker, change FROM (SELECT month, ticker, CASE WHEN before IS NULL OR before < month - INTERVAL 1 MONTH THEN 'joined' END AS j, CASE WHEN after IS NULL OR after > month + INTERVAL 1 MONTH THEN 'left' END AS l FROM (SELECT *, lag(month) OVER (PARTITION BY ticker ORDER BY month) AS before, lead(month) OVER (PARTITION BY ticker ORDER BY month) AS after
+ FROM (SELECT DISTINCT ticker, CAST(date_trunc('month', date) AS DATE) AS month FROM bars WHERE ticker % 7 <> 2 OR month(date) % 5 <> 0))), unnest([j, l]) u(change) WHERE change IS NOT NULL"""))
 def membership_diff(spark, d):
-    b = tables.bars(spark, d)
-    month = lambda m: b.filter((F.year("date") == 1993) & (F.month("date") == m)).select("ticker").distinct()
-    old, new = month(1), month(2)
-    return new.join(old, "ticker", "left_anti").withColumn("change", F.lit("joined")).union(old.join(new, "ticker", "left_anti").withColumn("change", F.lit("left")))
+    """Names that join or leave from one month to the next; every seventh is planted to be out in May and October."""
+    m = tables.bars(spark, d).filter("ticker % 7 <> 2 or month(date) % 5 <> 0").select("ticker", F.trunc("date", "month").alias("month")).distinct()
+    w = Window.partitionBy("ticker").orderBy("month")
+    before, after = F.lag("month").over(w), F.lead("month").over(w)
+    joined = F.when(before.isNull() | (before < F.add_months("month", -1)), "joined")
+    left = F.when(after.isNull() | (after > F.add_months("month", 1)), "left")
+    return m.withColumn("c", F.array(joined, left)).select(F.col("month").cast("string").alias("month"), "ticker", F.explode("c").alias("change")).filter("change is not null")
 
 
 @query(sql_of("""SELECT ticker, round(median(v), 4) AS median_value, count(*) AS n FROM (SELECT ticker, close * volume AS v, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS k,

@@ -175,7 +175,7 @@ def shadow_forecasts(spark, d):
 def forecast_prune(spark, d):
     """Rows outside the universe go; more than the allowed share would raise."""
     u = tables.table(spark, d, "customer").filter("c_custkey % 10 <> 3").select(F.col("c_custkey").alias("user_id"))
-    return records.prune(tables.table(spark, d, "events").select("event_id", "user_id"), u, "user_id", 1.0)
+    return records.prune(tables.table(spark, d, "events").select("event_id", "user_id"), u, "user_id")
 
 
 @query("SELECT user_id, event_id FROM events WHERE user_id IN (SELECT user_id FROM events GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 10)")
@@ -283,12 +283,12 @@ def critic_effect(spark, d):
 
 
 @query(sql_of("""SELECT 'ticker' AS kind, CAST(ticker AS VARCHAR) AS item FROM la WHERE v IS NOT NULL GROUP BY ticker HAVING count(DISTINCT v) = 1 UNION ALL SELECT 'date', CAST(date AS VARCHAR) FROM la WHERE v IS NOT NULL GROUP BY date HAVING count(DISTINCT v) = 1 AND count(*) >= 2""", LAB,
-              "la AS (SELECT *, sign(roc) AS v FROM lab WHERE date IN (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 120))"))
+              "la AS (SELECT *, CASE WHEN ticker % 10 = 3 THEN abs(sign(roc)) WHEN dayofmonth(date) = 7 THEN -1 ELSE sign(roc) END AS v FROM lab WHERE date IN (SELECT DISTINCT date FROM bars ORDER BY date DESC LIMIT 120))"))
 def standing_findings(spark, d):
-    """Tickers and dates that hold one value only within the last 120 dates."""
+    """Tickers and dates that hold one value only within the last 120 dates; every tenth ticker is planted without a fall."""
     lab = labelled(spark, d)
     last = lab.select("date").distinct().orderBy(F.desc("date")).limit(120)
-    la = lab.join(last, "date", "left_semi").withColumn("v", F.signum("roc")).filter("v is not null")
+    la = lab.join(last, "date", "left_semi").withColumn("v", F.when(F.col("ticker") % 10 == 3, F.abs(F.signum("roc"))).when(F.day("date") == 7, F.lit(-1.0)).otherwise(F.signum("roc"))).filter("v is not null")
     lone = lambda k, least: la.groupBy(k).agg(F.count_distinct("v").alias("u"), F.count("*").alias("n")).filter((F.col("u") == 1) & (F.col("n") >= least)).select(F.lit(k).alias("kind"), F.col(k).cast("string").alias("item"))
     return lone("ticker", 1).union(lone("date", 2))
 

@@ -33,10 +33,12 @@ def _calendar(spark):
     return sessions.decode(_raw_calendar(spark))
 
 
-@query(f"""WITH {_DAYS} SELECT 'closed' AS kind, CAST(date AS VARCHAR) AS date FROM days WHERE {_CLOSED} UNION ALL SELECT 'special', CAST(date AS VARCHAR) FROM days WHERE {_SPECIAL}
- UNION ALL SELECT 'year', CAST(date AS VARCHAR) FROM days WHERE month(date) = 1 AND day(date) = 1""")
+@query(sql_of(f"""SELECT kind, CAST(date AS VARCHAR) AS date, (SELECT count(*) FROM bars b WHERE b.date = k.date) AS bars FROM (SELECT 'closed' AS kind, date FROM days WHERE {_CLOSED} UNION ALL SELECT 'special', date FROM days WHERE {_SPECIAL}
+ UNION ALL SELECT 'year', date FROM days WHERE month(date) = 1 AND day(date) = 1) k""", _DAYS))
 def calendar_decode(spark, d):
-    return shown(_calendar(spark), "kind date", "")
+    """The calendar's days and the bars on each: those on closed days are what a session filter would drop."""
+    n = tables.bars(spark, d).groupBy("date").agg(F.count("*").alias("bars"))
+    return shown(_calendar(spark).join(n, "date", "left").withColumn("bars", F.coalesce("bars", F.lit(0)).cast("long")), "kind date bars", "")
 
 
 @query(sql_of(f"SELECT ticker, {DAY}, {_OPEN} AS is_session FROM bars"))
@@ -70,9 +72,11 @@ def calendar_live_merge(spark, d):
 # folds and leakage -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(h AS INT) AS horizon, CAST(greatest(h, 63) AS INT) AS purge FROM (VALUES (5), (30), (63), (90)) t(h) UNION ALL SELECT 0, NULL")
+@query("SELECT p_size AS horizon, CAST(greatest(p_size, 63) AS INT) AS purge, count(*) AS n FROM (SELECT CAST(p_size * 3 AS INT) AS p_size FROM part) GROUP BY p_size")
 def horizon_purge(spark, d):
-    return spark.createDataFrame([(5,), (30,), (63,), (90,), (0,)], "horizon int").withColumn("purge", comparators.purge_for(F.col("horizon")))
+    """The gap of every horizon that the parts name."""
+    h = tables.table(spark, d, "part").select((F.col("p_size") * 3).cast("int").alias("horizon"))
+    return h.groupBy("horizon").agg(F.count("*").alias("n")).withColumn("purge", comparators.purge_for(F.col("horizon")))
 
 
 @query(sql_of("""SELECT ticker, CAST(f AS INT) AS fold, CAST(test_start - 60 AS INT) AS train_end, CAST(test_start AS INT) AS test_start, CAST(test_start + step AS INT) AS test_end FROM
@@ -195,18 +199,21 @@ def news_coverage_by_fold(spark, d):
 # frames ------------------------------------------------------------------------------------------------------------
 
 
-@query(sql_of(f"SELECT {DAY}, " + ", ".join(f"max(coalesce(adj_close, close)) FILTER (ticker = {i}) AS t{i}" for i in range(1, 6)) + " FROM bars GROUP BY date HAVING count(*) FILTER (ticker BETWEEN 1 AND 5) > 0"))
+_NATIONS = 25  # of the nation table, a fixed number
+
+
+@query(sql_of(f"SELECT {DAY}, " + ", ".join(f"CAST(count(*) FILTER (s_nationkey = {i}) AS BIGINT) AS n{i}, max(coalesce(adj_close, close)) FILTER (s_nationkey = {i}) AS p{i}" for i in range(_NATIONS)) + " FROM bars JOIN supplier ON s_suppkey = ticker GROUP BY date"))
 def price_matrix(spark, d):
-    """Long to wide over a named set of tickers; wider matrices stay long."""
-    b = tables.bars(spark, d).filter("ticker between 1 and 5").withColumn("p", F.coalesce("adj_close", "close"))
-    wide = b.groupBy("date").pivot("ticker", list(range(1, 6))).agg(F.max("p"))
-    return shown(wide.toDF("date", *[f"t{i}" for i in range(1, 6)]), "date", "t1 t2 t3 t4 t5", None)
+    """Long to wide over the sectors, which are few and fixed; a matrix of names stays long."""
+    b = tables.bars(spark, d).join(tables.table(spark, d, "supplier").select(F.col("s_suppkey").alias("ticker"), F.col("s_nationkey").cast("int").alias("k")), "ticker")
+    wide = b.groupBy("date").pivot("k", list(range(_NATIONS))).agg(F.count("ticker").alias("n"), F.max(F.coalesce("adj_close", "close")).alias("p"))
+    return wide.select(F.col("date").cast("string").alias("date"), *[c for i in range(_NATIONS) for c in (F.coalesce(f"{i}_n", F.lit(0)).cast("long").alias(f"n{i}"), F.col(f"{i}_p").alias(f"p{i}"))])
 
 
-@query(sql_of(f"SELECT ticker, {DAY}, f AS field, v AS value FROM (SELECT ticker, date, unnest(['open', 'close', 'roc']) AS f, unnest([open, close, roc]) AS v FROM lab WHERE ticker <= 5)", LAB))
+@query(sql_of(f"SELECT ticker, {DAY}, f AS field, v AS value FROM (SELECT ticker, date, unnest(['open', 'close', 'roc']) AS f, unnest([open, close, roc]) AS v FROM lab)", LAB))
 def wide_to_long(spark, d):
     """Nulls keep their rows."""
-    some = labelled(spark, d).filter("ticker <= 5").select("ticker", "date", *[F.col(c).cast("double") for c in ("open", "close", "roc")])
+    some = labelled(spark, d).select("ticker", "date", *[F.col(c).cast("double") for c in ("open", "close", "roc")])
     return shown(some.unpivot(["ticker", "date"], ["open", "close", "roc"], "field", "value"), "ticker date field", "value", None)
 
 
@@ -231,13 +238,12 @@ def index_benchmark(spark, d):
     return m.select(F.col("date").cast("string").alias("date"), "level", F.lit("INDEX").alias("benchmark"))
 
 
-@query(sql_of(f"""SELECT {DAY}, round(vol, 5) AS vol, round((SELECT avg((o.vol <= mk.vol)::INT) FROM mk o WHERE o.date <= mk.date AND o.vol IS NOT NULL), 5) AS percentile FROM mk WHERE vol IS NOT NULL AND day(date) = 1""", RET, _BS))
+@query(sql_of(f"""SELECT {DAY}, round(vol, 5) AS vol, round((SELECT avg((o.vol <= mk.vol)::INT) FROM mk o WHERE o.date <= mk.date AND o.vol IS NOT NULL), 5) AS percentile FROM mk WHERE vol IS NOT NULL""", RET, _BS))
 def regime_percentile(spark, d):
-    """Share of the history up to a date at or below its value; asked for the first of each month."""
+    """Share of the history up to a date at or below its value."""
     s = windows.market_state(tables.bars(spark, d)).filter("vol is not null").select("date", "vol")
-    asked = s.filter(F.day("date") == 1)
     past = s.select(F.col("date").alias("_d"), F.col("vol").alias("_v"))  # one row a date
-    out = asked.join(past, F.col("_d") <= F.col("date")).groupBy("date", "vol").agg(F.avg((F.col("_v") <= F.col("vol")).cast("double")).alias("percentile"))
+    out = s.join(past, F.col("_d") <= F.col("date")).groupBy("date", "vol").agg(F.avg((F.col("_v") <= F.col("vol")).cast("double")).alias("percentile"))
     return shown(out, "date", "vol percentile", 5)
 
 
