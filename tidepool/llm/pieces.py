@@ -39,9 +39,10 @@ class Transducer:
     of a text has one segmentation of finite weight, so one state for each place in the text is enough.
     """
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, model: bytes, remembered: int = _CACHE) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
+        self.remembered = remembered
         proto = pb.ModelProto.FromString(model)
         spec, train = proto.normalizer_spec, proto.trainer_spec
         if train.model_type != train.BPE or not train.byte_fallback or spec.name != "identity" or spec.remove_extra_whitespaces:
@@ -124,7 +125,7 @@ class Transducer:
         see whether the pieces then at the border would have merged before that."""
         known = self._pairs.get(a << 20 | b)
         if known is None:
-            if len(self._pairs) >= _CACHE:
+            if len(self._pairs) >= self.remembered:
                 self._pairs.clear()
             known = self._pairs[a << 20 | b] = self._free(a, b)
         return known
@@ -173,7 +174,7 @@ class Transducer:
         """Ids of a unit as 32-bit numbers; those of a short one are kept for the next time."""
         got = self._older.get(unit) or array("i", self._path(unit)).tobytes()
         if len(unit) <= _KEPT:
-            if len(self._units) >= _CACHE // 2:
+            if len(self._units) >= self.remembered // 2:
                 self._older, self._units = self._units, {}
             self._units[unit] = got
         return got
@@ -194,9 +195,9 @@ class Transducer:
 
 
 @lru_cache(maxsize=2)
-def transducer(model: bytes) -> Transducer:
+def transducer(model: bytes, remembered: int = _CACHE) -> Transducer:
     """Compiled once for each Python worker."""
-    return Transducer(model)
+    return Transducer(model, remembered)
 
 
 def read_model(path: str) -> bytes:
@@ -205,13 +206,16 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, model: bytes, *, text: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` and the piece ids of each whole text (array<int>); null and empty texts have no pieces. Nothing is shuffled."""
+def encode_documents(docs: DataFrame, model: bytes, *, text: str = "text", into: str = "ids", remembered: int = _CACHE) -> DataFrame:
+    """``docs`` and the piece ids of each whole text (array<int>); null and empty texts have no pieces. Nothing is shuffled.
+
+    remembered: entries that a worker keeps of what it has coded; fewer cost time and save memory, the ids are the same.
+    """
     place = docs.columns.index(text)
     rest = [c for c in docs.columns if c != into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = transducer(model)
+        code = transducer(model, remembered)
         for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             parts = [code.encode(t) for t in b.column(place).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)

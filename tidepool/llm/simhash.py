@@ -357,6 +357,10 @@ def simhash_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     return prints.join(classes, F.col("fp") == F.col("c_fp"), "left").select("doc_id", "fp", "component_id")
 
 
+#: Texts whose sets are held at a time.
+_ROWS = 1024
+
+
 def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     """The distinct shingles of a text as sorted XXH64 values (seed 42); A-Z lower-cased, words as in :func:`simhash`."""
     words = (text or "").encode().translate(_LOWER).split()
@@ -416,7 +420,7 @@ def _set_prints(rows: DataFrame, shingle: int, words64: int, similarity: float)
         return ids[np.lexsort((ids, weight))[:prefix_length(len(ids), similarity)]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             sets, fps, keys = [], [], []
             for t in b.column(3):
                 ids = shingle_set(t.as_py(), shingle)
@@ -434,7 +438,7 @@ def _sets(need: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     """node, ids: the sets of shingles of the nodes in ``need`` (node, h1, h2), from the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             sets = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["node", "ids"])
 

@@ -289,7 +289,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id"
     return model
 
 
-def _score(model: Crf, texts: list[str | None], most_tokens: int = 1 << 18) -> Iterator[tuple[list[str | None], list[list[str]], np.ndarray, np.ndarray]]:
+def _score(model: Crf, texts: list[str | None], most_tokens: int = 1 << 16) -> Iterator[tuple[list[str | None], list[list[str]], np.ndarray, np.ndarray]]:
     """Groups of texts of about ``most_tokens`` tokens: texts, tokens, marginals, scores."""
     group: list[str | None] = []
     words: list[list[str]] = []
