@@ -34,7 +34,7 @@ def lean_workers(spark: SparkSession) -> None:
     """Let Python workers that start from now on give freed memory back at once: an idle worker keeps what it was given while
     later stages run in the JVM beside it. Settings of the C library and of Arrow's allocator; those that are set stay."""
     env = spark.sparkContext.environment
-    for k, v in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "1048576"), ("MALLOC_MMAP_THRESHOLD_", "1048576"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
+    for k, v in (("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "262144"), ("MALLOC_MMAP_THRESHOLD_", "262144"), ("ARROW_DEFAULT_MEMORY_POOL", "system")):
         env.setdefault(k, v)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm._common import held_out
+from tidepool.llm._common import held_out, lean_workers
 from tidepool.llm.simhash import simhash
 
 #: Feature slots of the model; a bound on what goes to the executors (8 bytes each).
@@ -24,6 +24,9 @@ _EDGES = re.compile(r"^\W+|\W+$")
 
 #: Tokens whose weights a worker keeps (about 35 MB).
 _CACHE = 200_000
+
+#: Documents whose texts and spans are held at a time.
+_ROWS = 1024
 _BLOCK = 128
 
 
@@ -327,8 +330,10 @@ def score_toxicity(docs: DataFrame, model: Crf, *, doc_id: str = "doc_id", text:
     token. Repeated rows are scored alike; an empty table gives no rows. Nothing is shuffled.
     """
 
+    lean_workers(docs.sparkSession)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             scores, spans = [], []
             for group, words, marginal, score in _score(model, b.column(1).to_pylist()):
                 ends = np.cumsum([len(w) for w in words])
@@ -346,9 +351,10 @@ def score_toxicity(docs: DataFrame, model: Crf, *, doc_id: str = "doc_id", text:
 def drop_toxic(docs: DataFrame, model: Crf, *, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more; columns stay, nothing is shuffled."""
     place = docs.columns.index(text)
+    lean_workers(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, _ROWS) for whole in batches for at in range(0, whole.num_rows, _ROWS)):
             scores = [s for *_, s in _score(model, b.column(place).to_pylist())]
             yield b.filter(pa.array(np.concatenate(scores) < threshold)) if scores else b
 
