@@ -113,3 +113,12 @@ def test_guards_on_deletion_and_coverage(spark):
     records.assert_coverage(stored.filter("k < 5"), stored, "k")
     with pytest.raises(ValueError):
         records.assert_coverage(stored.filter("k < 4"), stored, "k")
+
+
+def test_comparators_equal_in_every_fold_tie_whatever_the_order_of_rows(spark):
+    rates = [(0, 0.1), (1, 0.2), (2, 0.3)]
+    rows = [(f, "early", 1.0, x) for f, x in reversed(rates)] + [(f, "late", 1.0, x) for f, x in rates]  # 0.3 + 0.2 + 0.1 < 0.1 + 0.2 + 0.3
+    metrics = spark.createDataFrame(rows, "fold int, comparator string, mae double, hit_rate double").coalesce(1)
+    table = comparators.comparison(metrics)
+    assert len({x["hit_rate"] for x in table.collect()}) == 1
+    assert comparators.best(table, "hit_rate").first()["best"] == "early"

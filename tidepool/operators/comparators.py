@@ -22,8 +22,15 @@ def constant_predictions(train: DataFrame, test: DataFrame, y: str = "target") -
 
 
 def comparison(metrics: DataFrame) -> DataFrame:
-    """comparator, folds, mae and hit_rate, means over folds."""
-    return metrics.groupBy("comparator").agg(F.count("*").alias("folds"), F.avg("mae").alias("mae"), F.avg("hit_rate").alias("hit_rate"))
+    """comparator, folds, mae and hit_rate, means over folds. Folds are added in their order, so comparators that are equal in every
+    fold have equal means whatever the order of the rows. A comparator has one row a fold."""
+    rows = F.array_sort(F.collect_list(F.struct("fold", "mae", "hit_rate")))
+
+    def mean(c: str) -> Column:
+        some = F.filter(F.col("_r"), lambda x: x[c].isNotNull())
+        return F.when(F.size(some) > 0, F.aggregate(some, F.lit(0.0), lambda total, x: total + x[c]) / F.size(some)).alias(c)
+
+    return metrics.groupBy("comparator").agg(F.count("*").alias("folds"), rows.alias("_r")).select("comparator", "folds", mean("mae"), mean("hit_rate"))
 
 
 def best(table: DataFrame, metric: str, name: str = "comparator") -> DataFrame:
