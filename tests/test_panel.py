@@ -190,3 +190,15 @@ def test_entry_point(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 10 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_market_floor_never_beats_itself(spark):
+    """Each evaluation of these rows gives another mae, as sums in another order do."""
+    import random
+
+    other = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
+    rows = spark.createDataFrame([(f, c) for f in range(20) for c in ("market", "beta_market")], "fold int, comparator string").withColumn("mae", other())
+    own = folds.annotate_floors(rows).filter("comparator = 'market'").collect()
+    assert len(own) == 20 and all(x["mae_vs_market"] == 0 and not x["beats_market"] for x in own)
+    alone = spark.createDataFrame([(0, "beta_market", 1.0)], "fold int, comparator string, mae double")
+    assert folds.annotate_floors(alone).select("mae_vs_market", "beats_market").first() == (None, None)

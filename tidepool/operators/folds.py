@@ -85,9 +85,13 @@ def fold_metrics(preds: DataFrame, names: list[str]) -> DataFrame:
 
 
 def annotate_floors(results: DataFrame, market: str = "market") -> DataFrame:
-    """Each comparator's mae against the market floor of its fold: percent better and whether it beats it."""
-    floor = results.filter(F.col("comparator") == market).select("fold", F.col("mae").alias("floor_mae"))
-    out = results.join(floor, "fold", "left")
+    """Each comparator's mae against the market floor of its fold: percent better and whether it beats it.
+
+    The floor is read off the same rows, never computed again: a second sum in another order may differ in its last bits, and
+    then the market would beat itself.
+    """
+    floor = F.max(F.when(F.col("comparator") == market, F.col("mae"))).over(Window.partitionBy("fold"))
+    out = results.withColumn("floor_mae", floor)
     return out.withColumns({"mae_vs_market": 100 * (1 - F.col("mae") / F.nullif(F.col("floor_mae"), F.lit(0.0))), "beats_market": F.col("mae") < F.col("floor_mae")}).drop("floor_mae")
 
 
