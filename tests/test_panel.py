@@ -202,3 +202,13 @@ def test_market_floor_never_beats_itself(spark):
     assert len(own) == 20 and all(x["mae_vs_market"] == 0 and not x["beats_market"] for x in own)
     alone = spark.createDataFrame([(0, "beta_market", 1.0)], "fold int, comparator string, mae double")
     assert folds.annotate_floors(alone).select("mae_vs_market", "beats_market").first() == (None, None)
+
+
+def test_panel_compare_rounds_as_its_sql(spark, tmp_path):
+    day = dt.date(1995, 7, 6)  # close 5607.9665 and adj_close 5607.9664999999995, both 5607.967 as rounded doubles
+    lines = [(1, 1, 1, 864, 19.0, 101306.76, 0.06, 0.05, day), (2, 2, 1, 864, 1.0, 10852.57, 0.05, 0.06, day)]
+    schema = "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate date"
+    spark.createDataFrame(lines, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert plain(catalog.queries()["panel_compare"](spark, str(tmp_path)).toPandas()) == plain(c.sql(catalog.oracle_sql()["panel_compare"]).df())
