@@ -262,3 +262,12 @@ def test_packing_of_nulls_repeats_ties_and_long_texts(spark):
     rows = packing.pack_documents(packing.token_ids(twice, spec)).collect()
     assert Counter(r["doc_id"] for r in rows) == {5: 3, None: 2} and len({(r["sequence_id"], r["offset"]) for r in rows}) == 5
     assert packing.pack_documents(packing.token_ids(frame.limit(0), spec)).count() == 0
+
+
+def test_index_rows_stay_small_and_workers_give_memory_back(spark):
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id as doc_id", "concat('alpha beta', id % 7) as text")
+    lexical.ranked_search(docs, spark.createDataFrame([(1, "alpha beta3")], "item_id long, text string"), k=3)
+    assert spark.sparkContext.environment["ARROW_DEFAULT_MEMORY_POOL"] == "system"
+    forward = lexical.stage_table(lexical.forward_rows(docs, [b"alpha"]))
+    held = [len(x["docs"]) for x in lexical.impact_index(forward, lexical.statistics_of(forward, 1)).collect()]
+    assert sum(held) == 5000 and max(held) <= 2048

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm._common import stage_table
+from tidepool.llm._common import lean_workers, stage_table
 
 #: Bytes to their place in a term: letters and digits of ASCII, A-Z lower-cased, and all of other characters; the rest part terms.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -26,6 +26,9 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if chr(c).isalnum() or c >= 128 els
 #: Documents that a task unpacks at once.
 _ROWS = 512
 
+#: Documents of a block: its slices are one row, which a task holds whole in the JVM and in Python.
+DOCS_PER_BLOCK = 2048
+
 _FORWARD = "doc_id long, n long, terms array<int>, tfs array<long>"
 _INDEX = "docs array<long>, terms array<int>, ends array<long>, widths array<int>, slices binary"
 _HITS = "item int, doc_id long, score long"
@@ -96,7 +99,7 @@ def bit_slices(places: np.ndarray, values: np.ndarray, n_bytes: int) -> np.ndarr
     return rows
 
 
-def impact_index(forward: DataFrame, stats: Statistics, docs_per_block: int = 4096, terms_per_block: int = 1 << 20) -> DataFrame:
+def impact_index(forward: DataFrame, stats: Statistics, docs_per_block: int = DOCS_PER_BLOCK, terms_per_block: int = 1 << 18) -> DataFrame:
     """One row per block: its documents by id (nulls last), its terms and their bit slices.
 
     A block is closed at ``docs_per_block`` documents or ``terms_per_block`` postings, so a row and the memory of its task are
@@ -251,7 +254,7 @@ def _query_groups(items: DataFrame, item_id: str, text: str, most_items: int, mo
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", k: int = 10,
-                  most_items: int = 4096, most_terms: int = 1 << 18, docs_per_block: int = 4096) -> DataFrame:
+                  most_items: int = 4096, most_terms: int = 1 << 18, docs_per_block: int = DOCS_PER_BLOCK) -> DataFrame:
     """(item_id, rank, doc_id, score): the k highest-scoring documents of each item, scores above 0 only, ties by smaller doc_id.
 
     All documents count in the statistics and are ranked. Items are taken in groups of ``most_items`` and ``most_terms`` distinct
@@ -261,6 +264,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     columns are not read. Empty tables give no rows.
     """
     spark, parts = docs.sparkSession, []
+    lean_workers(spark)
     for group in _query_groups(items, item_id, item_text, most_items, most_terms):
         vocabulary = sorted(set().union(*[terms for _, terms in group]))
         number = {t: i for i, t in enumerate(vocabulary)}
