@@ -212,3 +212,17 @@ def test_panel_compare_rounds_as_its_sql(spark, tmp_path):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert plain(catalog.queries()["panel_compare"](spark, str(tmp_path)).toPandas()) == plain(c.sql(catalog.oracle_sql()["panel_compare"]).df())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dependent_step_up_adds_the_harmonic_sum_once(spark):
+    r = np.random.default_rng(3)
+    p = np.sort(np.concatenate([r.uniform(0, 1e-4, 40), r.uniform(0, 1, 360)]))
+    out = statistics.benjamini_hochberg(spark.createDataFrame([(float(x),) for x in p], "p double"), "p", dependent=True)
+    m = len(p)
+    ok = np.flatnonzero(p <= 0.1 * np.arange(1, m + 1) / m / (1 / np.arange(1, m + 1)).sum())
+    assert sorted(x["p"] for x in out.filter("significant").collect()) == p[:ok.max() + 1].tolist()
+    assert out.columns == ["p", "significant"] and "sequence" not in plan_of(out)  # a sum over 1 to m in each of m rows

@@ -14,9 +14,10 @@ def benjamini_hochberg(df: DataFrame, p: str, q: float = 0.10, dependent: bool =
     w = Window.orderBy(p)  # one row a hypothesis
     m = F.count("*").over(Window.partitionBy())
     ranked = df.withColumns({"_r": F.row_number().over(w), "_m": m})
-    bound = F.lit(q) / (F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / i) if dependent else F.lit(1.0))
+    ranked = ranked.withColumn("_h", F.sum(1.0 / F.col("_r")).over(Window.partitionBy()) if dependent else F.lit(1.0))  # 1 + 1/2 + ... + 1/m, once
+    bound = F.lit(q) / F.col("_h")
     ranked = ranked.withColumn("_ok", F.when(F.col(p) <= bound * F.col("_r") / F.col("_m"), F.col("_r")))
-    return ranked.withColumn("significant", F.col("_r") <= F.coalesce(F.max("_ok").over(Window.partitionBy()), F.lit(0))).drop("_r", "_m", "_ok")
+    return ranked.withColumn("significant", F.col("_r") <= F.coalesce(F.max("_ok").over(Window.partitionBy()), F.lit(0))).drop("_r", "_m", "_h", "_ok")
 
 
 def dersimonian_laird(df: DataFrame, x: str, var: str) -> DataFrame:
