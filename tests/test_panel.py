@@ -226,3 +226,15 @@ def test_dependent_step_up_adds_the_harmonic_sum_once(spark):
     ok = np.flatnonzero(p <= 0.1 * np.arange(1, m + 1) / m / (1 / np.arange(1, m + 1)).sum())
     assert sorted(x["p"] for x in out.filter("significant").collect()) == p[:ok.max() + 1].tolist()
     assert out.columns == ["p", "significant"] and "sequence" not in plan_of(out)  # a sum over 1 to m in each of m rows
+
+
+def test_distribution_is_exact_and_never_gathers_the_values(spark):
+    r = np.random.default_rng(5)
+    for x in (r.normal(size=5000), np.round(r.normal(size=3000), 1), np.array([2.5]), np.array([])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)] * 3, "v double")
+        out = quality.distribution(df, "v", 1.5)
+        got = out.first()
+        want = [round(float(q), 6) for q in np.quantile(x, [0.01, 0.99])] if len(x) else [None, None]
+        assert (got["n"], got["beyond"]) == (len(x), int((abs(x) > 1.5).sum()))
+        assert [got["q01"], got["q99"]] == pytest.approx(want) if len(x) else [got["q01"], got["q99"]] == want
+        assert " percentile(" not in plan_of(out)

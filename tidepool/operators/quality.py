@@ -9,6 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidepool.operators import statistics
 from tidepool.operators.windows import by_ticker
 
 
@@ -78,8 +79,7 @@ def benchmark_coverage(df: DataFrame, universe: DataFrame, c: str) -> DataFrame:
 def distribution(df: DataFrame, c: str, limit: float) -> DataFrame:
     """n, sd, q01, q99 (exact, interpolated) and how many values lie beyond the limit on either side."""
     x = df.filter(F.col(c).isNotNull())
-    q = F.percentile(c, F.array(F.lit(0.01), F.lit(0.99)))
-    out = x.agg(F.count("*").alias("n"), F.stddev_samp(c).alias("sd"), q.alias("q"), F.coalesce(F.sum((F.abs(c) > limit).cast("long")), F.lit(0)).alias("beyond"))
+    out = x.agg(F.count("*").alias("n"), F.stddev_samp(c).alias("sd"), F.coalesce(F.sum((F.abs(c) > limit).cast("long")), F.lit(0)).alias("beyond")).join(statistics.quantiles(x, c, [0.01, 0.99]))  # one row each
     return out.select("n", F.round("sd", 6).alias("sd"), F.round(F.col("q")[0], 6).alias("q01"), F.round(F.col("q")[1], 6).alias("q99"), "beyond")
 
 

@@ -50,10 +50,10 @@ def driscoll_kraay(per_date: DataFrame, x: str, lags: int = 30) -> DataFrame:
 CUTS = (0.005, 0.1, 0.25, 0.5, 0.75, 0.9, 0.995)
 
 
-def bucketed(df: DataFrame, keys: list[str], x: str, buckets: int = 200) -> DataFrame:
+def bucketed(df: DataFrame, keys: list[str], x: str, buckets: int = 200, few: bool = False) -> DataFrame:
     """Rows with _b, the bucket of x: equal values share one, buckets are in the order of x, ``buckets`` of them between two cuts.
 
-    The cuts are approximate quantiles of the keys. Ranks inside a bucket plus the counts of the buckets before it are exact
+    The cuts are approximate quantiles of the keys (``few``: so few keys that the cuts are broadcast). Ranks inside a bucket plus the counts of the buckets before it are exact
     whatever the cuts, and no key is sorted in one task. Every step (compare, subtract, divide, floor) keeps the order of doubles.
     """
     cuts = df.groupBy(*keys).agg(F.percentile_approx(x, F.lit(np.array(CUTS)), 2000).alias("_cuts"))
@@ -62,7 +62,27 @@ def bucketed(df: DataFrame, keys: list[str], x: str, buckets: int = 200) -> Data
     for i in range(1, len(CUTS)):
         part = (v - cut[i - 1]) / F.nullif(cut[i] - cut[i - 1], F.lit(0.0)) * (buckets - 1)
         place = place.when(v <= cut[i], 1 + (i - 1) * buckets + F.floor(part).cast("int"))
-    return df.join(cuts, keys).withColumn("_b", place.otherwise(1 + (len(CUTS) - 1) * buckets)).drop("_cuts")
+    return df.join(F.broadcast(cuts) if few else cuts, keys).withColumn("_b", place.otherwise(1 + (len(CUTS) - 1) * buckets)).drop("_cuts")
+
+
+def quantiles(df: DataFrame, x: str, shares: list[float]) -> DataFrame:
+    """One row, ``q``: the exact quantiles of the non-null x at ``shares``, interpolated between neighbours; null without any.
+
+    Equal values are counted first, then buckets; only the buckets that hold the neighbours are sorted, so no task sees all rows.
+    """
+    values = bucketed(df.filter(F.col(x).isNotNull()).select(F.lit(0).alias("_g"), F.col(x).cast("double").alias("_x")).groupBy("_g", "_x").agg(F.count("*").alias("_c")), ["_g"], "_x", few=True)
+    per = values.groupBy("_b").agg(F.sum("_c").alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))  # at most one row a bucket
+    per = per.withColumns({"_upto": upto, "_all": F.sum("_n").over(Window.partitionBy())})
+    at = [F.lit(float(s)) * (F.col("_all") - 1) for s in shares]
+    ranks = F.array_distinct(F.array(*[f(a).cast("long") + 1 for a in at for f in (F.floor, F.ceil)]))
+    per = per.withColumn("_k", F.explode(ranks)).filter((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k")))
+    inside = values.join(F.broadcast(per.select("_b", "_k", "_all", (F.col("_upto") - F.col("_n")).alias("_before"))), "_b")  # a row a rank
+    run = F.col("_before") + F.sum("_c").over(Window.partitionBy("_k").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_run", run).groupBy("_k", "_all").agg(F.min(F.when(F.col("_run") >= F.col("_k"), F.col("_x"))).alias("_v"))
+    one = found.agg(F.max("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m"))  # one row a rank
+    value = lambda k: F.try_element_at("_m", k.cast("long") + 1)
+    return one.select(F.array(*[value(F.floor(a)) + (value(F.ceil(a)) - value(F.floor(a))) * (a - F.floor(a)) for a in at]).alias("q"))
 
 
 def nth_smallest(df: DataFrame, keys: list[str], x: str, nth: Column) -> DataFrame:
