@@ -238,3 +238,22 @@ def test_distribution_is_exact_and_never_gathers_the_values(spark):
         assert (got["n"], got["beyond"]) == (len(x), int((abs(x) > 1.5).sum()))
         assert [got["q01"], got["q99"]] == pytest.approx(want) if len(x) else [got["q01"], got["q99"]] == want
         assert " percentile(" not in plan_of(out)
+
+
+def test_hurst_equals_brute_force_and_reads_no_frame_in_a_window(spark):
+    r = np.random.default_rng(7)
+    rows = [(t, dt.date(2020, 1, 1) + dt.timedelta(i), float(c)) for t, n in ((1, 100), (2, 79), (3, 78)) for i, c in enumerate(np.exp(np.cumsum(r.normal(size=n))))]
+    rows += [(4, dt.date(2020, 1, 1) + dt.timedelta(i), 5.0) for i in range(90)] + [(5, dt.date(2020, 1, 1) + dt.timedelta(i), None if i == 40 else float(i + 1)) for i in range(90)]
+    out = windows.hurst(spark.createDataFrame(rows, "ticker int, date date, close double").repartition(3))
+    assert out.columns == ["ticker", "date", "close", "hurst"] and "stddev_samp" not in plan_of(out)
+    got = {(x["ticker"], x["date"]): x["hurst"] for x in out.collect()}
+    assert len(got) == len(rows) and all(got[t, d] is None for t, d, _ in rows if t in (3, 4, 5))
+    for t, n in ((1, 100), (2, 79)):
+        series = [(d, np.log(c)) for k, d, c in rows if k == t]
+        for i, (d, _) in enumerate(series):
+            if i < 78:
+                assert got[t, d] is None
+                continue
+            lp = np.array([x for _, x in series[:i + 1]])
+            sd = [np.std((lp[k:] - lp[:-k])[-60:], ddof=1) for k in range(2, 20)]
+            assert got[t, d] == pytest.approx(min(1, max(0, np.polyfit(np.log(range(2, 20)), np.log(sd), 1)[0])), abs=1e-4)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def by_ticker():
@@ -67,18 +70,33 @@ def sma_deviation(df: DataFrame, n: int = 50) -> DataFrame:
 
 
 def hurst(df: DataFrame, n: int = 60, lags: range = range(2, 20)) -> DataFrame:
-    """Slope of log dispersion of lagged log-price differences on log lag; null unless every dispersion is positive."""
-    df = df.withColumn("lp", safe_log(F.col("close")))
-    df = df.withColumns({f"d{k}": F.col("lp") - F.lag("lp", k).over(by_ticker()) for k in lags})
-    df = df.withColumns({f"s{k}": full(F.stddev_samp(f"d{k}").over(rows(n)), F.col(f"d{k}"), n) for k in lags})
-    logs = [math.log(k) for k in lags]
-    mean = sum(logs) / len(logs)
-    sxx = sum((x - mean) ** 2 for x in logs)
-    slope = sum(((x - mean) / sxx * F.log(f"s{k}") for x, k in zip(logs, lags)), F.lit(0.0))
-    ok = F.least(*[F.col(f"s{k}") for k in lags]) > 0
-    every = F.array_compact(F.array(*[F.col(f"s{k}") for k in lags]))
-    out = df.withColumn("hurst", F.when(ok & (F.size(every) == len(logs)), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), slope)), 4)))
-    return out.drop("lp", *[f"{a}{k}" for k in lags for a in "ds"])
+    """Slope of log dispersion of lagged log-price differences on log lag; null unless every dispersion is positive.
+
+    A ticker's own rows are one group (as many as there are sessions), and its frames are summed side by side.
+    """
+    logs = np.log(np.array(lags, float))
+    weights = (logs - logs.mean()) / ((logs - logs.mean()) ** 2).sum()
+
+    def slopes(close: np.ndarray) -> np.ndarray:
+        out = np.full(len(close), np.nan)
+        if len(close) < n + max(lags):
+            return out
+        with np.errstate(all="ignore"):
+            lp = np.log(np.where(close > 0, close, np.nan))
+            total = np.zeros(len(close) - n - max(lags) + 1)
+            for k, w in zip(lags, weights):
+                frames = np.lib.stride_tricks.sliding_window_view(lp[k:] - lp[:-k], n)[max(lags) - k:]
+                off = frames - frames.mean(axis=1, keepdims=True)
+                total += w * np.log((off * off).sum(axis=1) / (n - 1)) / 2
+        out[n + max(lags) - 1:] = np.where(np.isfinite(total), np.clip(total, 0.0, 1.0), np.nan)
+        return out
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("date")
+        return rows.append_column("hurst", pa.array(slopes(rows.column("close").to_numpy()), pa.float64(), from_pandas=True))
+
+    out = df.groupBy("ticker").applyInArrow(run, StructType([*df.schema.fields, StructField("hurst", DoubleType())]))
+    return out.withColumn("hurst", F.round("hurst", 4))
 
 
 def adjust(df: DataFrame) -> DataFrame:
