@@ -202,3 +202,21 @@ def test_surrogates_are_blocks_of_the_series(spark):
     starts = [of[1][i] for i in range(0, 200, 10)]
     assert all(of[1][i:i + 10] == [starts[i // 10] + j for j in range(10)] for i in range(0, 200, 10))
     assert len({s % 10 for s in starts}) > 3 and max(starts) <= 190  # starts overlap
+
+
+def test_announcement_returns_compute_their_inputs_once(spark):
+    import datetime as dt
+
+    seen = {n: spark.sparkContext.accumulator(0) for n in ("bars", "events")}
+
+    def counted(df, name, c):
+        acc = seen[name]
+        return df.withColumn(c, F.udf(lambda v: acc.add(1) or v, "double").asNondeterministic()(c))
+
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(i)
+    bars = counted(spark.createDataFrame([(t, day(i), 10.0 + i + t) for t in (1, 2) for i in range(10)], "ticker long, date date, close double"), "bars", "close")
+    events = counted(spark.createDataFrame([(1, day(0), 1.5, dt.datetime(2024, 1, 4, 10)), (2, day(0), 0.5, dt.datetime(2024, 1, 5, 18)), (1, day(1), 1.0, dt.datetime(2023, 1, 5, 18))],
+                                           "ticker long, period_end date, sue double, disclosed timestamp"), "events", "sue")
+    out = surprises.announcement_returns(events, spark.createDataFrame([], "ticker long, ex_date date"), bars).collect()
+    assert sorted((x["ticker"], x["sessions"]) for x in out) == [(1, 1), (2, 2)]
+    assert (seen["bars"].value, seen["events"].value) == (20, 3)

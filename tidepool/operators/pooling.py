@@ -49,7 +49,7 @@ def shared_path(spark: SparkSession) -> str:
     return f"{named.rstrip('/')}/tidepool-{uuid.uuid4().hex}"
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """``df`` written in the shared folder and read again."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
@@ -70,7 +70,7 @@ def symbol_intervals(changes: DataFrame, longest: int | None = None, start: str
         steps += 1
         before = changes.select(F.col("old").alias("_old"), F.col("new").alias("used"), F.col("day").alias("_day"))
         step = front.join(before, "used", "left").withColumn("_ok", F.col("_old").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("_old")), F.lit(False)) & (F.col("_day") < F.col("valid_to")))
-        step = _written(step)
+        step = written(step)
         row = step.select("symbol", "used", F.when(F.col("_ok"), F.col("_day")).otherwise(first).alias("valid_from"), "valid_to")
         out = row if out is None else out.union(row)
         front = step.filter("_ok").select("symbol", F.col("_old").alias("used"), F.col("_day").alias("valid_to"), F.concat("seen", F.array("_old")).alias("seen"))

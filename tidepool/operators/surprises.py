@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import crosssection as xs
 from tidepool.operators.announcements import share_factors, usable_sessions
 from tidepool.operators.joins import asof_backward
+from tidepool.operators.pooling import written
 from tidepool.operators.records import pick_announcements
 
 _KEYS = ["ticker", "basis", "period_end"]
@@ -33,7 +34,7 @@ def point_in_time_surprises(quarters: DataFrame, actions: DataFrame, breaks: Dat
     known = quarters.filter(F.col("eps").isNotNull() & ~F.isnan("eps") & F.col("disclosed").isNotNull()).select(*_KEYS, "eps", "disclosed").withColumn("_n", one).filter("_n = 1").drop("_n")
     splits = actions.filter(F.col("kind").isin("bonus", "split", "split_yf")).select("ticker", "ex_date", "factor")
     known = share_factors(known.withColumn("_day", F.to_date("disclosed")), splits, "_day").drop("_day")
-    known = known.join(straddled(breaks).withColumn("_void", F.lit(True)), ["ticker", "period_end"], "left")
+    known = written(known.join(straddled(breaks).withColumn("_void", F.lit(True)), ["ticker", "period_end"], "left"))  # read three times
     back = F.explode(F.sequence(F.lit(0), F.lit(most + 4))).alias("_k")
     asks = known.select("ticker", "basis", "period_end", F.col("disclosed").alias("_at"), F.col("factor").alias("_f"), back).withColumn("_end", F.last_day(F.add_months("period_end", -3 * F.col("_k"))))
     there = known.select("ticker", "basis", F.col("period_end").alias("_end"), F.col("eps").alias("_e"), F.col("disclosed").alias("_d"), F.col("factor").alias("_g"), "_void")
@@ -88,15 +89,17 @@ def announcement_returns(events: DataFrame, splits: DataFrame, bars: DataFrame)
     into, those before the first session and those of names without a price at either end. The market is each session's mean of
     log returns on the session before.
     """
+    bars = written(bars.select("ticker", "date", "close"))  # read several times, as are the events
     days = bars.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")) - 1)  # one row a session
     priced = bars.join(days, "date").select("ticker", "pos", F.log("close").alias("p"))
     w = Window.partitionBy("ticker").orderBy("pos")
     step = priced.withColumn("r", F.when(F.lag("pos").over(w) == F.col("pos") - 1, F.col("p") - F.lag("p").over(w)))
     market = step.groupBy("pos").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("m")).withColumn("cum", F.sum("m").over(Window.orderBy("pos")))  # one row a session
-    some = events.filter("sue is not null")
+    some = written(events.filter("sue is not null"))
     to = usable_sessions(some, days.select("date"), "disclosed").filter("session is not null").withColumn("_day", F.to_date("disclosed"))
-    back = asof_backward(to.withColumn("_all", F.lit(1)), days.select(F.lit(1).alias("_all"), F.col("date").alias("d0"), F.col("pos").alias("i0")), by=["_all"], left_on="_day", right_on="d0", values=["i0"], strict=True)
-    span = back.filter("i0 is not null").join(days.select(F.col("date").alias("session"), F.col("pos").alias("i1")), "session").filter("i1 > i0")
+    asked = to.select(F.lit(1).alias("_all"), "_day").distinct()  # one row a day, whatever the number of announcements
+    back = asof_backward(asked, days.select(F.lit(1).alias("_all"), F.col("date").alias("d0"), F.col("pos").alias("i0")), by=["_all"], left_on="_day", right_on="d0", values=["i0"], strict=True)
+    span = to.join(F.broadcast(back.filter("i0 is not null").drop("_all")), "_day").join(days.select(F.col("date").alias("session"), F.col("pos").alias("i1")), "session").filter("i1 > i0")
     so_far = splits.select("ticker", "ex_date").groupBy("ticker", "ex_date").agg(F.count("*").alias("_c"))
     so_far = so_far.select("ticker", "ex_date", F.sum("_c").over(Window.partitionBy("ticker").orderBy("ex_date")).alias("_s"))
     for end, name in (("d0", "_s0"), ("session", "_s1")):
