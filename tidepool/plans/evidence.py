@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators import announcements, folds, holding, longrun, neutral, portfolio, statistics, surprises, windows
+from tidepool.operators import announcements, folds, holding, longrun, neutral, pooling, portfolio, statistics, surprises, windows
 from tidepool.operators import crosssection as xs
 from tidepool.plans.catalog import DAY, LAB, PREDS, RET, W, floors, labelled, query, shown, sql_of
 from tidepool.plans.extra import IC, POS, average_ranks, tested
@@ -74,9 +74,10 @@ _SCORED = ", ".join(f"round(coalesce(CASE WHEN count({c}) OVER w >= 10 AND stdde
 
 
 def _session_events(spark, d) -> tuple[DataFrame, DataFrame]:
-    b = tables.bars(spark, d).select("ticker", "date")
+    b = pooling.written(tables.bars(spark, d).select("ticker", "date"))  # sessions and announcements are read several times
     grid = folds.date_grid(b)
-    used = announcements.usable_sessions(surprises.announced(surprise_table(spark, d)), grid.select("date"), "disclosed").filter("session is not null")
+    known = pooling.written(surprises.announced(surprise_table(spark, d)))
+    used = announcements.usable_sessions(known, grid.select("date"), "disclosed").filter("session is not null")
     return b.join(grid, "date"), used.join(grid.withColumnRenamed("date", "session"), "session").select("ticker", "pos", "sue")
 
 
