@@ -257,3 +257,17 @@ def test_hurst_equals_brute_force_and_reads_no_frame_in_a_window(spark):
             lp = np.array([x for _, x in series[:i + 1]])
             sd = [np.std((lp[k:] - lp[:-k])[-60:], ddof=1) for k in range(2, 20)]
             assert got[t, d] == pytest.approx(min(1, max(0, np.polyfit(np.log(range(2, 20)), np.log(sd), 1)[0])), abs=1e-4)
+
+
+def test_sliding_aggregates_equal_brute_force(spark):
+    r = np.random.default_rng(9)
+    rows = [(t, dt.date(2020, 1, 1) + dt.timedelta(i), None if r.random() < 0.2 else float(r.integers(0, 50))) for t, n in ((1, 23), (2, 7), (3, 8), (4, 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "ticker int, date date, v double").repartition(3)
+    out = windows.sliding(df, 7, {f: (f, F.col("v")) for f in ("sum", "min", "max")}).withColumn("n", windows.held_in("v", 7))
+    got = {(x["ticker"], x["date"]): x for x in out.collect()}
+    for t in range(1, 5):
+        own = [(d, v) for k, d, v in rows if k == t]
+        for i, (d, _) in enumerate(own):
+            some = [v for _, v in own[max(0, i - 6):i + 1] if v is not None]
+            x = got[t, d]
+            assert (x["sum"], x["min"], x["max"], x["n"]) == ((sum(some), min(some), max(some), len(some)) if some else (None, None, None, 0))

@@ -14,7 +14,7 @@ SIGNALS = ("sma", "upper", "lower", "width", "stoch_k", "williams_r", "obv", "ro
 def signals(bars: DataFrame) -> DataFrame:
     """ticker, date, the windowed signals and the recursive ones; nulls where a signal's own past is too short."""
     out = bars
-    for step in (windows.bollinger, windows.stochastic, windows.obv, windows.rate_of_change, windows.proximity, windows.sma_deviation, windows.lag_returns):
+    for step in (windows.proximity, windows.bollinger, windows.stochastic, windows.obv, windows.rate_of_change, windows.sma_deviation, windows.lag_returns):  # proximity sorts blocks, so while rows are narrow
         out = step(out)
     kept = out.select("ticker", "date", *SIGNALS)
     again = recursive.recursive_indicators(bars)

@@ -26,6 +26,36 @@ def full(value: Column, over: Column, n: int, least: int | None = None) -> Colum
     return F.when(F.count(over).over(rows(n)) >= (least or n), value)
 
 
+def sliding(df: DataFrame, n: int, values: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` with aggregates (sum, min or max) over the last n rows, at the same cost a row whatever n is.
+
+    A ticker's rows are cut into blocks of n: a frame is the end of one block and the beginning of the next, and both come from
+    running aggregates within blocks, so nothing is subtracted and no frame is read twice. Nulls are passed over.
+    """
+    of = {"sum": F.sum, "min": F.min, "max": F.max}
+    out = df.withColumn("_i", F.row_number().over(by_ticker()) - 1).withColumn("_b", F.floor(F.col("_i") / n))
+    block = Window.partitionBy("ticker", "_b")
+    upto, since = (block.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("date"), F.col("date").desc()))
+    out = out.withColumns({f"_x_{c}": x for c, (_, x) in values.items()})
+    out = out.withColumns({f"_s_{c}": of[f](f"_x_{c}").over(since) for c, (f, _) in values.items()})
+    out = out.withColumns({f"_p_{c}": of[f](f"_x_{c}").over(upto) for c, (f, _) in values.items()})
+    whole = F.col("_i") % n == n - 1  # the frame is one block
+
+    def joined(c: str, f: str) -> Column:
+        a, b = F.col(f"_p_{c}"), F.lag(f"_s_{c}", n - 1).over(by_ticker())
+        both = F.least(a, b) if f == "min" else F.greatest(a, b) if f == "max" else F.coalesce(a + b, a, b)
+        return F.when(whole, a).otherwise(both)
+
+    return out.withColumns({c: joined(c, f) for c, (f, _) in values.items()}).drop("_i", "_b", *[f"_{k}_{c}" for c in values for k in "xsp"])
+
+
+def held_in(c: str, n: int) -> Column:
+    """How many of the last n rows hold a value: the difference of two running counts."""
+    upto = F.count(c).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0))
+    before = F.count(c).over(by_ticker().rowsBetween(Window.unboundedPreceding, -n))
+    return upto - before
+
+
 def safe_log(x: Column) -> Column:
     return F.when(x > 0, F.log(x))
 
@@ -55,9 +85,10 @@ def rate_of_change(df: DataFrame, n: int = 10) -> DataFrame:
 
 def proximity(df: DataFrame, n: int = 252, least: int = 50) -> DataFrame:
     """Place of the close between the lowest and highest close of n rows; 0.5 where they are equal."""
-    low, high = F.min("close").over(rows(n)), F.max("close").over(rows(n))
-    span = high - low
-    return df.withColumn("proximity", full(F.when(span == 0, 0.5).otherwise((F.col("close") - low) / F.nullif(span, F.lit(0.0))), F.col("close"), n, least))
+    out = sliding(df.withColumn("_held", held_in("close", n)), n, {"_low": ("min", F.col("close")), "_high": ("max", F.col("close"))})
+    span = F.col("_high") - F.col("_low")
+    place = F.when(span == 0, 0.5).otherwise((F.col("close") - F.col("_low")) / F.nullif(span, F.lit(0.0)))
+    return out.withColumn("proximity", F.when(F.col("_held") >= least, place)).drop("_held", "_low", "_high")
 
 
 def lag_returns(df: DataFrame, lags: tuple[int, ...] = (1, 5)) -> DataFrame:
