@@ -99,3 +99,27 @@ def test_rows_with_null_and_repeated_ids_go_only_as_copies(spark):
         out = simhash.drop_near_copies(docs_of(spark, rows).repartition(parts))
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=str) == want
+
+
+def test_candidates_come_from_the_index_of_fingerprint_bytes(spark, monkeypatch):
+    """Pairs within 3 of 64 bits are found by the byte index alone: they stay links where no shingle list yields any."""
+    r = random.Random(5)
+    texts = []
+    for g in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(1500)]
+        texts += [base, edited(r, base, 1), edited(r, base, 1)]
+    texts = dict(enumerate(" ".join(t) for t in texts))
+    prints = {i: simhash.set_print(simhash.shingle_set(t))[:8] for i, t in texts.items()}
+    apart = lambda a, b: (int.from_bytes(prints[a]) ^ int.from_bytes(prints[b])).bit_count()
+    near = [(a, b) for a, b in combinations(sorted(texts), 2) if apart(a, b) <= 3]
+    assert len(near) >= 12
+    root = {i: i for i in texts}
+    for _ in texts:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    reps = spark.createDataFrame([(i, b"size" + p + b"rest" * 14) for i, p in prints.items()], "node long, fp binary")
+    got = {i: i for i in texts} | {x["node"]: x["component"] for x in simhash.connected_components(simhash.byte_links(reps)).collect()}
+    assert got == root
+    monkeypatch.setattr(simhash, "prefix_length", lambda n, similarity: 0)  # no set posts a shingle
+    kept = {x["doc_id"] for x in simhash.drop_near_copies(docs_of(spark, texts.items())).collect()}
+    assert kept == set(root.values())

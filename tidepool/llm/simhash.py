@@ -446,23 +446,36 @@ def _sets(need: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, ids binary").dropDuplicates(["node"])
 
 
+def byte_links(reps: DataFrame, max_diff: int = 3) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of nodes that differ in ``max_diff`` or fewer of the first 64 bits
+    of their SimHash: by the index of fingerprint bytes, tally and verification of :func:`near_links`; equal ones are one class.
+
+    reps: node, fp (size, then SimHash).
+    """
+    own = F.substring("fp", 5, 8)  # after the four bytes of the size
+    classes = stage_table(reps.groupBy(own.alias("fp")).agg(F.min("node").alias("doc")))
+    same = reps.select("node", own.alias("fp")).join(classes, "fp").filter("node <> doc").select(F.col("doc").alias("a"), F.col("node").alias("b"))
+    return near_links(classes.select("doc", "fp"), max_diff).union(same)
+
+
 def set_links(reps: DataFrame, rows: DataFrame, shingle: int, similarity: float, words64: int = 8, longest: int = 2048, few: int = 512) -> DataFrame:
     """Links (a, b) between nodes whose components are those of all pairs with this Jaccard similarity at least.
 
-    reps: node, first (h1 and h2 of a row with its text), fp, keys. Two passes over groups (:func:`links_in_groups`). First
-    the lists of posted shingles, whose members are screened by size and SimHash: their components hold every pair that
-    may be a link, and each node is in one. Then these components, whose members' sets of shingles are compared.
+    reps: node, first (h1 and h2 of a row with its text), fp, keys. Candidates come from the index of fingerprint bytes
+    (:func:`byte_links`), which finds the pairs within its radius, and, for the pairs beyond it, from the lists of posted
+    shingles (:func:`links_in_groups`), whose members are screened by size and SimHash: the components of both hold every pair
+    that may be a link, and each node is in one. In these components the members' sets of shingles are compared.
     """
     index = reps.select("node", F.explode("keys").alias("key"))
     lists = stage_table(index.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
     posts = stage_table(index.join(lists, "key"))
     x = lambda payload, doc: F.struct(F.col(payload).alias("fp"), F.col(doc).alias("doc"))
     screened = posts.join(reps.select("node", "fp"), "node").select("key", x("fp", "node").alias("x"), F.col("node").alias("rank"))
-    parts = connected_components(links_in_groups(screened, Screen(similarity, 64 * words64), longest))
+    parts = connected_components(byte_links(reps).union(links_in_groups(screened, Screen(similarity, 64 * words64), longest)))
     joined = stage_table(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()))
     # the member that shares most leads its group: most others are near it
     shares = posts.groupBy("node").agg((-F.sum("c")).alias("rank"))
-    need = reps.join(joined, "node").join(shares, "node").select("node", "component", "rank", "first.h1", "first.h2")
+    need = reps.join(joined, "node").join(shares, "node", "left").select("node", "component", F.coalesce("rank", F.lit(0)).alias("rank"), "first.h1", "first.h2")
     sets = stage_table(_sets(need, rows, shingle).join(need.select("node", "component", "rank"), "node").select(F.col("component").alias("key"), x("ids", "node").alias("x"), "rank"))
     return stage_table(links_in_groups(sets, Exact(similarity), few))
 
@@ -472,10 +485,10 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     """``docs`` with one row of each group of near copies; columns stay.
 
     A link is a Jaccard similarity of the sets of five-word shingles of 0.8 or more, verified on the whole texts (shingles
-    stand as XXH64 values). At this similarity 15 % of SimHash bits differ, so no number of equal bytes is guaranteed and the
-    byte index of :func:`near_links` cannot find all pairs; instead each set posts its rarest shingles, as many as make every
-    such pair share one. Members of a list are screened by size and by 512-bit SimHash (:class:`Screen`), then the sets are
-    compared. Groups are the components of the links.
+    stand as XXH64 values). The index of fingerprint bytes (:func:`byte_links`) finds the pairs within 3 of 64 SimHash bits. At
+    this similarity 15 % of the bits may differ, so no number of equal bytes is guaranteed for the others; an exact way finds
+    them: each set posts its rarest shingles too, as many as make every such pair share one, and members of a list are screened
+    by size and by 512-bit SimHash (:class:`Screen`). Then the sets are compared. Groups are the components of the links.
     Of a group the row with the smallest id stays, null ids last, then by a hash of the row; rows are told apart by their
     values, not by id, so rows without an id or with a repeated one go only as copies. Null and blank texts are copies of
     each other. An empty table stays empty.
