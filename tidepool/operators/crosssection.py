@@ -38,8 +38,8 @@ def causal_moments(per: DataFrame, h: int = 30, look: int = 252, least: int = 20
 def average_rank(value: Column, *keys: str) -> Column:
     """Ranks from 1 with ties at their average, within keys; null values have none."""
     w = Window.partitionBy(*keys).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*keys, value))
-    return F.when(value.isNotNull(), F.rank().over(w) + (ties - 1) / 2)
+    upto = F.count("*").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))  # the last rank of a tie, in the same window
+    return F.when(value.isNotNull(), (F.rank().over(w) + upto) / 2)
 
 
 def unit_rank(df: DataFrame, c: str, into: str) -> DataFrame:

@@ -250,7 +250,8 @@ DEMEANED = f"""dem AS (SELECT fold, date, ticker, 2 * (a - 1) / (n - 1) - 1 AS t
 
 @query(sql_of(f"SELECT CAST(fold AS INT) AS fold, ticker, {DAY}, round(t, 5) AS t, round(p, 5) AS p, round(p * t / nullif(sqrt(avg(p ** 2) OVER w * avg(t ** 2) OVER w), 0), 5) AS product FROM dem WINDOW w AS (PARTITION BY date)", *PREDS, DEMEANED))
 def rank_product_panel(spark, d):
-    thick = tested(spark, d).filter("roc is not null").withColumn("n", F.count("*").over(Window.partitionBy("date"))).filter("n >= 20")
+    dealt = tables.deal(tested(spark, d).filter("roc is not null"), tables.tasks(spark, d), "date")
+    thick = dealt.withColumn("n", F.count("*").over(Window.partitionBy("date"))).filter("n >= 20")
     ranked = xs.unit_rank(xs.unit_rank(thick, "y_true", "t"), "roc", "p")
     return shown(statistics.rank_product(ranked, "t", "p"), "fold ticker date", "t p product", 5)
 
