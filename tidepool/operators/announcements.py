@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators.joins import asof_backward, next_session
 from tidepool.operators.windows import by_ticker, latest
+from tidepool.sources.tables import deal
 
 
 def usable_sessions(events: DataFrame, calendar: DataFrame, ts: str = "ts", close_hour: int = 15) -> DataFrame:
@@ -34,11 +35,11 @@ def event_window(sessions: DataFrame, announcements: DataFrame, value: str, live
                         F.least(F.coalesce(age, F.lit(cap)), F.lit(cap)).cast("int").alias("age"), F.col("_pos").isNull().cast("int").alias("missing"))
 
 
-def share_factors(rows: DataFrame, actions: DataFrame, on: str) -> DataFrame:
+def share_factors(rows: DataFrame, actions: DataFrame, on: str, tasks: int | None = None) -> DataFrame:
     """Product of the ticker's action factors with ex_date at or before each row's date; 1 without any. One shuffle on the ticker."""
     per_day = actions.filter("factor > 0").groupBy("ticker", "ex_date").agg(F.product("factor").alias("_l"))
     w = by_ticker_on("ex_date").rowsBetween(Window.unboundedPreceding, 0)
-    found = asof_backward(rows, per_day.withColumn("_all", F.product("_l").over(w)), by=["ticker"], left_on=on, right_on="ex_date", values=["_all"])
+    found = asof_backward(rows, per_day.withColumn("_all", F.product("_l").over(w)), by=["ticker"], left_on=on, right_on="ex_date", values=["_all"], tasks=tasks)
     return found.withColumn("factor", F.coalesce("_all", F.lit(1.0))).drop("_all", "ex_date")
 
 
@@ -48,16 +49,22 @@ def by_ticker_on(c: str):
 
 def resolution_dates(bars: DataFrame, h: int = 30) -> DataFrame:
     """ticker, date and the date h own rows later; rows not yet that old go."""
-    return bars.select("ticker", "date", F.lead("date", h).over(by_ticker()).alias("resolved_on")).filter("resolved_on is not null")
+    return with_resolution(bars.select("ticker", "date"), h)
 
 
-def resolve_forecasts(forecasts: DataFrame, done: DataFrame, labels: DataFrame, q: Column, order: list[Column]) -> DataFrame:
+def with_resolution(bars: DataFrame, h: int = 30) -> DataFrame:
+    """``bars`` with resolved_on, the date h own rows later; rows not yet that old go."""
+    return bars.withColumn("resolved_on", F.lead("date", h).over(by_ticker())).filter("resolved_on is not null")
+
+
+def resolve_forecasts(forecasts: DataFrame, done: DataFrame, labels: DataFrame, q: Column, order: list[Column], tasks: int | None = None) -> DataFrame:
     """Outcomes of due forecasts: newest of each (ticker, date), without those done, with a label.
 
-    direction_ok is null where the forecast is 0; inside is judged on prices (close times exp of the return).
+    direction_ok is null where the forecast is 0; inside is judged on prices (close times exp of the return). ``tasks``:
+    to how many tasks forecasts and labels are dealt (the session's number by default).
     """
-    newest = latest(forecasts, ["ticker", "date"], order).join(done.select("ticker", "date").distinct(), ["ticker", "date"], "left_anti")
-    due = newest.join(labels.filter("target is not null").select("ticker", "date", "close", "target", "resolved_on"), ["ticker", "date"])
+    newest = latest(deal(forecasts, tasks, "ticker", "date"), ["ticker", "date"], order).join(done.select("ticker", "date").distinct(), ["ticker", "date"], "left_anti")
+    due = newest.join(deal(labels.filter("target is not null").select("ticker", "date", "close", "target", "resolved_on"), tasks, "ticker", "date"), ["ticker", "date"])
     price = lambda x: F.col("close") * F.exp(x)
     right = F.when(F.col("pred") != 0, (F.col("pred") > 0) == (F.col("target") > 0))
     inside = (price(F.col("target")) >= price(F.col("pred") - q)) & (price(F.col("target")) <= price(F.col("pred") + q))

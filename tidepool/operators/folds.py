@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.sources.tables import deal
+
 
 def date_grid(df: DataFrame) -> DataFrame:
     """date, pos: the distinct dates numbered from 0 (one row a date)."""
@@ -24,12 +26,12 @@ def fold_table(grid: DataFrame, n_folds: int = 5, min_train: int = 500, horizon:
 
 
 def train_rows(df: DataFrame, grid: DataFrame, folds: DataFrame) -> DataFrame:
-    """Rows once for each fold that trains on them. folds has a handful of rows by its parameter, so it is broadcast."""
-    return df.join(grid, "date").join(F.broadcast(folds), F.col("pos") < F.col("train_end"))
+    """Rows once for each fold that trains on them. folds has a handful of rows by its parameter and grid one a date, so they are broadcast."""
+    return df.join(F.broadcast(grid), "date").join(F.broadcast(folds), F.col("pos") < F.col("train_end"))
 
 
 def test_rows(df: DataFrame, grid: DataFrame, folds: DataFrame) -> DataFrame:
-    return df.join(grid, "date").join(F.broadcast(folds), (F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end")))
+    return df.join(F.broadcast(grid), "date").join(F.broadcast(folds), (F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end")))
 
 
 def market_mean(train: DataFrame, y: str = "target") -> DataFrame:
@@ -54,16 +56,18 @@ def training_sums(rows: DataFrame, folds: DataFrame, keys: list[str], sums: dict
     return parts.join(F.broadcast(numbered), F.col("_s") <= F.col("_k")).groupBy("fold", *keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def floor_predictions(labelled: DataFrame, n_folds: int = 5, min_train: int = 500, horizon: int = 30, embargo: int = 30, least: int = 20) -> DataFrame:
+def floor_predictions(labelled: DataFrame, n_folds: int = 5, min_train: int = 500, horizon: int = 30, embargo: int = 30, least: int = 20, tasks: int | None = None) -> DataFrame:
     """Test rows of each fold with the predictions of the floors: market (mu) and beta_market (beta times mu).
 
     mu is the mean over training dates of their means, beta a ticker's population covariance with the dates' means over their
-    variance, 1 with few rows or no spread; both come from sums that every row enters once.
+    variance, 1 with few rows or no spread; both come from sums that every row enters once. ``tasks``: to how
+    many tasks the rows are dealt (the session's number by default).
     """
     grid = date_grid(labelled)
     folds = fold_table(grid, n_folds, min_train, horizon, embargo)
     y = F.col("target")
-    placed = labelled.filter(y.isNotNull()).select("date", "ticker", "target").join(grid, "date").withColumn("_m", F.avg(y).over(Window.partitionBy("date")))
+    own = deal(labelled.filter(y.isNotNull()).select("date", "ticker", "target"), tasks, "date")
+    placed = own.join(F.broadcast(grid), "date").withColumn("_m", F.avg(y).over(Window.partitionBy("date")))
     dates = placed.groupBy("date", "pos").agg(F.first("_m").alias("_m"))
     mu = training_sums(dates, folds, [], {"_n": F.count("*"), "_x": F.sum("_m")}).select("fold", (F.col("_x") / F.col("_n")).alias("mu"))
     m = F.col("_m")
@@ -72,7 +76,7 @@ def floor_predictions(labelled: DataFrame, n_folds: int = 5, min_train: int = 50
     beta = (F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_n")) / F.when(spread > 1e-12 * F.col("_xx"), spread)
     beta = s.select("fold", "ticker", F.coalesce(F.when(F.col("_n") >= least, beta), F.lit(1.0)).alias("beta"))
     test = placed.join(F.broadcast(folds), (F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end"))).select("fold", "date", "pos", "ticker", y.alias("y_true"))
-    out = test.join(F.broadcast(mu), "fold").join(beta, ["fold", "ticker"], "left")  # mu has one row a fold
+    out = deal(test, tasks, "fold", "ticker").join(F.broadcast(mu), "fold").join(beta, ["fold", "ticker"], "left")  # mu has one row a fold
     return out.withColumns({"market": F.col("mu"), "beta_market": F.coalesce("beta", F.lit(1.0)) * F.col("mu")}).drop("mu", "beta")
 
 

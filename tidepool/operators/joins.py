@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.sources.tables import deal
 
-def asof_backward(left: DataFrame, right: DataFrame, *, by: list[str], left_on: str, right_on: str, values: list[str], strict: bool = False) -> DataFrame:
+
+def asof_backward(left: DataFrame, right: DataFrame, *, by: list[str], left_on: str, right_on: str, values: list[str], strict: bool = False, tasks: int | None = None) -> DataFrame:
     """For each left row the right row of its key with the greatest time at or before (strict: before) the left one's.
 
     Union and fill: both sides are shuffled once on the key and read in time order, so no pairs are made. Of several right
-    rows at one time the greatest values count.
+    rows at one time the greatest values count. ``tasks``: to how many tasks the rows are dealt (the session's number by default).
     """
     rank = 0 if not strict else 2
     payload = F.struct(F.col(right_on).alias(right_on), *[F.col(v) for v in values])
     a = left.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col(left_on).alias("_t"), F.lit(1).alias("_o"), F.struct(*left.columns).alias("_l"))
     b = right.filter(F.col(right_on).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)], F.col(right_on).alias("_t"), F.lit(rank).alias("_o"), payload.alias("_r"))
-    both = a.unionByName(b, allowMissingColumns=True)
+    both = deal(a.unionByName(b, allowMissingColumns=True), tasks, *[f"_k{i}" for i in range(len(by))])
     w = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy("_t", "_o", "_r").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_f", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
     return found.select("_l.*", *[F.col(f"_f.{c}").alias(c) for c in (right_on, *values)])

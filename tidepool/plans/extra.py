@@ -79,9 +79,9 @@ def resolved(spark, d):
     b = labelled(spark, d)
     p = floors(spark, d).select("ticker", "date", F.col("beta_market").alias("pred"))
     issued = p.withColumn("issued", F.lit(2)).union(p.withColumn("pred", F.lit(9.0)).withColumn("issued", F.lit(1)))  # an older forecast of the same day loses
-    labels = b.join(announcements.resolution_dates(b, HORIZON), ["ticker", "date"])
+    labels = announcements.with_resolution(b, HORIZON)
     done = b.filter("ticker % 7 = 0 and year(date) < 1996")
-    return announcements.resolve_forecasts(issued, done, labels, F.lit(HALF_WIDTH), [F.col("issued").desc()])
+    return announcements.resolve_forecasts(issued, done, labels, F.lit(HALF_WIDTH), [F.col("issued").desc()], tables.tasks(spark, d))
 
 
 @query(sql_of(f"SELECT ticker, {DAY}, CAST(resolved_on AS VARCHAR) AS resolved_on, direction_ok, inside, round(target, 6) AS target FROM res", *PREDS, RESOLVED))
