@@ -20,29 +20,38 @@ def own_folds(rows: DataFrame, key: str, n_folds: int = 3, horizon: int = 30) ->
 
     The first test begins at max(120, rows div 3); a fold that trains on less than half of that goes.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("first", F.greatest(F.lit(120), F.floor(F.col("n") / 3)))
-    cut = sizes.filter("n > first").withColumn("step", F.greatest(F.lit(1), F.floor((F.col("n") - F.col("first")) / n_folds))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
-    start = F.col("first") + F.col("fold") * F.col("step")
-    cut = cut.select(key, "fold", (start - 2 * horizon).alias("train_end"), start.alias("test_start"), F.least(start + F.col("step"), F.col("n")).alias("test_end"), "first")
-    return cut.filter((F.col("train_end") >= F.floor(F.col("first") / 2)) & (F.col("test_end") > F.col("test_start"))).drop("first")
+    return _cut(rows.groupBy(key).agg(F.count("*").alias("n")), n_folds, horizon).select(key, "fold", "train_end", "test_start", "test_end")
+
+
+def _cut(sized: DataFrame, n_folds: int, horizon: int) -> DataFrame:
+    """``sized`` (n, the number of the key's rows) once for each fold of :func:`own_folds`, with its bounds."""
+    cut = sized.withColumn("_first", F.greatest(F.lit(120), F.floor(F.col("n") / 3))).filter("n > _first")
+    cut = cut.withColumn("_step", F.greatest(F.lit(1), F.floor((F.col("n") - F.col("_first")) / n_folds))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    start = F.col("_first") + F.col("fold") * F.col("_step")
+    cut = cut.withColumns({"train_end": start - 2 * horizon, "test_start": start, "test_end": F.least(start + F.col("_step"), F.col("n"))})
+    return cut.filter((F.col("train_end") >= F.floor(F.col("_first") / 2)) & (F.col("test_end") > F.col("test_start"))).drop("_first", "_step")
 
 
 def purged_cv(rows: DataFrame, key: str, x: str, y: str, alphas: list[float], n_folds: int = 3, horizon: int = 30, least_train: int = 50, least_test: int = 10) -> DataFrame:
     """key, alpha, mae, rank_ic (its negative mean, so smaller is better for both) of a ridge on one column by purged inner folds.
 
     rows: key, date, x, y. Sums of products of a fold's training rows serve all candidates; test rows meet every candidate as
-    rows. A fold without an ordering costs NO_ORDERING; folds with too few rows are left out; rank correlations are taken within folds.
+    rows. All of it are windows within a key, so the rows are read once and not shuffled again. A fold without an ordering costs NO_ORDERING; folds with too few rows are left out; rank correlations are taken within folds.
     """
-    placed = rows.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy("date")) - 1).withColumn("_x", F.coalesce(F.col(x), F.lit(0.0)))
-    folds = own_folds(placed, key, n_folds, horizon)
-    some = placed.filter(F.col(y).isNotNull()).join(folds, key)
-    train = some.filter(F.col("pos") < F.col("train_end")).groupBy(key, "fold").agg(F.count("*").alias("_n"), F.avg("_x").alias("_mx"), F.avg(y).alias("_my"), (F.var_pop("_x") * F.count("*")).alias("_xx"), (F.covar_pop("_x", y) * F.count("*")).alias("_xy")).filter(F.col("_n") >= least_train)
-    test = some.filter((F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end"))).withColumn("_m", F.count("*").over(Window.partitionBy(key, "fold"))).filter(F.col("_m") >= least_test)
-    both = test.join(train, [key, "fold"]).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
+    own = Window.partitionBy(key)
+    placed = rows.withColumns({"pos": F.row_number().over(own.orderBy("date")) - 1, "n": F.count("*").over(own)}).withColumn("_x", F.coalesce(F.col(x), F.lit(0.0)))
+    some = _cut(placed.filter(F.col(y).isNotNull()).select(key, "pos", "n", "_x", y), n_folds, horizon)
+    train, test = F.col("pos") < F.col("train_end"), (F.col("pos") >= F.col("test_start")) & (F.col("pos") < F.col("test_end"))
+    tx, ty, w = F.when(train, F.col("_x")), F.when(train, F.col(y)), Window.partitionBy(key, "fold")
+    sums = {"_n": F.count(tx), "_mx": F.avg(tx), "_my": F.avg(ty), "_vx": F.var_pop(tx), "_cxy": F.covar_pop(tx, ty), "_m": F.sum(test.cast("int"))}
+    both = some.filter(train | test).withColumns({c: v.over(w) for c, v in sums.items()}).withColumns({"_xx": F.col("_vx") * F.col("_n"), "_xy": F.col("_cxy") * F.col("_n")})
+    both = both.filter(test & (F.col("_n") >= least_train) & (F.col("_m") >= least_test)).withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas])))
     pred = both.withColumn("_p", F.col("_my") + F.col("_xy") / (F.col("_xx") + F.col("alpha")) * (F.col("_x") - F.col("_mx")))
-    mae = pred.groupBy(key, "alpha", "fold").agg(F.avg(F.abs(F.col("_p") - F.col(y))).alias("_e"))
-    ic = xs.rank_ic(pred, y, "_p", [key, "alpha", "fold"]).select(key, "alpha", "fold", F.coalesce(-F.col("ic"), F.lit(NO_ORDERING)).alias("_i"))
-    return mae.join(ic, [key, "alpha", "fold"]).groupBy(key, "alpha").agg(F.avg("_e").alias("mae"), F.avg("_i").alias("rank_ic"))
+    cell = [key, "alpha", "fold"]
+    ranked = pred.select(*cell, F.abs(F.col("_p") - F.col(y)).alias("_err"), xs.average_rank(F.col(y), *cell).alias("a"), xs.average_rank(F.col("_p"), *cell).alias("b"))
+    ic = F.covar_pop("a", "b") / F.nullif(F.stddev_pop("a") * F.stddev_pop("b"), F.lit(0.0))
+    scored = ranked.groupBy(*cell).agg(F.avg("_err").alias("_e"), F.coalesce(-F.when(F.count("*") >= 3, ic), F.lit(NO_ORDERING)).alias("_i"))
+    return scored.groupBy(key, "alpha").agg(F.avg("_e").alias("mae"), F.avg("_i").alias("rank_ic"))
 
 
 def best(scores: DataFrame, key: str, by: str) -> DataFrame:
