@@ -10,6 +10,7 @@ from tidepool.operators.announcements import share_factors, usable_sessions
 from tidepool.operators.joins import asof_backward
 from tidepool.operators.pooling import written
 from tidepool.operators.records import pick_announcements
+from tidepool.sources.tables import deal
 
 _KEYS = ["ticker", "basis", "period_end"]
 
@@ -21,33 +22,35 @@ def straddled(breaks: DataFrame) -> DataFrame:
     return breaks.select("ticker", F.explode(ends).alias("period_end")).distinct()
 
 
-def point_in_time_surprises(quarters: DataFrame, actions: DataFrame, breaks: DataFrame, most: int = 8, least: int = 4) -> DataFrame:
+def point_in_time_surprises(quarters: DataFrame, actions: DataFrame, breaks: DataFrame, most: int = 8, least: int = 4, tasks: int | None = None) -> DataFrame:
     """Every quarter (ticker, basis, period_end, eps, disclosed) with diff, sigma, n_sigma and sue, as of its own disclosure.
 
     Earnings of other quarters count only if they were disclosed strictly before, and all are restated to the shares of the
     quarter's disclosure by actions (ticker, ex_date, kind, factor) that were ex by then. A difference is on the quarter a year
     before and void where a break (ticker, day) lies between. sue is the quarter's difference over the sample deviation of the
     ``most`` before it, of which ``least`` must exist. Of several rows for one quarter the first disclosed counts; rows without
-    earnings or disclosure go. One equi-join: a quarter meets the thirteen that its own figures can need, never all.
+    earnings or disclosure go. The twelve quarters that a quarter's figures can need come by windows of months over its own series,
+    so no rows are made for them. ``tasks``: to how many tasks the rows are dealt (the session's number by default).
     """
     one = F.row_number().over(Window.partitionBy(*_KEYS).orderBy("disclosed", "eps"))
     known = quarters.filter(F.col("eps").isNotNull() & ~F.isnan("eps") & F.col("disclosed").isNotNull()).select(*_KEYS, "eps", "disclosed").withColumn("_n", one).filter("_n = 1").drop("_n")
     splits = actions.filter(F.col("kind").isin("bonus", "split", "split_yf")).select("ticker", "ex_date", "factor")
-    known = share_factors(known.withColumn("_day", F.to_date("disclosed")), splits, "_day").drop("_day")
-    known = written(known.join(straddled(breaks).withColumn("_void", F.lit(True)), ["ticker", "period_end"], "left"))  # read three times
-    back = F.explode(F.sequence(F.lit(0), F.lit(most + 4))).alias("_k")
-    asks = known.select("ticker", "basis", "period_end", F.col("disclosed").alias("_at"), F.col("factor").alias("_f"), back).withColumn("_end", F.last_day(F.add_months("period_end", -3 * F.col("_k"))))
-    there = known.select("ticker", "basis", F.col("period_end").alias("_end"), F.col("eps").alias("_e"), F.col("disclosed").alias("_d"), F.col("factor").alias("_g"), "_void")
-    met = asks.join(there, ["ticker", "basis", "_end"]).filter((F.col("_k") == 0) | (F.col("_d") < F.col("_at")))
-    own = lambda k, c: F.max(F.when(F.col("_k") == k, c))
-    wide = met.groupBy(*_KEYS).agg(*[own(k, F.col("_e") * F.col("_g") / F.col("_f")).alias(f"_a{k}") for k in range(most + 5)], *[own(k, F.col("_void")).alias(f"_v{k}") for k in range(most + 1)])
+    known = share_factors(known.withColumn("_day", F.to_date("disclosed")), splits, "_day", tasks).drop("_day")
+    known = deal(known, tasks, "ticker", "period_end").join(straddled(breaks).withColumn("_void", F.lit(True)), ["ticker", "period_end"], "left")
+    month = F.year("period_end") * 12 + F.month("period_end")
+    there = F.when(F.col("period_end") == F.last_day("period_end"), F.struct("eps", "factor", F.col("disclosed").alias("d"), "_void"))  # one a month
+    before = Window.partitionBy("ticker", "basis").orderBy("_month")
+    met = deal(known, tasks, "ticker", "basis").withColumns({"_month": month, "_there": there})
+    met = met.withColumns({f"_q{k}": F.max("_there").over(before.rangeBetween(-3 * k, -3 * k)) for k in range(most + 5)})
+    seen = lambda k, x: x if k == 0 else F.when(F.col(f"_q{k}.d") < F.col("disclosed"), x)
+    wide = met.withColumns({f"_a{k}": seen(k, F.col(f"_q{k}.eps") * F.col(f"_q{k}.factor") / F.col("factor")) for k in range(most + 5)} | {f"_v{k}": seen(k, F.col(f"_q{k}._void")) for k in range(most + 1)})
     diff = [F.when(F.col(f"_v{k}").isNull(), F.col(f"_a{k}") - F.col(f"_a{k + 4}")) for k in range(most + 1)]
-    wide = wide.select(*_KEYS, diff[0].alias("diff"), F.filter(F.array(*diff[1:]), lambda x: x.isNotNull()).alias("_p")).withColumn("n_sigma", F.size("_p"))
+    wide = wide.select(*_KEYS, "eps", "disclosed", diff[0].alias("diff"), F.filter(F.array(*diff[1:]), lambda x: x.isNotNull()).alias("_p")).withColumn("n_sigma", F.size("_p"))
     mean = F.aggregate("_p", F.lit(0.0), lambda s, x: s + x) / F.nullif(F.col("n_sigma"), F.lit(0))
     wide = wide.withColumn("_m", mean)
     square = F.aggregate("_p", F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m")))
     wide = wide.withColumn("sigma", F.when(F.col("n_sigma") >= least, F.sqrt(square / (F.col("n_sigma") - 1))))
-    return known.select(*_KEYS, "eps", "disclosed").join(wide, _KEYS).select(*_KEYS, "eps", "disclosed", "diff", "sigma", "n_sigma", (F.col("diff") / F.when(F.col("sigma") > 0, F.col("sigma"))).alias("sue"))
+    return wide.select(*_KEYS, "eps", "disclosed", "diff", "sigma", "n_sigma", (F.col("diff") / F.when(F.col("sigma") > 0, F.col("sigma"))).alias("sue"))
 
 
 def announced(surprises: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def surprise_table(spark, d) -> DataFrame:
     both = q.select("ticker", F.lit("standalone").alias("basis"), "period_end", F.col("own").alias("eps")).union(q.filter("ticker % 3 <> 1").select("ticker", F.lit("consolidated"), "period_end", "adj"))
     rows = both.withColumn("disclosed", F.when(~((t % 10 == 9) & (m == 6)), at))
     actions = _actions(spark, d)
-    return surprises.point_in_time_surprises(rows, actions, actions.filter("kind = 'demerger'").select("ticker", F.col("ex_date").alias("day")))
+    return surprises.point_in_time_surprises(rows, actions, actions.filter("kind = 'demerger'").select("ticker", F.col("ex_date").alias("day")), tasks=tables.tasks(spark, d))
 
 
 @query(sql_of("SELECT ticker, basis, CAST(period_end AS VARCHAR) AS period_end, n_sigma, round(diff, 8) AS diff, round(sigma, 6) AS sigma, round(sue, 4) AS sue FROM su", *_SUE))
