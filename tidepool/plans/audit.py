@@ -77,7 +77,7 @@ def cell_metrics(spark, d):
               "ns AS MATERIALIZED (SELECT k, j, CAST(('0x' || substr(md5('19|' || k || '|' || j), 1, 12))::BIGINT % greatest(n - 30, 1) AS BIGINT) AS start FROM (SELECT DISTINCT k, j, n FROM nz))"))
 def objective_null_se(spark, d):
     """How far the mean rank correlation moves under predictions that know nothing."""
-    out = cells.null_spread(tested(spark, d), 8, 30, 19)
+    out = cells.null_spread(tested(spark, d), 8, 30, 19, tasks=tables.tasks(spark, d))
     return out.select("dates", "rows", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"))
 
 
