@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import statistics
 from tidepool.operators.windows import by_ticker
+from tidepool.sources.tables import deal
 
 
 def _verdict(name: str, bad: DataFrame, worst: str = "FAIL") -> DataFrame:
@@ -52,7 +53,7 @@ def label_coverage(df: DataFrame, universe: DataFrame, label: str, least: int) -
 def contiguous(df: DataFrame, calendar: DataFrame) -> DataFrame:
     """Per ticker the sessions of the calendar inside its span that it lacks: ticker, expected, stored, gap."""
     pos = calendar.withColumn("pos", F.row_number().over(Window.orderBy("date")))
-    own = df.select("ticker", "date").distinct().join(pos, "date")
+    own = df.select("ticker", "date").distinct().join(F.broadcast(pos), "date")  # pos has one row a session
     return own.groupBy("ticker").agg((F.max("pos") - F.min("pos") + 1).cast("long").alias("expected"), F.count("*").alias("stored")).withColumn("gap", F.col("expected") - F.col("stored"))
 
 
@@ -83,16 +84,16 @@ def distribution(df: DataFrame, c: str, limit: float) -> DataFrame:
     return out.select("n", F.round("sd", 6).alias("sd"), F.round(F.col("q")[0], 6).alias("q01"), F.round(F.col("q")[1], 6).alias("q99"), "beyond")
 
 
-def panel_checks(bars: DataFrame, labelled: DataFrame, universe: DataFrame, actions: DataFrame, today: str, least_labels: int) -> dict[str, Callable[[], DataFrame]]:
-    """The gate's checks by name, each a function without arguments that gives one row."""
-    sessions = bars.select("date").distinct()
-    lone = labelled.filter("roc is not null").groupBy("ticker").agg(F.count_distinct("roc").alias("n")).filter("n = 1")
+def panel_checks(bars: DataFrame, labelled: DataFrame, universe: DataFrame, actions: DataFrame, today: str, least_labels: int, tasks: int | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """The gate's checks by name, each a function without arguments that gives one row. ``tasks``: to how many tasks rows are dealt by ticker."""
+    sessions, own = bars.select("date").distinct(), deal(bars, tasks, "ticker")
+    lone = deal(labelled.filter("roc is not null").select("ticker", "roc"), tasks, "ticker").groupBy("ticker").agg(F.count_distinct("roc").alias("n")).filter("n = 1")
     return {
-        "duplicate_keys": lambda: duplicate_keys(bars), "future_dates": lambda: future_dates(bars, today), "stale": lambda: stale(bars, today),
+        "duplicate_keys": lambda: duplicate_keys(own), "future_dates": lambda: future_dates(bars, today), "stale": lambda: stale(bars, today),
         "finite_features": lambda: not_finite(labelled, ["roc"]), "label_coverage": lambda: label_coverage(labelled, universe, "target", least_labels),
-        "benchmark_coverage": lambda: benchmark_coverage(labelled, universe, "roc"), "price_breaks": lambda: price_breaks(bars, actions),
+        "benchmark_coverage": lambda: benchmark_coverage(labelled, universe, "roc"), "price_breaks": lambda: price_breaks(own, actions),
         "target_distribution": lambda: _verdict("target_distribution", labelled.filter(F.abs("target") > 1.5), "WARN"),
-        "sessions_contiguous": lambda: _verdict("sessions_contiguous", contiguous(bars, sessions).filter("gap > 0")),
+        "sessions_contiguous": lambda: _verdict("sessions_contiguous", contiguous(own, sessions).filter("gap > 0")),
         "flat_days": lambda: _verdict("flat_days", flat_days(bars)), "silent_neutrals": lambda: _verdict("silent_neutrals", lone, "WARN"),
     }
 

@@ -9,6 +9,7 @@ from tidepool.operators import comparators, folds, joins, placebos, quality, ses
 from tidepool.operators import crosssection as xs
 from tidepool.plans.catalog import DAY, EMBARGO, FOLDS, GRID, HORIZON, LAB, MIN_TRAIN, PREDS, RET, W, labelled, query, ridge_sql, rows, shown, sql_of, training
 from tidepool.plans.extra import IC, average_ranks, tested
+from tidepool.operators.pooling import written
 from tidepool.sources import tables
 
 # calendars ---------------------------------------------------------------------------------------------------------
@@ -387,8 +388,9 @@ def target_distribution(spark, d):
  UNION ALL SELECT 'unreadable', 1, 'FAIL')""", RET, LAB))
 def gate_driver(spark, d):
     """All eleven checks and one that cannot run, which fails instead of ending the gate."""
-    b, lab, u = tables.bars(spark, d), labelled(spark, d), tables.sectors(spark, d)
-    return quality.drive(spark, quality.panel_checks(b, lab, u, b.filter("volume >= 60"), "1999-01-01", 500) | {"unreadable": lambda: b.select("no_such_column")})
+    lab, u = written(labelled(spark, d)), tables.sectors(spark, d)  # every check reads the same bars, with their labels
+    b = lab.drop("target", "roc", "volume_roc")
+    return quality.drive(spark, quality.panel_checks(b, lab, u, b.filter("volume >= 60"), "1999-01-01", 500, tables.tasks(spark, d)) | {"unreadable": lambda: b.select("no_such_column")})
 
 
 @query(sql_of(f"""SELECT 'failures' AS list, string_agg("check", ',' ORDER BY "check") AS checks FROM g WHERE status = 'FAIL' UNION ALL SELECT 'warnings', string_agg("check", ',' ORDER BY "check") FROM g WHERE status = 'WARN'""",
