@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import crosssection as xs
 from tidepool.operators import folds
+from tidepool.operators.pooling import written
 
 
 def prepare(panel: DataFrame, features: list[str], target: str = "target", least: int = 10) -> DataFrame:
@@ -20,7 +21,7 @@ def prepare(panel: DataFrame, features: list[str], target: str = "target", least
     All of it uses a date's own rows, so it may be done before any split. Labels of dates without spread are null.
     """
     out = reduce(lambda df, c: xs.zscore(df, c, c), features, panel)
-    out = out.join(xs.moments(panel, target, least).select("date", "mean", "sd"), "date", "left").withColumn("y_raw", F.col(target))
+    out = out.join(F.broadcast(xs.moments(panel, target, least).select("date", "mean", "sd")), "date", "left").withColumn("y_raw", F.col(target))  # moments: one row a date
     return out.withColumn(target, (F.col("y_raw") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")))
 
 
@@ -34,11 +35,13 @@ def walk_forward(prepared: DataFrame, features: list[str], target: str = "target
     """fold, date, ticker, y_true, y_raw, y_pred out of sample: trees fitted on each fold's training rows alone.
 
     Purge and embargo are both the horizon. Folds come from a table of a handful of rows; each fit is a Spark job over its
-    training rows, and only models reach the driver. A panel that yields no fold is an error.
+    training rows, and only models reach the driver. The panel is written once and read again by every fit, so a fit's tasks
+    are splits of files, whose size does not grow with the panel. A panel that yields no fold is an error.
     """
+    prepared = written(prepared.sortWithinPartitions("date", "ticker"))
     grid = folds.date_grid(prepared)
     table = folds.fold_table(grid, n_folds, min_train, horizon, horizon).collect()  # one row a fold
-    some = prepared.filter(F.col(target).isNotNull()).join(grid, "date")
+    some = prepared.filter(F.col(target).isNotNull()).join(F.broadcast(grid), "date")
     out = []
     for f in table:
         train = some.filter(F.col("pos") < f["train_end"])
