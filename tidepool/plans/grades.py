@@ -12,6 +12,7 @@ from tidepool.plans.extra import average_ranks, tested
 from tidepool.plans.ledger import _TAIL, _TICS
 from tidepool.plans.more import _BOOT
 from tidepool.plans.study import _N
+from tidepool.sources import tables
 
 REPLICATES = 40
 
@@ -42,6 +43,7 @@ def _effects_sql(name: str, src: str) -> str:
 def planted(spark, d, level) -> object:
     """Test rows with predictions whose correlation within a date follows ``level`` of the ticker."""
     te = tested(spark, d).select("fold", "date", "ticker", "y_true").filter((F.col("ticker") % 11 != 0) | (F.col("fold") < 2)).withColumn("ic", level)
+    te = tables.deal(te, tables.tasks(spark, d), "date")
     day = Window.partitionBy("date")
     z = (F.col("y_true") - F.avg("y_true").over(day)) / F.nullif(F.stddev_pop("y_true").over(day), F.lit(0.0))
     noise = placebos.normal(placebos.draw(F.lit(15), F.col("date"), F.col("ticker")))
@@ -108,6 +110,7 @@ def panel_headline(spark, d):
 def signed_grades(spark, d):
     """The older grading, which tells reliably backwards names from those without evidence."""
     products = grading.ranked_products(planted(spark, d, _level()), "y_true", "y_pred")
+    products = tables.deal(products.select("fold", "ticker", "product"), tables.tasks(spark, d), "ticker")
     e = grading.name_effects(products.groupBy("fold", "ticker").agg(F.avg("product").alias("mean")), ["ticker"])
     return grading.grade_by_pooling(e.select("ticker", "x", "v")).select("ticker", F.round("theta", 5).alias("theta"), F.round("p_positive", 4).alias("p_positive"), "significant", "grade")
 
