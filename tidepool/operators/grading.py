@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators import inference, statistics
 from tidepool.operators.comparators import positive_chance
+from tidepool.operators.pooling import written
 
 # fixed values of the grading -----------------------------------------------------------------------------------------
 
@@ -103,26 +104,28 @@ def grade_by_pooling(effects: DataFrame, break_even: float = BREAK_EVEN, q: floa
     return out.withColumns({"grade": F.coalesce("grade", F.lit("INSUFFICIENT")), "significant": F.coalesce("significant", F.lit(False))})
 
 
-def grade_panel(products: DataFrame, *, x: str = "product", replicates: int = 1000, block: int = 30, seed: int = 7, break_even: float = BREAK_EVEN, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
+def grade_panel(products: DataFrame, *, x: str = "product", replicates: int = 1000, block: int = 30, seed: int = 7, break_even: float = BREAK_EVEN, alpha: float = ALPHA, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(names, panel) of rank products (fold, ticker, date, x), whose mean over dates is a name's rank correlation in a fold.
 
     Whole date blocks are resampled jointly within folds, and every replicate runs the whole pooling, so the spread of its mean
     is that of the pipeline. A name's variance is that of its replicates; where they do not spread, that between its folds
-    (``source`` fold). Names need three folds. Family-wise control is Romano and Wolf's on studentised, centred replicates;
+    (``source`` fold). Products and effects of replicates are written once and read again. Names need three folds. Family-wise control is Romano and Wolf's on studentised, centred replicates;
     step-up masks by Benjamini-Hochberg and Benjamini-Yekutieli stand beside it.
 
     names: ticker, folds, x, v, source, theta, b, p_positive, boot_p, rw_p, bh, by, grade. panel: one row with names, usable,
     mu, se_boot, z, tau2, tau2_dl, q, degenerate, strong, weak, insufficient. Replicates are rows; nothing but single-row
     tables and one row a name meet in one task.
     """
+    products = written(products.select("fold", "ticker", "date", x))
     real = name_effects(products.groupBy("fold", "ticker").agg(F.avg(x).alias("mean")), ["ticker"])
-    boot = inference.block_bootstrap_means(products.select("fold", "ticker", "date", F.col(x).alias("_x")), "_x", replicates, block, seed)
-    again = name_effects(boot, ["replicate", "ticker"])
+    boot = inference.block_bootstrap_means(products.select("fold", "ticker", "date", F.col(x).alias("_x")), "_x", replicates, block, seed, tasks)
+    again = written(name_effects(boot, ["replicate", "ticker"]))
     mus = pool(again, ["replicate"])
     spread = again.groupBy("ticker").agg(F.var_samp("x").alias("_bv"))
     names = real.join(spread, "ticker", "left").withColumn("_ok", F.col("_bv") > 0)
     names = names.select("ticker", "folds", "x", F.when(F.col("_ok"), F.col("_bv")).otherwise(F.col("v")).alias("v"), F.when(F.col("_ok"), "bootstrap").otherwise("fold").alias("source"))
     names = names.withColumn("usable", F.coalesce((F.col("folds") >= LEAST_FOLDS) & F.col("x").isNotNull() & (F.col("v") > 0), F.lit(False)))
+    names = written(names)  # one row a name
     some = names.filter("usable")
     one = pool(some.withColumn("_all", F.lit(1)), ["_all"]).select("k", "tau2", "mu", "mu_var", "q")  # one row
     stats = some.select("ticker", (F.col("x") / F.sqrt("v")).alias("t"))

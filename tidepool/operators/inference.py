@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def block_bootstrap_means(df: DataFrame, x: str, replicates: int = 200, block: int = 30, seed: int = 7) -> DataFrame:
+def block_bootstrap_means(df: DataFrame, x: str, replicates: int = 200, block: int = 30, seed: int = 7, tasks: int | None = None) -> DataFrame:
     """fold, ticker, replicate, mean: circular moving-block resamples of the dates of each fold, the same for all tickers.
 
     df: fold, ticker, date and x. A replicate draws ceil(dates / block) starts (md5 of seed, fold, replicate and place, so every
-    rerun and engine draws alike); what all tickers share on a date stays together, as joint tests need. The sum of a block
-    at each possible start is taken once, so a replicate costs its blocks and not its dates. Dates that a ticker lacks
-    do not count.
+    rerun and engine draws alike); what all tickers share on a date stays together, as joint tests need. How often a date is
+    drawn is one small table, a row a date, which is broadcast; a row counts as often as its date. Dates that a ticker lacks
+    do not count and are not made up. ``tasks``: to how many tasks the rows are dealt (the session's number by default); a
+    ticker's replicates stay in its task.
     """
     by = Window.partitionBy("fold")
     grid = df.select("fold", "date").distinct().withColumns({"pos": F.row_number().over(by.orderBy("date")) - 1, "days": F.count("*").over(by)})  # one row a date
-    around = F.when(F.col("pos") < block, F.array(F.col("pos"), F.col("pos") + F.col("days"))).otherwise(F.array("pos"))
-    dense = df.select("fold", "ticker").distinct().join(grid, "fold").join(df.select("fold", "ticker", "date", x), ["fold", "ticker", "date"], "left")
-    laid = dense.select("fold", "ticker", "days", F.coalesce(F.col(x), F.lit(0.0)).alias("_x"), F.col(x).isNotNull().cast("int").alias("_c"), F.explode(around).alias("pos"))
-    ahead = Window.partitionBy("fold", "ticker").orderBy("pos").rowsBetween(0, block - 1)
-    sums = laid.select("fold", "ticker", "pos", F.sum("_x").over(ahead).alias("_s"), F.sum("_c").over(ahead).alias("_n"))
     size = grid.select("fold", "days").distinct()
     draws = size.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.ceil(F.col("days") / block).cast("int") - 1)))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("fold", "replicate", "_j")]))
-    starts = draws.select("fold", "replicate", F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("days")).cast("int").alias("pos"))
-    out = starts.join(sums, ["fold", "pos"]).groupBy("fold", "ticker", "replicate").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
-    return out.filter("_n > 0").select("fold", "ticker", "replicate", (F.col("_s") / F.col("_n")).alias("mean"))
+    start = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.col("days")).cast("int")
+    last = F.least(start + block, F.col("days") + F.least(F.col("days"), F.lit(block))) - 1
+    drawn = draws.select("fold", "replicate", "days", F.explode(F.sequence(start, last)).alias("_p")).groupBy("fold", F.pmod("_p", "days").cast("int").alias("pos"), "replicate").agg(F.count("*").alias("w"))
+    times = drawn.groupBy("fold", "pos").agg(F.collect_list(F.struct("replicate", "w")).alias("_w")).join(grid, ["fold", "pos"]).select("fold", "date", "_w")  # one row a date
+    rows = df.filter(F.col(x).isNotNull()).select("fold", "ticker", "date", F.col(x).alias("_x"))
+    rows = rows.repartition(tasks, "ticker") if tasks else rows.repartition("ticker")
+    many = rows.join(F.broadcast(times), ["fold", "date"]).select("fold", "ticker", "_x", F.explode("_w").alias("_d"))
+    out = many.groupBy("fold", "ticker", F.col("_d.replicate").alias("replicate")).agg(F.sum(F.col("_x") * F.col("_d.w")).alias("_s"), F.sum("_d.w").alias("_n"))
+    return out.select("fold", "ticker", "replicate", (F.col("_s") / F.col("_n")).alias("mean"))
 
 
 def romano_wolf(stats: DataFrame, boot: DataFrame, key: str, t: str = "t", bt: str = "bt") -> DataFrame:

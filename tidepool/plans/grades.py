@@ -76,7 +76,7 @@ FROM nm LEFT JOIN ps USING (ticker) LEFT JOIN rw USING (ticker) LEFT JOIN mk USI
     "mk AS (SELECT ticker, boot_p, r <= coalesce((SELECT max(r) FROM bp WHERE boot_p <= 0.1 * r / m), 0) AS bh, r <= coalesce((SELECT max(r) FROM bp WHERE boot_p <= 0.1 * r / m / (SELECT sum(1.0::DOUBLE / i) FROM range(1, CAST((SELECT max(m) FROM bp) AS INT) + 1) h(i))), 0) AS by_ FROM bp)")))
 def panel_grades(spark, d):
     """Every name's grade on planted predictions: strong, weak, none, backwards, and some with too few folds."""
-    names, _ = grading.grade_panel(grading.ranked_products(planted(spark, d, _level()), "y_true", "y_pred"), replicates=REPLICATES)
+    names, _ = grading.grade_panel(grading.ranked_products(planted(spark, d, _level()), "y_true", "y_pred"), replicates=REPLICATES, tasks=tables.tasks(spark, d))
     return names.select("ticker", "folds", F.round("x", 5).alias("x"), F.round("theta", 5).alias("theta"), F.round("b", 4).alias("b"), F.round("p_positive", 4).alias("p_positive"), F.round("boot_p", 4).alias("boot_p"), F.round("rw_p", 5).alias("rw_p"), "bh", "by", "grade")
 
 
@@ -84,7 +84,7 @@ _PANEL_SQL = """SELECT (SELECT count(*) FROM nm) AS names, CAST(pm.k AS INT) AS
 
 
 def _panel(spark, d, level):
-    _, panel = grading.grade_panel(grading.ranked_products(planted(spark, d, level), "y_true", "y_pred"), replicates=REPLICATES)
+    _, panel = grading.grade_panel(grading.ranked_products(planted(spark, d, level), "y_true", "y_pred"), replicates=REPLICATES, tasks=tables.tasks(spark, d))
     return panel
 
 
