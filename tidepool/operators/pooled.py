@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidepool.operators import crosssection as xs
 from tidepool.operators import folds
 from tidepool.operators.pooling import written
+from tidepool.sources.tables import deal
 
 
 def prepare(panel: DataFrame, features: list[str], target: str = "target", least: int = 10) -> DataFrame:
@@ -31,14 +32,14 @@ def _model(rows: DataFrame, features: list[str], target: str, params: dict) -> P
     return PipelineModel([shape, tree.fit(shape.transform(rows))])
 
 
-def walk_forward(prepared: DataFrame, features: list[str], target: str = "target", *, n_folds: int = 5, min_train: int = 500, horizon: int = 30, params: dict | None = None, least_rows: int = 100) -> DataFrame:
+def walk_forward(prepared: DataFrame, features: list[str], target: str = "target", *, n_folds: int = 5, min_train: int = 500, horizon: int = 30, params: dict | None = None, least_rows: int = 100, tasks: int | None = None) -> DataFrame:
     """fold, date, ticker, y_true, y_raw, y_pred out of sample: trees fitted on each fold's training rows alone.
 
     Purge and embargo are both the horizon. Folds come from a table of a handful of rows; each fit is a Spark job over its
-    training rows, and only models reach the driver. The panel is written once and read again by every fit, so a fit's tasks
-    are splits of files, whose size does not grow with the panel. A panel that yields no fold is an error.
+    training rows, and only models reach the driver. The panel is written once and read again by every fit. ``tasks``: to how
+    many tasks a fit's rows are dealt (splits of files by default); a fit holds its rows, so their number should grow with the panel. A panel that yields no fold is an error.
     """
-    prepared = written(prepared.sortWithinPartitions("date", "ticker"))
+    prepared = deal(written(prepared), tasks, "date").sortWithinPartitions("date", "ticker")
     grid = folds.date_grid(prepared)
     table = folds.fold_table(grid, n_folds, min_train, horizon, horizon).collect()  # one row a fold
     some = prepared.filter(F.col(target).isNotNull()).join(F.broadcast(grid), "date")

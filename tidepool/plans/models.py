@@ -96,7 +96,7 @@ def pooled_trees(spark, d):
     """Out-of-sample predictions of boosted trees on two standardised features, two purged folds (tested on a planted signal)."""
     panel = tables.deal(labelled(spark, d).select("date", "ticker", "roc", "volume", "target"), tables.tasks(spark, d), "date")
     p = pooled.prepare(panel, ["roc", "volume"])
-    out = pooled.walk_forward(p, ["roc", "volume"], n_folds=2, min_train=1200, params={"maxIter": 5, "maxDepth": 3})
+    out = pooled.walk_forward(p, ["roc", "volume"], n_folds=2, min_train=1200, params={"maxIter": 5, "maxDepth": 3}, tasks=tables.tasks(spark, d))
     return out.select("fold", F.col("date").cast("string").alias("date"), "ticker", F.round("y_true", 6).alias("y_true"), F.round("y_pred", 6).alias("y_pred"))
 
 
