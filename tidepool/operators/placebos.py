@@ -18,7 +18,7 @@ def draw(*parts: Column) -> Column:
 
 def uniform(digest: Column, at: int = 1) -> Column:
     """A number in (0, 1) from 12 digits of a draw."""
-    return (F.conv(F.substring(digest, at, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    return (F.conv(F.substring(digest, at, 12), 16, 10).cast("long") + 0.5) / float(16**12)
 
 
 def normal(digest: Column) -> Column:
