@@ -74,8 +74,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    coded = pieces.encode_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return pieces.piece_digests(pieces.decode_documents(coded, model))
+    return pieces.piece_digests(pieces.recode_documents(load(spark, sf_dir, "documents").select("doc_id", "text"), model))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
