@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -208,6 +209,29 @@ def test_spans_are_coded_as_in_place():
     assert [x.tolist() for t in texts[:50] for x in coder.encode([t])] == want[:50] and coder.encode([]) == []
 
 
+def test_spans_of_many_texts_are_cut_together():
+    """Cuts and single words against the library: letters that are not one word, marks, runs at the end of a text, names of special tokens."""
+    import pyarrow as pa
+
+    spec = packing.read_tokenizer(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    coder, rng = packing.SpanCoder(spec), random.Random(2)
+    texts = ["".join(rng.choice("abcdeéñÿß÷×ªºµ AZ09  \t\n\r.,;!?日🙂İthe'sdmll_") for _ in range(rng.randrange(50))) for _ in range(4000)]
+    texts += [None, "", " ", "a  ", "  ", "b", "\n", "l\u00e0,b", "\u00f7,b", "x<|endoftext|>y", "a\u00a0b", "\u3000", "it's,'s", "w" * 3000]
+    want = [e.ids for e in coder.coder.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    whole = pa.array(["q", *texts])[1:]
+    for _ in range(2):  # the second time all spans are known
+        assert [x.tolist() for x in coder.encode(whole)] == want
+    asked, once = [], coder.table.code
+    coder.table.code = lambda spans: asked.extend(spans) or once(spans)
+    coder.forget()
+    words = [" ".join(f"{a}{b}" for b in "abcdefgh") for a in ("x", "\u00e9", "th")]
+    assert [x.tolist() for x in coder.encode(words * 3)] == [e.ids for e in coder.coder.encode_batch(words * 3)]
+    assert len(asked) == len(set(asked)) == len({s for w in words for s in re.findall(" ?[^ ]+", w)})
+    coder.coder = None  # spans that are one word do not need the library's search for words
+    coder.forget()
+    assert [len(x) for x in coder.encode(words)] == [len(x) for x in coder.encode(words)] and sum(map(len, coder.encode(words))) > 0
+
+
 def _check_pieces(rows, ids, longest):
     by = {}
     for r in rows:

@@ -9,21 +9,24 @@ tails are cut to fill the others. A document finds its place by the rank of its
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm._common import P, stage_table
+from tidepool.llm.spans import SpanTable, before, ends_word, flags, slices, stretches
 
 #: Rows of bases that are broadcast (about 60 MB); above it they are joined by a shuffle.
 _BROADCAST_ROWS = 1_000_000
@@ -37,25 +40,33 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
-#: Spans of a text that the tokenizer codes alike alone and in place, since its own words never cross their borders: a space may
-#: lead a span of other characters, the last space of a run leads what follows, and a letter or digit ends a span before a mark.
-_SPAN = re.compile(r" ?(?:[^ \t\n\r,.;:!?]++(?:(?<=[A-Za-z0-9\u00DF-\u00F6\u00F8-\u00FF])(?=[,.;:!?])|[^ \t\n\r]*+)|[,.;:!?][^ \t\n\r]*+)|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]")
 #: White space beyond the plain kinds; texts that hold any are coded whole, and so are those with the name of a special token.
-_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Spans whose ids are remembered, and the ids that they have in all, before both are forgotten.
-_SPANS, _IDS = 600_000, 1 << 23
-
-
-class _Numbers(dict):
-    """Spans by number; a new one gets the next number and is noted."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, span: str) -> int:
-        n = self[span] = len(self)
-        self.new.append(span)
-        return n
+_RARE = "[\\x{b}\\x{c}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: Spans that are one word of the tokenizer's own: letters, a space before them or none.
+_WORD = re.compile(" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+_PLAIN_SPACE, _MARKS = flags(" \t\n\r"), flags(",.;:!?")
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: Spans whose ids are remembered.
+_SPANS = 500_000
+
+
+def _cut(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where spans begin that the tokenizer codes alike alone and in place, since its own words never cross their borders: a space
+    may lead a span of other characters, the last space of a run leads what follows, and a letter or digit ends a span before a mark."""
+    white = _PLAIN_SPACE[data]
+    led, after = before(white), np.zeros(len(data), bool)
+    after[:-1] = ~white[1:]
+    after[edges[1:][edges[:-1] < edges[1:]] - 1] = False  # a run at the end of a text is one span
+    cut = white & (~led | after) | ~white & led & ~before(data == 32)
+    cut[ends_word(data, _MARKS)] = True
+    return cut
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
 
 
 class SpanCoder:
@@ -63,52 +74,62 @@ class SpanCoder:
 
     def __init__(self, spec: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.coder = Tokenizer.from_str(spec)
-        self.special = re.compile("|".join(re.escape(x.content) for x in self.coder.get_added_tokens_decoder().values()) or r"(?!)")
+        names = [x.content for x in self.coder.get_added_tokens_decoder().values()]
+        self.odd = "|".join([_RARE, *map(re.escape, names)])
         self.line = self.whole("\n")
-        self.forget()
+        self.table = SpanTable(_cut, self.learn, _SPANS)
+        self.letters, parts = _byte_letters(), json.loads(spec)
+        #: the same model without the library's search for words, for spans that are one word each
+        self.words = None
+        if (parts.get("pre_tokenizer"), parts.get("normalizer"), parts["model"].get("type")) == (_BYTE_LEVEL, None, "BPE") and len(self.line) == 1:
+            rules = {k: v for k, v in parts["model"].items() if k not in ("type", "vocab", "merges") and v is not None}
+            merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in parts["model"]["merges"]]
+            self.words = Tokenizer(models.BPE(parts["model"]["vocab"], merges, cache_capacity=0, **rules))  # each span comes once
+            self.words.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
 
     def forget(self) -> None:
-        self.numbers, self.flat, self.ends = _Numbers(), np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.table.forget()
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def learn(self, spans: list[str]) -> None:
-        """Code new spans: those that line ends may part go to the library in one text, the ids of whose line ends part them again."""
-        together = [x for x in spans if not x.isspace()] if len(self.line) == 1 else []
-        parts: dict[str, np.ndarray] = {}
-        if together:
-            ids = np.array(self.coder.encode_batch_fast(["\n".join(together)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.line[0])
-            if len(together) == len(spans):
-                self.flat = np.concatenate([self.flat, np.delete(ids, cuts)])
-                sizes = np.diff(np.r_[-1, cuts, len(ids)]) - 1
-                self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-                return
-            parts = dict(zip(together, np.split(ids, cuts)))
-            parts = {x: v[1:] if i else v for i, (x, v) in enumerate(parts.items())}
-        rows = [parts[x] if x in parts else self.whole(x) for x in spans]
-        self.flat = np.concatenate([self.flat, *rows])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(r) for r in rows])])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _parted(self, coder, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the lines of a text and how many each has: those of its line ends part them."""
+        ids = np.array(coder.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        ends = ids == self.line[0]
+        return ids[~ends], np.diff(np.concatenate([[-1], np.flatnonzero(ends), [len(ids)]])) - 1
+
+    def learn(self, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new spans one after the other and how many each has: those that line ends may part go to the library in one text."""
+        word = _WORD.fullmatch if self.words else lambda x: None
+        kind = np.array([0 if word(x) else 2 if x.isspace() or len(self.line) != 1 else 1 for x in spans])
+        ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(spans), np.int64)
+        for k in range(3):
+            some = list(compress(spans, kind == k))
+            if k == 2:
+                rows = [self.whole(x) for x in some]
+                ids, sizes[kind == k] = [*ids, *rows], [len(r) for r in rows]
+            elif some:
+                text = "\n".join(some)
+                flat, n = self._parted(self.coder, text) if k else self._parted(self.words, text.encode().decode("latin-1").translate(self.letters))
+                ids, sizes[kind == k] = [*ids, flat], n
+        order = np.argsort(kind, kind="stable")
+        begin = np.empty(len(spans), np.int64)
+        begin[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(ids)[stretches(begin, sizes)], sizes
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.numbers) > _SPANS or len(self.flat) > _IDS:
-            self.forget()
-        split = [None if _RARE.search(t) or self.special.search(t) else _SPAN.findall(t) for t in texts]
-        sizes = [len(part or ()) for part in split]
-        at = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(part or () for part in split)), np.int64, sum(sizes))
-        if self.numbers.new:
-            self.learn(self.numbers.new)
-            self.numbers.new = []
-        n = self.ends[at + 1] - self.ends[at]
-        upto = np.r_[0, np.cumsum(n)]
-        ids = self.flat[np.repeat(self.ends[at] - upto[:-1], n) + np.arange(upto[-1])]
-        edges = upto[np.r_[0, np.cumsum(np.array(sizes, np.int64))]].tolist()
-        return [self.whole(t) if part is None else ids[a:z] for t, part, a, z in zip(texts, split, edges, edges[1:])]
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.odd)
+        ids, edges = self.table.encode(pc.if_else(odd, "", texts))
+        out = [ids[a:z] for a, z in zip(edges.tolist(), edges[1:].tolist())]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+            out[i] = self.whole(texts[i].as_py())
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -125,27 +146,18 @@ def token_ids(docs: DataFrame, spec: str, *, end_id: int = 1, longest: int = 204
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part, end = _coder(spec), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         seen, fulls = [0] * longest, 0
-        for whole in batches:
-            at = 0
-            while at < whole.num_rows:
-                stop, held = at, 0
-                texts = []
-                while stop < whole.num_rows and (stop == at or held < 1 << 21):  # about two megabytes of text are coded at once
-                    texts.append(whole.column(1)[stop].as_py() or "")
-                    held += len(texts[-1])
-                    stop += 1
-                raws, numbers = [], []
-                for ids in code.encode(texts):
-                    n = len(ids) + 1
-                    tail = n % longest
-                    raws.append(ids.tobytes() + end)
-                    numbers.append((n, tail, seen[tail], fulls))
-                    seen[tail] += 1
-                    fulls += n // longest
-                sizes, tails, nth, full = zip(*numbers)
-                yield pa.RecordBatch.from_arrays([whole.column(0).slice(at, stop - at), pa.array(sizes, pa.int64()), pa.array(raws, pa.binary()), pa.array([part] * len(sizes), pa.int32()),
-                                                  pa.array(tails, pa.int32()), pa.array(nth, pa.int64()), pa.array(full, pa.int64())], ["doc_id", "doc_tokens", "ids", _PART, _TAIL, _NTH, _FULLS])
-                at = stop
+        for b in (some for whole in batches for some in slices(whole, 1)):
+            raws, numbers = [], []
+            for ids in code.encode(b.column(1)):
+                n = len(ids) + 1
+                tail = n % longest
+                raws.append(ids.astype("<u4").tobytes() + end)
+                numbers.append((n, tail, seen[tail], fulls))
+                seen[tail] += 1
+                fulls += n // longest
+            sizes, tails, nth, full = zip(*numbers)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(raws, pa.binary()), pa.array([part] * len(sizes), pa.int32()),
+                                              pa.array(tails, pa.int32()), pa.array(nth, pa.int64()), pa.array(full, pa.int64())], ["doc_id", "doc_tokens", "ids", _PART, _TAIL, _NTH, _FULLS])
 
     schema = f"doc_id long, doc_tokens long, ids binary, {_PART} int, {_TAIL} int, {_NTH} long, {_FULLS} long"
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
